@@ -170,34 +170,35 @@ def preset(preset_id: str) -> Preset:
     return next(p for p in ALL_PRESETS if p.id == preset_id)
 
 
-# Golden questions as label -> (numerator, predicate); they need all three tables
-# only where the predicate names a climate variable. Predicates are plain SQL conditions.
-GOLDEN: tuple[tuple[str, str, str], ...] = (
-    ("coast < 5 km", "pop_total", "dist_coast_km < 5"),
-    ("border < 30 km", "pop_total", "dist_border_km < 30"),
-    ("mountain landform", "pop_total", "landform_type = 'munte'"),
-    ("hill landform", "pop_total", "landform_type IN ('deal','podiș','depresiune')"),
-    ("plain landform", "pop_total", "landform_type IN ('câmpie','vale','grind','baltă/lac')"),
-    ("altitude > 1000 m", "pop_total", "alt_mean > 1000"),
-    ("urban unit", "pop_total", "mediu = 'urban'"),
-    ("rural unit", "pop_total", "mediu = 'rural'"),
-    ("built-up urban", "pop_total", "intravilan = 'oraș'"),
-    ("built-up village", "pop_total", "intravilan = 'sat'"),
-    ("outside built-up", "pop_total", "intravilan IS NULL"),
-    ("gas connected", "pop_total", "acces_gaz = 'conectat'"),
-    ("gas not connected", "pop_total", "acces_gaz = 'neconectat'"),
-    ("protected area 0 km", "pop_total", "dist_protected_km <= 0"),
-    ("protected area <= 1 km", "pop_total", "dist_protected_km <= 1"),
-    ("water body < 1 km", "pop_total", "dist_water_km < 1"),
-    ("watercourse < 0.5 km", "pop_total", "dist_curs_km < 0.5"),
-    ("hospital >= 10 km", "pop_total", "dist_hospital_km >= 10"),
-    ("hospital >= 20 km", "pop_total", "dist_hospital_km >= 20"),
-    ("hospital >= 25 km", "pop_total", "dist_hospital_km >= 25"),
-    ("airport >= 50 km", "pop_total", "dist_airport_km >= 50"),
-    ("airport >= 100 km", "pop_total", "dist_airport_km >= 100"),
-    ("warming >= 1.1 C", "pop_total", "warming_deg >= 1.1"),
+# Golden questions as (label, measure, conditions), a condition being
+# (variable, operator, value).
+GOLDEN: tuple[tuple[str, str, tuple[tuple, ...]], ...] = (
+    ("coast < 5 km", "pop_total", (("dist_coast_km", "<", 5),)),
+    ("border < 30 km", "pop_total", (("dist_border_km", "<", 30),)),
+    ("mountain landform", "pop_total", (("landform_type", "=", "munte"),)),
+    ("hill landform", "pop_total", (("landform_type", "in", HILL),)),
+    ("plain landform", "pop_total", (("landform_type", "in", PLAIN),)),
+    ("altitude > 1000 m", "pop_total", (("alt_mean", ">", 1000),)),
+    ("urban unit", "pop_total", (("mediu", "=", "urban"),)),
+    ("rural unit", "pop_total", (("mediu", "=", "rural"),)),
+    ("built-up urban", "pop_total", (("intravilan", "=", "oraș"),)),
+    ("built-up village", "pop_total", (("intravilan", "=", "sat"),)),
+    ("outside built-up", "pop_total", (("intravilan", "null", None),)),
+    ("gas connected", "pop_total", (("acces_gaz", "=", "conectat"),)),
+    ("gas not connected", "pop_total", (("acces_gaz", "=", "neconectat"),)),
+    ("protected area 0 km", "pop_total", (("dist_protected_km", "<=", 0),)),
+    ("protected area <= 1 km", "pop_total", (("dist_protected_km", "<=", 1),)),
+    ("water body < 1 km", "pop_total", (("dist_water_km", "<", 1),)),
+    ("watercourse < 0.5 km", "pop_total", (("dist_curs_km", "<", 0.5),)),
+    ("hospital >= 10 km", "pop_total", (("dist_hospital_km", ">=", 10),)),
+    ("hospital >= 20 km", "pop_total", (("dist_hospital_km", ">=", 20),)),
+    ("hospital >= 25 km", "pop_total", (("dist_hospital_km", ">=", 25),)),
+    ("airport >= 50 km", "pop_total", (("dist_airport_km", ">=", 50),)),
+    ("airport >= 100 km", "pop_total", (("dist_airport_km", ">=", 100),)),
+    ("warming >= 1.1 C", "pop_total", (("warming_deg", ">=", 1.1),)),
     ("women, 200-500 m, < 400 mm, 11.5-12.5 C", "pop_f",
-     "alt_mean BETWEEN 200 AND 500 AND precip_total < 400 AND tmean BETWEEN 11.5 AND 12.5"),
+     (("alt_mean", ">=", 200), ("alt_mean", "<=", 500), ("precip_total", "<", 400),
+      ("tmean", ">=", 11.5), ("tmean", "<=", 12.5))),
 )
 # The twenty-fifth golden figure is a weighted mean, not a total.
 GOLDEN_MEAN = ("mean airport distance", "dist_airport_km", "pop_total")
