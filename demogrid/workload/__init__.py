@@ -1,6 +1,6 @@
 """Every operator bound to the driver's tables, with its reference SQL."""
 
-from . import atlas  # noqa: F401
+from . import atlas, raster, spatial  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
