@@ -105,7 +105,7 @@ def points_near_lines(points: DataFrame, edges: DataFrame, distance: float, pid:
 def _grid_levels(points: DataFrame, sites: DataFrame, dims: list[str]) -> tuple[list[float], float, int]:
     """Origin, finest tile size and number of doublings, from two one-row aggregates."""
     def extent(df: DataFrame):
-        aggs = [f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
+        aggs = [f(F.col(d).cast("double")).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
         return df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
 
     p, s = extent(points), extent(sites)

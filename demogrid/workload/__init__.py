@@ -1,6 +1,6 @@
 """Every operator bound to the driver's tables, with its reference SQL."""
 
-from . import air_weather, atlas, climate, raster, spatial  # noqa: F401
+from . import access, air_weather, atlas, climate, raster, spatial, warnings  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
