@@ -20,6 +20,11 @@ def dense_lattice(spark: SparkSession, nrows: int, ncols: int) -> DataFrame:
         F.floor(F.col("id") / ncols).alias("prow"), (F.col("id") % ncols).alias("pcol"))
 
 
+def label_raster(targets: DataFrame, nrows: int, ncols: int, cls: str = "class") -> DataFrame:
+    """Dense (prow, pcol, class) with NULL where no target pixel is given."""
+    return dense_lattice(targets.sparkSession, nrows, ncols).join(targets.select("prow", "pcol", cls), ["prow", "pcol"], "left")
+
+
 def with_block(df: DataFrame, f: int = BLOCK) -> DataFrame:
     return df.withColumns({"brow": F.floor(F.col("prow") / f), "bcol": F.floor(F.col("pcol") / f)})
 
@@ -76,14 +81,15 @@ def _lower_envelope(col: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return CLASS_BASE * (col - x0) ** 2 + np.asarray(cs, dtype=np.int64)[pick]
 
 
-def distance_transform(pixels: DataFrame, cls: str = "class", groups: list[str] = ()) -> DataFrame:
+def distance_transform(pixels: DataFrame, cls: str = "class", groups: list[str] = (), rows: Column | None = None) -> DataFrame:
     """(groups…, prow, pcol, d2, class): squared pixel distance to the nearest target and that
     target's class, exactly; smallest class among equally near targets.
 
     ``pixels`` is dense, with a class number (1 … CLASS_BASE-1) on targets and NULL elsewhere.
     Down the columns, two window passes find the nearest target above and below; along the
     rows, a lower envelope of parabolas combines the columns. Tasks see one pixel column or
-    row each, whose length is the raster's side. Pixels of a group without targets get NULL."""
+    row each, whose length is the raster's side. Pixels of a group without targets get NULL.
+    ``rows`` keeps only some pixel rows for the second pass, where only those are wanted."""
     groups = list(groups)
     col_keys = [*groups, "pcol"]
     target = F.when(F.col(cls).isNotNull(), F.struct(F.col("prow").alias("r"), F.col(cls).cast("bigint").alias("c")))
@@ -97,6 +103,8 @@ def distance_transform(pixels: DataFrame, cls: str = "class", groups: list[str]
            .withColumn("_down", F.last(target, ignorenulls=True).over(below)))
     vertical = one.select(*groups, "prow", "pcol", F.coalesce(
         F.least(cost(F.col("_up")), cost(F.col("_down"))), F.lit(-1)).cast("bigint").alias("cost"))
+    if rows is not None:
+        vertical = vertical.filter(rows)
 
     def along_row(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pcol", ignore_index=True)
@@ -121,14 +129,17 @@ def block_min_distance(distances: DataFrame, pixel_m: float = 100.0, f: int = BL
         F.bround(distance_km(F.min("d2"), pixel_m), 2).alias("dist_km"))
 
 
+def central_rows(f: int = BLOCK) -> Column:
+    return F.col("prow") % f == f // 2
+
+
 def central_pixel(pixels: DataFrame, f: int = BLOCK) -> DataFrame:
     """The pixel at the middle of each block, with its block number."""
-    mid = (F.col("prow") % f == f // 2) & (F.col("pcol") % f == f // 2)
+    mid = central_rows(f) & (F.col("pcol") % f == f // 2)
     return with_block(pixels.filter(mid), f)
 
 
-def scenario_overlay(pixels: DataFrame, distances: DataFrame, cls: str = "class", pixel_m: float = 100.0,
-                     f: int = BLOCK) -> DataFrame:
+def scenario_overlay(distances: DataFrame, pixel_m: float = 100.0, f: int = BLOCK) -> DataFrame:
     """(brow, bcol, dist_km, scenario): the most frequent (smallest) scenario present in the
     block, else that of the target nearest to the block's nearest pixel.
 

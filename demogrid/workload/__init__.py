@@ -1,6 +1,7 @@
 """Every operator bound to the driver's tables, with its reference SQL."""
 
-from . import access, air_weather, atlas, climate, raster, spatial, warnings  # noqa: F401
+from . import (access, air_weather, atlas, climate, raster, sources, spatial, streams, text,  # noqa: F401
+               warnings)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

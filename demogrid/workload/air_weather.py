@@ -223,10 +223,10 @@ _ROLL = f"""{_AXIS.format(b='hourly')}, dn AS (SELECT k.grid_id, ax.valid_time,
 r24 AS (SELECT *, CASE WHEN COUNT(value) OVER w = 24 THEN AVG(value) OVER w END AS mean24 FROM dn WINDOW w AS (PARTITION BY grid_id ORDER BY valid_time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"""
 
 
-@query("w01_strict_rolling_mean", "hourly", f"WITH {_ROLL} SELECT grid_id, strftime(valid_time, '{_STAMP}') AS at, ROUND(mean24, 6) AS mean24 FROM r24")
+@query("w01_strict_rolling_mean", "hourly", f"WITH {_ROLL} SELECT grid_id, strftime(valid_time, '{_STAMP}') AS at, ROUND(mean24, 8) AS mean24 FROM r24")
 def _(t):
     dense = W.densify(t.hourly.select("grid_id", "valid_time", "value"), ["grid_id"])
-    return dense.select("grid_id", _stamp("valid_time").alias("at"), F.round(W.rolling_mean(dense, ["grid_id"]), 6).alias("mean24"))
+    return dense.select("grid_id", _stamp("valid_time").alias("at"), F.round(W.rolling_mean(dense, ["grid_id"]), 8).alias("mean24"))
 
 
 @query("w06_complete_local_days", "hourly", """

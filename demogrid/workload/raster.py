@@ -60,7 +60,7 @@ def _(t):
 @query("g12_central_pixel_sample", "raster", f"""
 {_EDT} SELECT {_BLK}, ROUND(SQRT(d2) * 100 / 1000, 2) AS dist_km, class FROM dt WHERE prow % 10 = 5 AND pcol % 10 = 5""")
 def _(t):
-    mid = R.central_pixel(R.distance_transform(_pixels(t)))
+    mid = R.central_pixel(R.distance_transform(_pixels(t), rows=R.central_rows()))
     return mid.select("brow", "bcol", F.bround(R.distance_km(F.col("d2"), 100.0), 2).alias("dist_km"), "class")
 
 
@@ -70,8 +70,7 @@ p AS (SELECT {_BLK}, MIN(class) AS present FROM t WHERE class IS NOT NULL GROUP
 SELECT n.brow, n.bcol, ROUND(SQRT(n.d2) * 100 / 1000, 2) AS dist_km, COALESCE(p.present, n.class) AS scenario
 FROM n LEFT JOIN p ON p.brow = n.brow AND p.bcol = n.bcol WHERE n.k = 1""")
 def _(t):
-    px = _pixels(t)
-    return R.scenario_overlay(px, R.distance_transform(px))
+    return R.scenario_overlay(R.distance_transform(_pixels(t)))
 
 
 @query("g14_nearest_of_groups", "raster", """
