@@ -16,7 +16,7 @@ from ..model import GridSpec
 from ..operators import cover as V
 from ..operators import raster as R
 from ..operators.cells import centroid
-from ..operators.spatial import assign_polygons, nearest_with_label
+from ..operators.spatial import assign_polygons, exactly_one, nearest_with_label
 from ..sources.tables import assemble
 from . import catalogue as C
 
@@ -172,6 +172,8 @@ def border(cells: DataFrame, spec: GridSpec, edges: DataFrame, lines: DataFrame,
     named = edges.join(lines.select("feature_id", F.col("border").alias("side")), "feature_id").drop("feature_id")
     pixels = V.within(V.touched_pixels(named, coarse_lattice(spec), key="side", filled=False), spec.nrows, spec.ncols).withColumn("class", F.lit(1))
     sides = lines.select(F.col("border").alias("side")).distinct()
+    one_coast = exactly_one(sides, F.col("side") == coast, "coast line").select(F.lit(True).alias("_ok"))
+    sides = sides.join(one_coast, F.lit(True)).drop("_ok")
     dense = R.dense_lattice(cells.sparkSession, spec.nrows, spec.ncols).join(sides, F.lit(True))
     raster = dense.join(pixels, ["side", "prow", "pcol"], "left")
     near = R.nearest_group(R.distance_transform(raster, groups=["side"]), "side", coast, spec.res)
