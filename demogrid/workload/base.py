@@ -134,6 +134,9 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
 class Tables:
     """The bindings as DataFrames: ``t.core``, ``t.env``, … built lazily by Spark."""
 
@@ -142,7 +145,11 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A base table. Only the plan is kept, so footers are read once per session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _PLANS:
+            _PLANS[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return _PLANS[key]
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL over the base tables; only the tables named in it are registered."""
