@@ -51,6 +51,13 @@ def recode(col: Column, mapping: dict, default: object = None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """The columns of a one-row frame beside every row, as a scalar subquery: it is computed
+    once and becomes a constant, with no join. More than one row is an error."""
+    value = df.withColumn("_one", one_row.select(F.struct("*")).scalar())
+    return value.select(*df.columns, *[F.col(f"_one.{c}").alias(c) for c in one_row.columns])
+
+
 def blank_to_null(col: Column) -> Column:
     return F.nullif(F.trim(col), F.lit(""))
 

@@ -31,19 +31,19 @@ def search_score(name: Column, needle: Column, secondary: Column) -> Column:
                   + F.length(name) / F.lit(1000.0))
 
 
-def search_names(entries: DataFrame, queries: DataFrame, limit: int = 12) -> DataFrame:
-    """The ``limit`` best entries for every row of ``queries(query)``.
-
-    ``entries(entry_id, name, kind)``; kind ``'u'`` ranks before the others. Queries are a
-    short list typed by users and the match is an inequality (substring), so each task tests
-    its own entries against the whole list and Spark keeps the best rows per query.
-    """
-    wanted = (queries.select("query", normalise(F.trim("query")).alias("needle"))
-              .filter(F.length("needle") >= 2).distinct())
+def search_names(entries: DataFrame, queries: list[str], limit: int = 12) -> DataFrame:
+    """The ``limit`` best entries for every typed query of two letters or more.
+
+    ``entries(entry_id, name, kind)``; kind ``'u'`` ranks before the others. The queries are
+    constants in the plan: each entry is read once, tested against all of them where it lies,
+    and only its hits are ranked."""
+    pairs = F.array(*[F.struct(F.lit(q).alias("query"), normalise(F.trim(F.lit(q))).alias("needle"))
+                      for q in dict.fromkeys(queries)])
     names = entries.select("entry_id", "kind", normalise(F.col("name")).alias("norm_name"))
-    scored = (names.join(wanted, F.instr("norm_name", F.col("needle")) > 0)
-              .withColumn("score", search_score(F.col("norm_name"), F.col("needle"),
-                                                F.col("kind") != "u")))
+    hits = names.withColumn("hit", F.explode(F.filter(
+        pairs, lambda p: (F.length(p["needle"]) >= 2) & F.col("norm_name").contains(p["needle"])))).select(
+        "entry_id", "kind", "norm_name", "hit.query", "hit.needle")
+    scored = hits.withColumn("score", search_score(F.col("norm_name"), F.col("needle"), F.col("kind") != "u"))
     return top_per_key(scored, ["query"], ["score", "norm_name", "entry_id"], limit, "pos")
 
 

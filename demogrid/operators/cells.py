@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import attach
 from ..model import GridSpec
 
 
@@ -28,7 +29,7 @@ def derive_spec(df: DataFrame, res: int = 1000) -> DataFrame:
 
 def number_cells(df: DataFrame, spec: DataFrame, res: int = 1000) -> DataFrame:
     """Add ``col``, ``row`` (0 = north) and ``cell_id = row * ncols + col``."""
-    out = df.join(spec.select("e_min", "n_top", "ncols"), F.lit(True))
+    out = attach(df, spec.select("e_min", "n_top", "ncols"))
     return (out.withColumn("col", F.expr(f"(e - e_min) div {res}"))
             .withColumn("row", F.expr(f"(n_top - {res} - n) div {res}"))
             .withColumn("cell_id", F.col("row") * F.col("ncols") + F.col("col"))

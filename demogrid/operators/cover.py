@@ -29,16 +29,19 @@ class Lattice:
 
 def rings_to_edges(vertices: DataFrame, keys: list[str] = ("feature_id", "ring"), closed: bool = True,
                    attrs: list[str] = ()) -> DataFrame:
-    """Ordered vertices ``(…keys, seq, x, y)`` to edges; the last joins the first if closed."""
-    w = Window.partitionBy(*keys).orderBy("seq")
-    nxt = vertices.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)})
+    """Vertices ``(…keys, seq, x, y)`` numbered 0, 1, 2… to edges; the last joins the first if
+    closed. A join on the number, not a window per ring, so a coastline of millions of vertices
+    is spread like everything else."""
+    keys = list(keys)
+    follow = vertices.select(*keys, (F.col("seq") - 1).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     if closed:
-        first = vertices.groupBy(*keys).agg(F.min_by(F.struct("x", "y"), "seq").alias("_first"))
-        nxt = nxt.join(first, list(keys)).withColumns({
-            "x2": F.coalesce("x2", F.col("_first.x")), "y2": F.coalesce("y2", F.col("_first.y"))})
-    edges = nxt.filter(F.col("x2").isNotNull() & ~((F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))))
-    return edges.select(*keys, *attrs, F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"),
-                        F.col("x2").cast("double").alias("x2"), F.col("y2").cast("double").alias("y2"))
+        ends = vertices.groupBy(*keys).agg(F.max("seq").alias("seq"), F.min_by(F.struct("x", "y"), "seq").alias("p"))
+        follow = follow.filter("seq >= 0").unionByName(
+            ends.select(*keys, "seq", F.col("p.x").alias("x2"), F.col("p.y").alias("y2")))
+    edges = vertices.select(*keys, *attrs, "seq", "x", "y").join(follow, [*keys, "seq"])
+    return edges.filter((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2"))).select(
+        *keys, *attrs, F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"),
+        F.col("x2").cast("double").alias("x2"), F.col("y2").cast("double").alias("y2"))
 
 
 def interior_spans(edges: DataFrame, lattice: Lattice, key: str = "feature_id") -> DataFrame:

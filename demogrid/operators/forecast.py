@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import air
-from ..functions.columns import safe_ratio, to_long
+from ..functions.columns import attach, safe_ratio, to_long
 from ..functions.projection import unit_sphere
 from ..functions.times import LOCAL_ZONE, expected_steps, local_day
 from .spatial import nearest_sites
@@ -53,9 +53,9 @@ def canonical_ids(nodes: DataFrame, lon: str = "lon", lat: str = "lat") -> DataF
 def densify(df: DataFrame, keys: list[str], ts: str = "valid_time", step: str = "1 hour") -> DataFrame:
     """Every key at every step between the first and the last instant; gaps become NULL rows."""
     span = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    axis = span.select(F.explode(F.expr(f"sequence(lo, hi, interval {step})")).alias(ts))
-    ids = df.select(*keys).distinct()
-    return ids.join(F.broadcast(axis), F.lit(True)).join(df, [*keys, ts], "left")
+    ids = attach(df.select(*keys).distinct(), span)
+    axis = ids.select(*keys, F.explode(F.expr(f"sequence(lo, hi, interval {step})")).alias(ts))
+    return axis.join(df, [*keys, ts], "left")
 
 
 def rolling_mean(df: DataFrame, keys: list[str], value: str = "value", ts: str = "valid_time", n: int = 24) -> Column:
@@ -114,7 +114,7 @@ def run_problems(weather: DataFrame, air_run: DataFrame) -> DataFrame:
     """(problem, n): empty runs, inverted extremes, ranks out of range."""
     w = weather.agg(F.count_if(F.col("tmin") > F.col("tmax")).alias("inverted"), F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint").alias("empty"))
     a = air_run.agg(F.count_if(~F.col("aqi_rank").between(0, 5)).alias("out_of_range"), F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint").alias("empty_air"))
-    return w.join(a, F.lit(True)).unpivot([], ["inverted", "empty", "out_of_range", "empty_air"], "problem", "n")
+    return attach(w, a).unpivot([], ["inverted", "empty", "out_of_range", "empty_air"], "problem", "n")
 
 
 def missing_steps(times: DataFrame, first: Column, last: Column, step: str, ts: str = "valid_time") -> DataFrame:
@@ -214,7 +214,7 @@ def grid_fingerprint(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     Row hashes are combined without order (xor and count), so no list is ever gathered."""
     c = cells.agg(F.bit_xor(F.xxhash64("cell_id")).alias("hc"), F.count(F.lit(1)).alias("nc"))
     n = nodes.agg(F.bit_xor(F.xxhash64("grid_id", F.round("lon", 7), F.round("lat", 7))).alias("hn"), F.count(F.lit(1)).alias("nn"))
-    return c.join(n, F.lit(True)).select(F.sha2(F.concat_ws("|", "hc", "nc", "hn", "nn"), 256).alias("fingerprint"))
+    return attach(c, n).select(F.sha2(F.concat_ws("|", "hc", "nc", "hn", "nn"), 256).alias("fingerprint"))
 
 
 # --- exposure --------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import has_data, safe_ratio
+from ..functions.columns import attach, has_data, safe_ratio
 from ..model import Question, Registry
 from .quantiles import interpolated_quantiles, weighted_quantiles
 from .questions import KEY, Atlas, selection
@@ -97,7 +97,7 @@ def weighted_histogram(cells: DataFrame, spec: DataFrame, by: list[str] = ()) ->
     """(by…, bin, pop): fine bins, tails clamped into the first and last. ``spec`` is one row."""
     raw = F.floor((F.col("x") - F.col("lo")) / F.col("bw"))
     bin_ = F.least(F.greatest(raw, F.lit(0)), F.lit(N_BINS - 1)).cast("int")
-    return (cells.join(F.broadcast(spec.select("lo", "hi", "bw")), F.lit(True))
+    return (attach(cells, spec.select("lo", "hi", "bw"))
             .groupBy(*by, bin_.alias("bin")).agg(F.sum("w").alias("pop")))
 
 
@@ -121,7 +121,7 @@ def histogram_quantiles(hist: DataFrame, spec: DataFrame, qs: list[float], by: l
     first = cum.groupBy(*by, "q").agg(F.min(F.struct("bin", "cum", "pop", "target")).alias("h"))
     before = F.col("h.cum") - F.col("h.pop")
     frac = F.when(F.col("h.pop") > 0, (F.col("h.target") - before) / F.col("h.pop")).otherwise(0.0)
-    return (first.join(F.broadcast(spec.select("lo", "bw")), F.lit(True))
+    return (attach(first, spec.select("lo", "bw"))
             .select(*by, "q", (F.col("lo") + (F.col("h.bin") + frac) * F.col("bw")).alias("value")))
 
 
@@ -136,7 +136,7 @@ def display_bins(hist: DataFrame, spec: DataFrame, n: int = 40, by: list[str] =
     g = (F.col("bin") / per).cast("int")
     coarse = hist.groupBy(*by, g.alias("display_bin")).agg(F.sum("pop").alias("pop"))
     whole = Window.partitionBy(*by)
-    return (coarse.join(F.broadcast(spec.select("lo", "bw")), F.lit(True))
+    return (attach(coarse, spec.select("lo", "bw"))
             .select(*by, "display_bin",
                     (F.col("lo") + (F.col("display_bin") * per + per / 2) * F.col("bw")).alias("centre"),
                     "pop", (100 * safe_ratio(F.col("pop"), F.sum("pop").over(whole))).alias("pct")))
@@ -163,7 +163,7 @@ def category_comparison(dist: DataFrame, area_a: str, area_b: str, area: str = "
     a = dist.filter(F.col(area) == area_a).select("cat", F.col("pop").alias("pa"))
     b = dist.filter(F.col(area) == area_b).select("cat", F.col("pop").alias("pb"))
     ta, tb = a.agg(F.sum("pa").alias("ta")), b.agg(F.sum("pb").alias("tb"))
-    return (a.join(b, "cat", "left").join(ta, F.lit(True)).join(tb, F.lit(True))
+    return (attach(attach(a.join(b, "cat", "left"), ta), tb)
             .select("cat", F.coalesce(safe_ratio(F.col("pa"), F.col("ta")), F.lit(0.0)).alias("share_a"),
                     safe_ratio(F.coalesce(F.col("pb"), F.lit(0.0)), F.col("tb")).alias("share_b")))
 
@@ -199,7 +199,7 @@ def compare_areas(cells: DataFrame, spec: DataFrame, area_a: str, area_b: str,
         return stats.filter(F.col(area) == name).select(
             *[F.col(c).alias(f"{c}_{tag}") for c in ("p10", "p50", "p90", "wmean")])
 
-    both = side(area_a, "a").join(side(area_b, "b"), F.lit(True))
+    both = attach(side(area_a, "a"), side(area_b, "b"))
     return both.withColumn("verdict", verdict(F.col("p50_a"), F.col("p50_b")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import attach
+
 CUTS = 64
 
 
@@ -19,7 +21,7 @@ def _cumulative(df: DataFrame, by: list[str], x: str, weight: str | None) -> Dat
     probes = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
     cuts = counts.groupBy(*by).agg(F.percentile_approx(x, probes, F.lit(2000)).alias("cuts"),
                                    F.sum("n").alias("total"))
-    binned = (counts.join(cuts, by) if by else counts.join(cuts, F.lit(True))).withColumn(
+    binned = (counts.join(cuts, by) if by else attach(counts, cuts)).withColumn(
         "bin", F.size(F.filter("cuts", lambda c: c < F.col(x)))).drop("cuts")
     per_bin = binned.groupBy(*by, "bin").agg(F.sum("n").alias("bin_n"))
     before = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

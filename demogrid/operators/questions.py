@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import has_data, is_floating, safe_ratio, to_long, typed_literal
+from ..functions.columns import attach, has_data, is_floating, safe_ratio, to_long, typed_literal
 from ..model import Constraint, In, Preset, Question, Registry
 
 KEY = "cell_id"
@@ -102,7 +102,7 @@ def cell_values(atlas: Atlas, q: Question) -> DataFrame:
 def national_share(atlas: Atlas, q: Question) -> DataFrame:
     """The total with its share of the unfiltered national total."""
     national = atlas.core.agg(to_long(F.sum(q.measure)).alias("national"))
-    return (total(atlas, q).join(national, F.lit(True))
+    return (attach(total(atlas, q), national)
             .withColumn("share", safe_ratio(F.col("value"), F.col("national"))))
 
 
@@ -182,7 +182,7 @@ def golden_report(atlas: Atlas, golden: tuple, mean: tuple | None = None) -> Dat
                  F.coalesce(v, F.lit(0.0)).cast("bigint").alias("value"),
                  safe_ratio(F.coalesce(v, F.lit(0.0)).cast("bigint"), F.col("_total")).alias("pct"))
         for label, v in rows])
-    return df.agg(*aggs).join(whole, F.lit(True)).select(F.inline(cells))
+    return attach(df.agg(*aggs), whole).select(F.inline(cells))
 
 
 def profile(atlas: Atlas, keys: DataFrame | None = None, cell_id: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import square
+from ..functions.columns import attach, square
 from .cover import Lattice, edge_pixels, interior_pixels
 
 
@@ -102,8 +102,15 @@ def points_near_lines(points: DataFrame, edges: DataFrame, distance: float, pid:
     return edges_within(points, edges, distance, pid).select(pid).distinct()
 
 
-def _grid_levels(points: DataFrame, sites: DataFrame, dims: list[str]) -> tuple[list[float], float, int]:
-    """Origin, finest tile size and number of doublings, from two one-row aggregates."""
+CROWDED = 16  # sites per finest tile that call for a finer tile
+FINER = 6     # at most so many halvings
+
+
+def _pyramid_shape(points: DataFrame, sites: DataFrame, dims: list[str], k: int) -> tuple[list[float], float, int]:
+    """Origin, finest tile size and number of doublings, from one-row aggregates.
+
+    The tile starts at about half the mean spacing of the sites and is halved while the
+    fullest tile stays crowded, so clusters of sites get small tiles."""
     def extent(df: DataFrame):
         aggs = [f(F.col(d).cast("double")).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
         return df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
@@ -115,8 +122,12 @@ def _grid_levels(points: DataFrame, sites: DataFrame, dims: list[str]) -> tuple[
     his = [max(v for v in (p[f"hi_{d}"], s[f"hi_{d}"]) if v is not None) for d in dims]
     span = max(max(h - lo for lo, h in zip(los, his)), 1e-9)
     fine = span / max(1.0, 2.0 * math.sqrt(s["n"]))
-    levels = max(1, math.ceil(math.log2(span / fine)) + 2)
-    return los, fine, levels
+    halving = F.explode(F.sequence(F.lit(0), F.lit(FINER))).alias("h")
+    keys = [F.floor((F.col(d).cast("double") - o) * F.pow(F.lit(2.0), F.col("h")) / fine).alias(f"c{i}") for i, (d, o) in enumerate(zip(dims, los))]
+    crowd = (sites.select(*dims, halving).select("h", *keys).groupBy("h", *[f"c{i}" for i in range(len(dims))]).agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("h").agg(F.max("n").alias("n")).filter(F.col("n") <= CROWDED * k).agg(F.min("h")).first()[0])
+    fine /= 2.0 ** (FINER if crowd is None else crowd)
+    return los, fine, max(1, math.ceil(math.log2(span / fine)) + 2)
 
 
 def nearest_sites(points: DataFrame, sites: DataFrame, k: int = 1, pid: str = "cell_id", sid: str = "site_id",
@@ -127,66 +138,58 @@ def nearest_sites(points: DataFrame, sites: DataFrame, k: int = 1, pid: str = "c
     2. For every *distinct* finest tile that holds points, take the finest level at which its
        own tile already contains k sites; all k nearest of any point in it lie within one
        tile diagonal, hence in the ring of tiles around it.
-    3. Keep a site as a candidate of the tile only if its smallest possible distance is not
-       beyond the k-th smallest largest-possible distance.
-    4. Each point meets just the candidates of its tile.
+    3. Of the occupied finest tiles in that ring keep those whose smallest possible distance is
+       not beyond the distance within which k sites are certain to be met. This compares
+       tiles with tiles; a crowded town costs its tiles, not its sites.
+    4. Each point meets just the sites of the kept tiles.
 
-    The points, the large side, are shuffled once and never multiplied by a ring."""
+    The points, the large side, are joined once and never multiplied by a ring. Their final
+    grouping is by point, so a tile that holds a large share of them can be split."""
     dims = list(dims)
-    origin, fine, levels = _grid_levels(points, sites, dims)
-    pts = points.select(pid, *[F.col(d).cast("double").alias(d) for d in dims])
     # Sites at one place beyond the k smallest ids can never be among the k nearest.
     place = Window.partitionBy(*dims).orderBy(sid)
     st = (sites.select(sid, *[F.col(d).cast("double").alias(d) for d in dims])
           .withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= k).drop("_r"))
-
-    def tile_cols(prefix: str = "t") -> list[Column]:
-        return [F.floor((F.col(d) - o) / fine).alias(f"{prefix}{i}") for i, (d, o) in enumerate(zip(dims, origin))]
-
+    origin, fine, levels = _pyramid_shape(points, st, dims, k)
+    pts = points.select(pid, *[F.col(d).cast("double").alias(d) for d in dims])
     base = [f"t{i}" for i in range(len(dims))]
     up = [f"u{i}" for i in range(len(dims))]
+    occ = [f"o{i}" for i in range(len(dims))]
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
 
+    def tile_cols(names: list[str]) -> list[Column]:
+        return [F.floor((F.col(d) - o) / fine).alias(t) for d, o, t in zip(dims, origin, names)]
+
     def lifted(cols: list[str]) -> list[Column]:
         return [F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).alias(u) for c, u in zip(cols, up)]
 
-    tiled_sites = st.select(sid, *dims, *tile_cols())
-    pyramid = (tiled_sites.groupBy(*base).agg(F.count(F.lit(1)).alias("n"))
-               .select(*base, "n", level).select("level", *lifted(base), "n")
-               .groupBy("level", *up).agg(F.sum("n").alias("n")))
-    tiles = pts.select(*tile_cols()).distinct()
-    enough = (tiles.select(*base, level).select(*base, "level", *lifted(base))
-              .join(pyramid, ["level", *up])
-              .groupBy(*base).agg(F.coalesce(F.min(F.when(F.col("n") >= k, F.col("level"))),
-                                             F.lit(levels)).alias("level")))
+    tiled_sites = st.select(sid, *[F.col(d).alias(f"s_{d}") for d in dims], *tile_cols(occ))
+    occupied = (st.select(*tile_cols(occ)).groupBy(*occ).agg(F.count(F.lit(1)).alias("n"))
+                .select(*occ, "n", level).select("level", *lifted(occ), *occ, "n"))
+    pyramid = occupied.groupBy("level", *up).agg(F.sum("n").alias("n"))
+    tiles = pts.select(*tile_cols(base)).distinct()
+    enough = (tiles.select(*base, level).select(*base, "level", *lifted(base)).join(pyramid, ["level", *up])
+              .groupBy(*base).agg(F.coalesce(F.min(F.when(F.col("n") >= k, F.col("level"))), F.lit(levels)).alias("level")))
     ring = F.array(F.lit(-2), F.lit(-1), F.lit(0), F.lit(1), F.lit(2))
     probe = enough.select(*base, "level", *lifted(base))
     for u in up:
         probe = probe.withColumn("_o", F.explode(ring)).withColumn(u, F.col(u) + F.col("_o")).drop("_o")
-    site_levels = (tiled_sites.select(sid, *dims, *base, level)
-                   .select(sid, *[F.col(d).alias(f"s_{d}") for d in dims], "level", *lifted(base)))
-    near, far = F.lit(0.0), F.lit(0.0)
-    for d, o, t in zip(dims, origin, base):
-        lo = F.lit(o) + F.col(t) * fine
-        hi = lo + fine
-        s = F.col(f"s_{d}")
-        gap = F.greatest(lo - s, s - hi, F.lit(0.0))
-        reach = F.greatest(F.abs(s - lo), F.abs(s - hi))
-        near, far = near + square(gap), far + square(reach)
-    cand = probe.join(site_levels, ["level", *up]).select(*base, sid, *[f"s_{d}" for d in dims],
-                                                         near.alias("near"), far.alias("far"))
-    by_far = Window.partitionBy(*base).orderBy("far", sid)
-    # A hair of slack keeps rounding from dropping a true neighbour.
-    limit = cand.withColumn("_r", F.row_number().over(by_far)).filter(F.col("_r") <= k) \
-        .groupBy(*base).agg(F.max("far").alias("limit"))
-    kept = cand.join(limit, base).filter(F.col("near") <= F.col("limit") * (1 + 1e-9) + 1e-12) \
-        .select(*base, sid, *[f"s_{d}" for d in dims])
+    near, far = F.lit(0), F.lit(0)
+    for t, o in zip(base, occ):  # in tile widths: two tiles g apart are g-1 to g+1 widths apart
+        gap = F.abs(F.col(t) - F.col(o))
+        near, far = near + square(F.greatest(gap - 1, F.lit(0))), far + square(gap + 1)
+    cand = probe.join(occupied, ["level", *up]).select(*base, *occ, "n", near.alias("near"), far.alias("far"))
+    by_far = Window.partitionBy(*base).orderBy("far").rangeBetween(Window.unboundedPreceding, 0)
+    everywhere = Window.partitionBy(*base)
+    cand = cand.withColumn("_sure", F.sum("n").over(by_far)).withColumn(
+        "_limit", F.coalesce(F.min(F.when(F.col("_sure") >= k, F.col("far"))).over(everywhere), F.max("far").over(everywhere)))
+    kept = cand.filter(F.col("near") <= F.col("_limit")).select(*base, *occ).join(tiled_sites, occ).drop(*occ)
     d2 = sum((square(F.col(d) - F.col(f"s_{d}")) for d in dims), F.lit(0.0))
-    met = pts.select(pid, *dims, *tile_cols()).join(kept, base).select(*base, pid, sid, d2.alias("d2"))
+    met = pts.select(pid, *dims, *tile_cols(base)).join(kept, base).select(pid, sid, d2.alias("d2"))
     if k == 1:
-        best = met.groupBy(*base, pid).agg(F.min(F.struct("d2", sid)).alias("m"))
+        best = met.groupBy(pid).agg(F.min(F.struct("d2", sid)).alias("m"))
         return best.select(pid, F.col(f"m.{sid}").alias(sid), F.lit(1).alias("rank"), F.col("m.d2").alias("d2"))
-    order = Window.partitionBy(*base, pid).orderBy("d2", sid)
+    order = Window.partitionBy(pid).orderBy("d2", sid)
     return (met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select(pid, sid, "rank", "d2"))
 
@@ -213,11 +216,11 @@ def interior_points(edges: DataFrame, lattice: Lattice, key: str = "feature_id")
                        (lattice.y0 + sign * (-F.col("m.r") + 0.5) * lattice.res).alias("y"))
 
 
-def exactly_one(df: DataFrame, condition: Column, what: str) -> DataFrame:
-    """The rows that satisfy a condition; the job fails unless there is exactly one."""
-    hit = df.filter(condition)
-    n = hit.agg(F.count(F.lit(1)).alias("_n")).select(
+def exactly_one(df: DataFrame, condition: Column, what: str, keep_all: bool = False) -> DataFrame:
+    """The row that satisfies a condition (or all rows); the job fails unless exactly one does."""
+    n = df.agg(F.count_if(condition).alias("_n")).select(
         F.when(F.col("_n") == 1, F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit(f"expected exactly one {what}, found "), F.col("_n").cast("string")))
+            F.raise_error(F.concat(F.lit(f"expected exactly one {what}, found "), F.col("_n").cast("string"))).cast("boolean")
         ).alias("_ok"))
-    return hit.join(n, F.col("_ok")).drop("_ok")
+    checked = attach(df, n).filter("_ok").drop("_ok")
+    return checked if keep_all else checked.filter(condition)

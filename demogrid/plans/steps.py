@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import recode
+from ..functions.columns import attach, recode
 from ..functions.text import airport_label, is_urban
 from ..model import GridSpec
 from ..operators import cover as V
@@ -172,9 +172,9 @@ def border(cells: DataFrame, spec: GridSpec, edges: DataFrame, lines: DataFrame,
     named = edges.join(lines.select("feature_id", F.col("border").alias("side")), "feature_id").drop("feature_id")
     pixels = V.within(V.touched_pixels(named, coarse_lattice(spec), key="side", filled=False), spec.nrows, spec.ncols).withColumn("class", F.lit(1))
     sides = lines.select(F.col("border").alias("side")).distinct()
-    one_coast = exactly_one(sides, F.col("side") == coast, "coast line").select(F.lit(True).alias("_ok"))
-    sides = sides.join(one_coast, F.lit(True)).drop("_ok")
-    dense = R.dense_lattice(cells.sparkSession, spec.nrows, spec.ncols).join(sides, F.lit(True))
+    # one code per neighbour state, a short list; exactly one of them is the coast
+    codes = exactly_one(sides, F.col("side") == coast, "coast line", keep_all=True).agg(F.collect_set("side").alias("sides"))
+    dense = attach(R.dense_lattice(cells.sparkSession, spec.nrows, spec.ncols), codes).select("prow", "pcol", F.explode("sides").alias("side"))
     raster = dense.join(pixels, ["side", "prow", "pcol"], "left")
     near = R.nearest_group(R.distance_transform(raster, groups=["side"]), "side", coast, spec.res)
     out = _on_cells(cells, near.withColumnsRenamed({"prow": "brow", "pcol": "bcol"}))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import air, times
+from ..functions.columns import attach
 from ..operators import forecast as W
 from .base import BINDINGS, query
 
@@ -105,7 +106,7 @@ WITH {_CHORD}, dd AS (SELECT user_id % (SELECT COUNT(*) FROM nodes_ll) AS grid_i
 SELECT cell_id, valid_date, tmin, tmax FROM nn JOIN dd ON dd.grid_id = nn.grid_id WHERE k = 1 AND valid_date >= {_TODAY}""")
 def _(t):
     n = t.nodes_ll.agg(F.count(F.lit(1)).alias("n"))
-    daily = (t.base("events").join(n, F.lit(True))
+    daily = (attach(t.base("events"), n)
              .groupBy((F.col("user_id") % F.col("n")).alias("grid_id"), F.to_date("ts").alias("valid_date"))
              .agg(F.min("value").alias("tmin"), F.max("value").alias("tmax")))
     return W.point_forecast(W.nearest_node(t.cells_ll, t.nodes_ll), daily, t.cells_ll, F.lit("2024-01-15").cast("date"))
@@ -332,6 +333,6 @@ def _(t):
     a = W.grid_fingerprint(cells, nodes)
     b = W.grid_fingerprint(cells.orderBy(F.desc("cell_id")), nodes.repartition(3)).select(F.col("fingerprint").alias("again"))
     c = W.grid_fingerprint(cells, moved).select(F.col("fingerprint").alias("other"))
-    return a.join(b, F.lit(True)).join(c, F.lit(True)).select(
+    return attach(attach(a, b), c).select(
         (F.col("fingerprint") == F.col("again")).alias("stable"), (F.col("fingerprint") != F.col("other")).alias("notices_change"),
         F.length("fingerprint").alias("length"))

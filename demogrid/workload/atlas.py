@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import has_data, nan_to_null, recode, to_long
+from ..functions.columns import attach, has_data, nan_to_null, recode, to_long
 from ..functions.text import share_label
 from ..model import Between, In, Question, Registry, Variable
 from ..operators import measures as M
@@ -522,7 +522,7 @@ WITH s AS (SELECT cell_id, CAST(pop_total AS DOUBLE) / (SELECT SUM(pop_total) FR
 SELECT cell_id, CASE WHEN share > 0 AND share < 0.001 THEN '<0.1%' ELSE printf('%.1f', ROUND(share * 100, 1)) || '%' END AS label FROM s""")
 def _(t):
     whole = t.core.agg(F.sum("pop_total").alias("total"))
-    return t.core.join(whole, F.lit(True)).select("cell_id", share_label(F.col("pop_total").cast("double") / F.col("total")).alias("label"))
+    return attach(t.core, whole).select("cell_id", share_label(F.col("pop_total").cast("double") / F.col("total")).alias("label"))
 
 
 @query("f14_missing_value_tests", "env", """
@@ -531,5 +531,5 @@ SELECT COUNT(*) FILTER (isnan(alt_mean)) AS n_nan, COUNT(*) FILTER (landform_typ
 def _(t):
     env = t.env
     clean = nan_to_null(env, "alt_mean").agg(F.sum(F.coalesce(F.col("alt_mean").cast("double"), F.lit(0.0))).alias("total"))
-    return (env.agg(F.count_if(F.isnan("alt_mean")).alias("n_nan"), F.count_if(F.col("landform_type").isNull()).alias("n_null"))
-            .join(rounded(clean, "total", places=4), F.lit(True)))
+    counts = env.agg(F.count_if(F.isnan("alt_mean")).alias("n_nan"), F.count_if(F.col("landform_type").isNull()).alias("n_null"))
+    return attach(counts, rounded(clean, "total", places=4))

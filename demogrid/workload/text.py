@@ -25,8 +25,7 @@ def _(t):
 WITH {_SCORE} SELECT query, entry_id, kind, ROUND(CAST(score AS DOUBLE), 6) AS score, CAST(pos AS INT) AS pos FROM (
  SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score, s, entry_id) AS pos FROM m) z WHERE pos <= 12""")
 def _(t):
-    queries = t.spark.createDataFrame([("ele",), (" Éta ",), ("the",), ("x",)], "query string")
-    found = X.search_names(t.names, queries)
+    found = X.search_names(t.names, ["ele", " Éta ", "the", "x"])
     return found.select("query", "entry_id", "kind", F.round("score", 6).alias("score"), "pos")
 
 
