@@ -19,12 +19,11 @@ def numeric_stats(df: DataFrame, names: list[str]) -> DataFrame:
     Exact percentiles with linear interpolation. NaN counts as missing and is excluded."""
     long = df.select(*[F.when(has_data(df, n), F.col(n)).cast("double").alias(n) for n in names]) \
         .unpivot([], names, "variable", "x")
-    base = long.groupBy("variable").agg(F.min("x").alias("min"), F.max("x").alias("max"),
-                                        F.count_if(F.col("x").isNull()).alias("nulls"))
-    qs = interpolated_quantiles(long, "x", [0.02, 0.5, 0.98], ["variable"])
+    base = long.groupBy("variable").agg(F.count_if(F.col("x").isNull()).alias("nulls"))
+    qs = interpolated_quantiles(long, "x", [0.0, 0.02, 0.5, 0.98, 1.0], ["variable"])
     wide = qs.groupBy("variable").agg(*[
         F.max(F.when(F.col("q") == q, F.col("value"))).alias(c)
-        for q, c in ((0.02, "p02"), (0.5, "p50"), (0.98, "p98"))])
+        for q, c in ((0.0, "min"), (0.02, "p02"), (0.5, "p50"), (0.98, "p98"), (1.0, "max"))])
     return base.join(wide, "variable", "left").select(
         "variable", "min", "max", "p02", "p50", "p98", "nulls")
 
@@ -160,12 +159,13 @@ def top_categories(dist: DataFrame) -> DataFrame:
 
 def category_comparison(dist: DataFrame, area_a: str, area_b: str, area: str = "area") -> DataFrame:
     """Share of each category of A beside its share in B, 0 where B lacks it."""
-    a = dist.filter(F.col(area) == area_a).select("cat", F.col("pop").alias("pa"))
-    b = dist.filter(F.col(area) == area_b).select("cat", F.col("pop").alias("pb"))
-    ta, tb = a.agg(F.sum("pa").alias("ta")), b.agg(F.sum("pb").alias("tb"))
-    return (attach(attach(a.join(b, "cat", "left"), ta), tb)
-            .select("cat", F.coalesce(safe_ratio(F.col("pa"), F.col("ta")), F.lit(0.0)).alias("share_a"),
-                    safe_ratio(F.coalesce(F.col("pb"), F.lit(0.0)), F.col("tb")).alias("share_b")))
+    pa, pb = (F.sum(F.when(F.col(area) == x, F.col("pop"))) for x in (area_a, area_b))
+    both = dist.filter(F.col(area).isin(area_a, area_b))
+    per_cat = both.groupBy("cat").agg(pa.alias("pa"), pb.alias("pb")).filter(F.col("pa").isNotNull())
+    totals = both.agg(pa.alias("ta"), pb.alias("tb"))
+    return attach(per_cat, totals).select(
+        "cat", F.coalesce(safe_ratio(F.col("pa"), F.col("ta")), F.lit(0.0)).alias("share_a"),
+        safe_ratio(F.coalesce(F.col("pb"), F.lit(0.0)), F.col("tb")).alias("share_b"))
 
 
 def ranking(cells: DataFrame, by: str = "area") -> DataFrame:
@@ -190,16 +190,14 @@ def compare_areas(cells: DataFrame, spec: DataFrame, area_a: str, area_b: str,
     """One row: p10, p50, p90 and mean of two areas side by side, and the verdict on medians."""
     cells = cells.filter(F.col(area).isin(area_a, area_b))
     hist = weighted_histogram(cells, spec, [area])
-    qs = (histogram_quantiles(hist, spec, [0.1, 0.5, 0.9], [area])
-          .groupBy(area).pivot("q", [0.1, 0.5, 0.9]).agg(F.first("value"))
-          .toDF(area, "p10", "p50", "p90"))
-    stats = qs.join(weighted_mean(cells, [area]), area)
-
-    def side(name: str, tag: str) -> DataFrame:
-        return stats.filter(F.col(area) == name).select(
-            *[F.col(c).alias(f"{c}_{tag}") for c in ("p10", "p50", "p90", "wmean")])
-
-    both = attach(side(area_a, "a"), side(area_b, "b"))
+    names = {0.1: "p10", 0.5: "p50", 0.9: "p90"}
+    name = F.lit("wmean")
+    for q, label in names.items():
+        name = F.when(F.col("q") == q, label).otherwise(name)
+    figures = (histogram_quantiles(hist, spec, list(names), [area]).select(area, name.alias("name"), "value")
+               .unionByName(weighted_mean(cells, [area]).select(area, F.lit("wmean").alias("name"), F.col("wmean").alias("value"))))
+    both = figures.agg(*[F.max(F.when((F.col(area) == x) & (F.col("name") == n), F.col("value"))).alias(f"{n}_{tag}")
+                         for x, tag in ((area_a, "a"), (area_b, "b")) for n in (*names.values(), "wmean")])
     return both.withColumn("verdict", verdict(F.col("p50_a"), F.col("p50_b")))
 
 

@@ -94,6 +94,10 @@ SELECT s_suppkey AS feature_id, s_name AS name, 0 AS ring, k AS seq,
        CAST(FLOOR(s_suppkey * 0.375) AS BIGINT) * 1000 + CASE k WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 2200 WHEN 3 THEN 2200 WHEN 4 THEN 4200 ELSE 4200 END AS y
 FROM supplier CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) kk"""
 
+# The same rows in Spark without a join against the list of corners.
+SPARK_TEXT = {"vertices": BINDINGS["vertices"].replace(
+    BINDINGS["vertices"][BINDINGS["vertices"].index("CROSS JOIN"):], "LATERAL VIEW explode(array(0, 1, 2, 3, 4, 5)) kk AS k")}
+
 BINDINGS["edges"] = """
 SELECT v.feature_id, v.name, CAST(v.x AS DOUBLE) AS x1, CAST(v.y AS DOUBLE) AS y1,
        CAST(w.x AS DOUBLE) AS x2, CAST(w.y AS DOUBLE) AS y2
@@ -161,17 +165,17 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BINDINGS:
-            return self.sql(with_bindings([name], f"SELECT * FROM {name}"))
+            return self.sql(with_bindings([name], f"SELECT * FROM {name}", SPARK_TEXT))
         raise AttributeError(name)
 
 
-def with_bindings(names: list[str], body: str) -> str:
+def with_bindings(names: list[str], body: str, texts: dict[str, str] | None = None) -> str:
     ordered: list[str] = []
     for n in names:
         for d in (*DEPENDS.get(n, ()), n):
             if d not in ordered:
                 ordered.append(d)
-    ctes = ",\n".join(f"{n} AS ({BINDINGS[n].strip()})" for n in ordered)
+    ctes = ",\n".join(f"{n} AS ({(texts or {}).get(n, BINDINGS[n]).strip()})" for n in ordered)
     body = body.strip()
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {ctes},\n{body[len('WITH RECURSIVE'):]}"
