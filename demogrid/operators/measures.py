@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,25 @@ def histogram_spec(stats: DataFrame) -> DataFrame:
             .withColumn("bw", (F.col("hi") - F.col("lo")) / N_BINS))
 
 
+class HistSpec(NamedTuple):
+    """A published histogram range, read once and used as constants."""
+
+    lo: float
+    hi: float
+    bw: float
+
+
+def read_spec(spec: DataFrame) -> HistSpec:
+    row = spec.select("lo", "hi", "bw").first()
+    return HistSpec(row["lo"], row["hi"], row["bw"])
+
+
+def _with_spec(df: DataFrame, spec: HistSpec | DataFrame) -> DataFrame:
+    if isinstance(spec, HistSpec):
+        return df.withColumns({k: F.lit(v) for k, v in spec._asdict().items()})
+    return attach(df, spec.select("lo", "hi", "bw"))
+
+
 def analysed_cells(atlas: Atlas, var: str, q: Question) -> DataFrame:
     """Selected cells with data for ``var``: (cell_id, county_mn, x, w)."""
     cells = selection(atlas, q, (var, "county_mn"), [lambda df: has_data(df, var)])
@@ -92,11 +113,11 @@ def analysed_cells(atlas: Atlas, var: str, q: Question) -> DataFrame:
                         F.col(q.measure).cast("double").alias("w"))
 
 
-def weighted_histogram(cells: DataFrame, spec: DataFrame, by: list[str] = ()) -> DataFrame:
+def weighted_histogram(cells: DataFrame, spec: HistSpec | DataFrame, by: list[str] = ()) -> DataFrame:
     """(by…, bin, pop): fine bins, tails clamped into the first and last. ``spec`` is one row."""
     raw = F.floor((F.col("x") - F.col("lo")) / F.col("bw"))
     bin_ = F.least(F.greatest(raw, F.lit(0)), F.lit(N_BINS - 1)).cast("int")
-    return (attach(cells, spec.select("lo", "hi", "bw"))
+    return (_with_spec(cells, spec)
             .groupBy(*by, bin_.alias("bin")).agg(F.sum("w").alias("pop")))
 
 
@@ -107,7 +128,7 @@ def weighted_mean(cells: DataFrame, by: list[str] = ()) -> DataFrame:
         F.sum("w").alias("pop"))
 
 
-def histogram_quantiles(hist: DataFrame, spec: DataFrame, qs: list[float], by: list[str] = ()) -> DataFrame:
+def histogram_quantiles(hist: DataFrame, spec: HistSpec | DataFrame, qs: list[float], by: list[str] = ()) -> DataFrame:
     """(by…, q, value) by linear interpolation on the cumulative histogram.
 
     At most 120 rows per area reach the window, whatever the number of cells."""
@@ -120,7 +141,7 @@ def histogram_quantiles(hist: DataFrame, spec: DataFrame, qs: list[float], by: l
     first = cum.groupBy(*by, "q").agg(F.min(F.struct("bin", "cum", "pop", "target")).alias("h"))
     before = F.col("h.cum") - F.col("h.pop")
     frac = F.when(F.col("h.pop") > 0, (F.col("h.target") - before) / F.col("h.pop")).otherwise(0.0)
-    return (attach(first, spec.select("lo", "bw"))
+    return (_with_spec(first, spec)
             .select(*by, "q", (F.col("lo") + (F.col("h.bin") + frac) * F.col("bw")).alias("value")))
 
 
@@ -129,13 +150,13 @@ def exact_quantiles(cells: DataFrame, qs: list[float], by: list[str] = ()) -> Da
     return weighted_quantiles(cells, "x", "w", qs, by)
 
 
-def display_bins(hist: DataFrame, spec: DataFrame, n: int = 40, by: list[str] = ()) -> DataFrame:
+def display_bins(hist: DataFrame, spec: HistSpec | DataFrame, n: int = 40, by: list[str] = ()) -> DataFrame:
     """(by…, display_bin, centre, pop, pct): coarser bins for drawing, and percent of the area."""
     per = max(1, round(N_BINS / n))
     g = (F.col("bin") / per).cast("int")
     coarse = hist.groupBy(*by, g.alias("display_bin")).agg(F.sum("pop").alias("pop"))
     whole = Window.partitionBy(*by)
-    return (attach(coarse, spec.select("lo", "bw"))
+    return (_with_spec(coarse, spec)
             .select(*by, "display_bin",
                     (F.col("lo") + (F.col("display_bin") * per + per / 2) * F.col("bw")).alias("centre"),
                     "pop", (100 * safe_ratio(F.col("pop"), F.sum("pop").over(whole))).alias("pct")))
@@ -185,7 +206,7 @@ def verdict(a: Column, b: Column) -> Column:
             .when(near, "about equal").when(a > b, "higher").otherwise("lower"))
 
 
-def compare_areas(cells: DataFrame, spec: DataFrame, area_a: str, area_b: str,
+def compare_areas(cells: DataFrame, spec: HistSpec | DataFrame, area_a: str, area_b: str,
                   area: str = "area") -> DataFrame:
     """One row: p10, p50, p90 and mean of two areas side by side, and the verdict on medians."""
     cells = cells.filter(F.col(area).isin(area_a, area_b))

@@ -111,6 +111,9 @@ def distance_transform(pixels: DataFrame, cls: str = "class", groups: list[str]
         pdf["cost"] = _lower_envelope(pdf["pcol"].to_numpy(np.int64), pdf["cost"].to_numpy(np.int64))
         return pdf
 
+    # The row pass is long for its bytes, so it keeps the full number of tasks.
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vertical = vertical.repartition(tasks, *groups, "prow")
     full = vertical.groupBy(*groups, "prow").applyInPandas(along_row, vertical.schema)
     known = F.col("cost") >= 0
     return full.select(*groups, "prow", "pcol",

@@ -16,8 +16,14 @@ def get_spark(app: str = "demogrid", cores: str = "*", shuffle_partitions: int |
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small results in few tasks, larger ones spread: a local session has few cores
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # call-site capture on every column expression is for debugging and slows plan building
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if shuffle_partitions:

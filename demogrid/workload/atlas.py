@@ -255,11 +255,15 @@ def _cells(t: Tables, var: str = "alt_mean", *cs) -> DataFrame:
     return M.analysed_cells(atlas(t), var, _ask(*cs))
 
 
-def _spec(t: Tables, var: str = "alt_mean") -> DataFrame:
+def _spec_row(t: Tables, var: str = "alt_mean") -> DataFrame:
     """The published histogram range uses the rounded statistics."""
     return M.histogram_spec(M.rounded_stats(M.numeric_stats(t.env, [var])))
 
 
+def _spec(t: Tables, var: str = "alt_mean") -> M.HistSpec:
+    return M.read_spec(_spec_row(t, var))
+
+
 def _hist_cte(v: str = "alt_mean") -> str:
     return f"""x AS ({_X.format(v=v)}),
 s AS (SELECT ROUND(quantile_cont(CAST({v} AS DOUBLE), 0.02), 3) AS lo, ROUND(quantile_cont(CAST({v} AS DOUBLE), 0.98), 3) AS hi
@@ -284,7 +288,7 @@ def _(t):
 WITH {_hist_cte().split('h AS (')[0].replace('x AS (' + _X.format(v='alt_mean') + '),', '').strip().rstrip(',')}
 SELECT 'alt_mean' AS variable, lo, hi, ROUND(bw, 6) AS bw FROM sp""")
 def _(t):
-    return rounded(_spec(t), "bw")
+    return rounded(_spec_row(t), "bw")
 
 
 @query("a06_weighted_mean", "core env", f"""

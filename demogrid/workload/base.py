@@ -165,7 +165,10 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BINDINGS:
-            return self.sql(with_bindings([name], f"SELECT * FROM {name}", SPARK_TEXT))
+            key = (self.spark.sparkContext.applicationId, self.sf_dir, f"binding {name}")
+            if key not in _PLANS:
+                _PLANS[key] = self.sql(with_bindings([name], f"SELECT * FROM {name}", SPARK_TEXT))
+            return _PLANS[key]
         raise AttributeError(name)
 
 

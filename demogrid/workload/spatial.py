@@ -155,15 +155,15 @@ ins AS (SELECT px.feature_id, r, c FROM px JOIN edges e ON e.feature_id = px.fea
 isl AS (SELECT feature_id, r, c, c - ROW_NUMBER() OVER (PARTITION BY feature_id, r ORDER BY c) AS g FROM ins),
 runs AS (SELECT feature_id, r, MIN(c) AS c0, MAX(c) - MIN(c) AS len FROM isl GROUP BY feature_id, r, g),
 best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY feature_id ORDER BY len DESC, r, c0) AS k FROM runs)
-SELECT feature_id, (c0 + FLOOR(len / 2) + 0.5) * 250.0 AS x, (r + 0.5) * 250.0 AS y FROM best WHERE k = 1""".replace(
+SELECT feature_id, CAST((c0 + FLOOR(len / 2) + 0.5) * 250.0 AS DOUBLE) AS x, CAST((r + 0.5) * 250.0 AS DOUBLE) AS y FROM best WHERE k = 1""".replace(
     "SUM(CASE WHEN MIN(cx) <", "SUM(CASE WHEN c * 250 + 125 <").replace("(cy - e.y1)", "(r * 250 + 125 - e.y1)"))
 def _(t):
     return S.interior_points(_edges(t), V.Lattice(0.0, 0.0, 250.0))
 
 
-@query("j20_exactly_one_lookup", "", "SELECT n_nationkey, n_regionkey FROM nation WHERE n_name = 'NATION_7'")
+@query("j20_exactly_one_lookup", "", "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_name = 'Supplier#000000007'")
 def _(t):
-    return S.exactly_one(t.base("nation"), F.col("n_name") == "NATION_7", "unit").select("n_nationkey", "n_regionkey")
+    return S.exactly_one(t.base("supplier"), F.col("s_name") == "Supplier#000000007", "unit").select("s_suppkey", "s_nationkey")
 
 
 # --- coverage --------------------------------------------------------------------------------

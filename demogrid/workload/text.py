@@ -15,7 +15,7 @@ m AS (SELECT query, entry_id, s, kind, CASE WHEN instr(s, needle) = 1 THEN 0.0 W
 
 
 @query("f02_accent_insensitive_match", "names", """
-SELECT entry_id, length(lower(strip_accents(name))) AS n, instr(lower(strip_accents(name)), 'ele') > 0 AS hit FROM names""")
+SELECT entry_id, CAST(length(lower(strip_accents(name))) AS INT) AS n, instr(lower(strip_accents(name)), 'ele') > 0 AS hit FROM names""")
 def _(t):
     n = X.normalise(F.col("name"))
     return t.names.select("entry_id", F.length(n).alias("n"), (F.instr(n, "ele") > 0).alias("hit"))
