@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..model import GridSpec
 from ..plans import steps as P
 from ..sources.tables import assemble
-from .base import BINDINGS, DEPENDS, query
+from .base import BINDINGS, DEPENDS, ORACLES, query
 
 # The test polygons moved off the pixel lines, so that no vertex lies on a pixel border.
 BINDINGS["shapes"] = "SELECT feature_id, x1 + 7 AS x1, y1 + 9 AS y1, x2 + 7 AS x2, y2 + 9 AS y2 FROM edges"
@@ -44,6 +44,14 @@ def _attrs(t):
     return s.select(F.col("s_suppkey").alias("feature_id"), F.col("s_nationkey").alias("k"), "s_name", "s_acctbal")
 
 
+def _units(t):
+    k = F.col("k") % 3
+    code = F.col("k").cast("string")
+    return _attrs(t).select(
+        "feature_id", F.col("feature_id").alias("natCode"), F.col("s_name").alias("name"), F.when(k == 0, "Comuna").when(k == 1, "Oras").otherwise("?").alias("natLevName"),
+        code.alias("countyMn"), code.alias("county"), code.alias("region"))
+
+
 @query("layer_administrative_units", _USES, """
 WITH p AS (SELECT cell_id, col * 1000 + 500 AS x, row * 1000 + 500 AS y FROM core),
 hits AS (SELECT p.cell_id, e.feature_id FROM p JOIN shapes e ON (e.y1 > p.y) <> (e.y2 > p.y) GROUP BY 1, 2
@@ -59,10 +67,7 @@ SELECT a.cell_id, CAST(s_suppkey AS INT) AS siruta, CASE WHEN s_nationkey % 3 =
  CASE WHEN s_nationkey % 3 = 0 THEN 'rural' WHEN s_nationkey % 3 = 1 THEN 'urban' END AS mediu FROM a LEFT JOIN supplier ON s_suppkey = a.f""")
 def _(t):
     cells, spec, edges = _grid(t)
-    k = F.col("k") % 3
-    units = _attrs(t).select(
-        "feature_id", F.col("feature_id").alias("natCode"), F.col("s_name").alias("name"), F.when(k == 0, "Comuna").when(k == 1, "Oras").otherwise("?").alias("natLevName"),
-        F.col("k").cast("string").alias("countyMn"), F.col("k").cast("string").alias("county"), F.col("k").cast("string").alias("region"))
+    units = _units(t)
     return P.admin(cells, spec, edges, units).select("cell_id", "siruta", "uat_status", "mediu")
 
 
@@ -173,14 +178,17 @@ def _(t):
     return a.withColumn("dist_airport_km", F.round(F.col("dist_airport_km").cast("double"), 4))
 
 
-@query("layer_environment_table", _USES + " sites")
+@query("layer_environment_table", "core sites", f"""
+SELECT a.cell_id, a.siruta, a.uat_status, a.mediu, b.risc_urs, h.dist_hospital_km, h.nearest_hospital
+FROM ({ORACLES["layer_administrative_units"]}) a JOIN ({ORACLES["layer_bear_risk"]}) b ON b.cell_id = a.cell_id
+JOIN (SELECT cell_id, ROUND(CAST(CAST(SQRT(d2) / 1000 AS FLOAT) AS DOUBLE), 4) AS dist_hospital_km, name AS nearest_hospital FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY cell_id ORDER BY d2, site_id) AS k FROM (
+    SELECT cell_id, site_id, name, POWER(col * 1000 + 500 - x, 2) + POWER(row * 1000 + 500 - y, 2) AS d2 FROM core CROSS JOIN sites WHERE active = 1) p) q WHERE k = 1) h ON h.cell_id = a.cell_id""")
 def _(t):
     """Several layers assembled into one wide table, as the published environment table is."""
     cells, spec, edges = _grid(t)
-    a = _attrs(t)
-    units = a.select("feature_id", F.col("feature_id").alias("natCode"), F.col("s_name").alias("name"), F.lit("Comuna").alias("natLevName"),
-                     F.col("k").cast("string").alias("countyMn"), F.col("k").cast("string").alias("county"), F.col("k").cast("string").alias("region"))
     hosp = t.sites.select("site_id", F.col("name").alias("nume"), "active", "x", (spec.n_top - F.col("y")).alias("y"))
-    parts = [P.admin(cells, spec, edges, units), P.bear_risk(cells, spec, edges, a.select("feature_id", (F.col("k") % 3).alias("symbol"))),
+    parts = [P.admin(cells, spec, edges, _units(t)), P.bear_risk(cells, spec, edges, _attrs(t).select("feature_id", (F.col("k") % 3).alias("symbol"))),
              P.hospitals(cells, spec, hosp)]
-    return assemble(parts)
+    wide = assemble(parts, drop=("uat_name", "county_mn", "county_name", "region_name"))
+    return wide.withColumn("dist_hospital_km", F.round(F.col("dist_hospital_km").cast("double"), 4))
