@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality
-from .common import table
+from . import bpe, chat, fingerprints, mixing, quality
+from .common import table, whole
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -30,6 +30,19 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", "error_turn"))
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", whole("text").alias("text"))
+    docs = docs.withColumn("sketch", fingerprints.sketch(F.col("text")))
+    near = fingerprints.with_following(docs, columns=("text", "sketch"))
+    near = near.withColumn("edited", fingerprints.edited_text(F.col("text"), F.col("next_text")))
+    near = near.withColumn("edited_sketch", fingerprints.sketch(F.col("edited")))
+    return near.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                       fingerprints.encode(F.col("sketch")).alias("fingerprint"),
+                       fingerprints.encode(F.col("edited_sketch")).alias("edited_fingerprint"),
+                       fingerprints.containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+                       fingerprints.containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -46,4 +59,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(sized).select("doc_id", "size", "source_size", "target", "taken", "first_piece", "piece_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op5_quality_rules, op9_bpe_round_trip, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op5_quality_rules, op9_bpe_round_trip, op10_source_mix)}
