@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, mixing, quality
+from . import bpe, chat, fingerprints, lm, mixing, quality
 from .common import table, whole
 from .oracles import ORACLES  # noqa: F401
 
@@ -43,6 +43,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        fingerprints.containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
 
 
+def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -59,4 +63,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(sized).select("doc_id", "size", "source_size", "target", "taken", "first_piece", "piece_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op5_quality_rules, op9_bpe_round_trip, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op4_hmm_scores, op5_quality_rules, op9_bpe_round_trip, op10_source_mix)}
