@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, lm, mixing, quality
+from . import bpe, chat, fingerprints, lm, mixing, quality, toxicity
 from .common import table, whole
 from .oracles import ORACLES  # noqa: F401
 
@@ -43,6 +43,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        fingerprints.containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                   table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,4 +68,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(sized).select("doc_id", "size", "source_size", "target", "taken", "first_piece", "piece_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op4_hmm_scores, op5_quality_rules, op9_bpe_round_trip, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_toxicity, op4_hmm_scores, op5_quality_rules, op9_bpe_round_trip, op10_source_mix)}
