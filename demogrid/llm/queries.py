@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, lm, mixing, quality, toxicity
+from . import bpe, chat, fingerprints, jaccard, lm, mixing, quality, toxicity
 from .common import table, whole
 from .oracles import ORACLES  # noqa: F401
 
@@ -58,6 +58,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "base_failed", "kept", F.round("removed_share", 6).alias("removed_share"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, vocabulary_path()).select("doc_id", *bpe.digests(docs))
@@ -68,4 +72,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(sized).select("doc_id", "size", "source_size", "target", "taken", "first_piece", "piece_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_toxicity, op4_hmm_scores, op5_quality_rules, op9_bpe_round_trip, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_toxicity, op4_hmm_scores, op5_quality_rules, op7_jaccard_join, op9_bpe_round_trip, op10_source_mix)}
