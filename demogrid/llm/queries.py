@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, lm, mixing, pii, quality, toxicity
+from . import bpe, chat, fingerprints, jaccard, licenses, lm, mixing, pii, quality, toxicity
 from .common import table, whole
 from .oracles import ORACLES  # noqa: F401
 
@@ -62,6 +62,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), "licenses")
+
+
 #: Key of the registered query; a deployment passes its own secret.
 SAMPLE_KEY = b"documentation key, not a secret"
 
@@ -81,4 +86,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(sized).select("doc_id", "size", "source_size", "target", "taken", "first_piece", "piece_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_toxicity, op4_hmm_scores, op5_quality_rules, op7_jaccard_join, op8_pii_surrogates, op9_bpe_round_trip, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_toxicity, op4_hmm_scores, op5_quality_rules, op6_license_scan, op7_jaccard_join, op8_pii_surrogates, op9_bpe_round_trip, op10_source_mix)}
