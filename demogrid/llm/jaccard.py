@@ -260,3 +260,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     real = F.col("id") < NAMELESS
     return out.select(F.when(real, F.col("id")).alias("doc_id"), "n_shingles",
                       F.when(F.col("component_id") < NAMELESS, F.col("component_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of every component, the document with the smallest id stays.
+
+    Of rows repeated under one id, one stays; of rows without id, one of each text that no other row is linked with.
+    Documents without words are linked with nothing and stay. Columns and their order do not change."""
+    found = cut_lineage(jaccard_components(docs, doc_id, text))
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+    repeated = cut_lineage(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("n")).filter(
+        "n > 1").select(doc_id))
+    nameless = found.filter("doc_id is null").limit(1).count() > 0
+    out = docs.join(gone, doc_id, "left_anti")
+    if repeated.limit(1).count():
+        out = out.join(repeated, doc_id, "left_anti").unionByName(out.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id]))
+    if nameless:
+        lone = out.filter(F.col(doc_id).isNull())
+        known = out.filter(F.col(doc_id).isNotNull())
+        out = known.unionByName(lone.dropDuplicates([text]).join(known.select(F.col(text).alias("_t")), F.col(text) == F.col("_t"), "left_anti"))
+    return out.select(*docs.columns)

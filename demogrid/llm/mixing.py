@@ -129,15 +129,24 @@ def word_piece(text: Column, first: Column, count: Column) -> Column:
     return F.rtrim(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"{WORD}(?:{GAP})?"), F.lit(0)), first + 1, count), ""))
 
 
-def apply_mix(planned: DataFrame, text: str = "text", size: str = "size", doc_id: str = "doc_id", chars: str = "n_chars") -> DataFrame:
-    """The rows of the mix, with the columns of ``planned``: each document as often as it is taken, then its piece.
+def apply_mix(planned: DataFrame, text: str = "text", size: str = "size", piece: str = "is_piece") -> DataFrame:
+    """The rows of the mix: each document as often as it is taken, then the piece of it, marked by the column ``piece``.
 
-    ``n_chars`` follows the text of a piece. Documents of which nothing is taken are gone."""
+    Documents of which nothing is taken are gone."""
     copies = F.when(F.col(size) > 0, F.expr(f"(taken - piece_words) div greatest({size}, 1)")).otherwise(0)
-    rows = planned.withColumn("_part", F.explode(F.concat(
+    rows = planned.withColumn(piece, F.explode(F.concat(
         F.array_repeat(F.lit(False), copies.cast("int")), F.array_repeat(F.lit(True), (F.col("piece_words") > 0).cast("int")))))
-    cut = F.when(F.col("_part"), word_piece(F.col(text), F.col("first_piece").cast("int"), F.col("piece_words").cast("int"))).otherwise(F.col(text))
-    rows = rows.withColumn(text, cut)
-    if chars in rows.columns:
-        rows = rows.withColumn(chars, F.when(F.col("_part"), F.length(text).cast("bigint")).otherwise(F.col(chars)))
-    return rows.drop("_part")
+    return rows.withColumn(text, F.when(F.col(piece), word_piece(
+        F.col(text), F.col("first_piece").cast("int"), F.col("piece_words").cast("int"))).otherwise(F.col(text)))
+
+
+def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", chars: str = "n_chars", **options) -> DataFrame:
+    """The mixed documents themselves, with the columns of ``docs``; options as in `mix_plan`, repeats and pieces as in `apply_mix`."""
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"),
+                      F.col(text).alias("_text"), n_words(F.col(text)).alias("_size"))
+    planned = mix_plan(row, source="_source", doc_id="_id", size="_size", **options)
+    taken = apply_mix(planned, text="_text", size="_size", piece="_piece")
+    new = {text: F.col("_text")}
+    if chars in docs.columns:
+        new[chars] = F.when(F.col("_piece"), F.length("_text").cast(docs.schema[chars].dataType)).otherwise(F.col(f"_row.{chars}"))
+    return taken.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])
