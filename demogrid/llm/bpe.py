@@ -7,9 +7,9 @@ pieces it has met. The vocabulary (fixed size, a parameter) is broadcast."""
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 #: Split pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 150_000  # pieces a task remembers
+CACHE = 250_000  # pieces in each of the two generations that a task remembers
+_POSITION = (1 << 40) - 1
 LONGEST_CACHED = 64  # characters of a piece worth remembering
 BATCH = 128  # texts turned into one Arrow batch
 
@@ -32,55 +33,59 @@ def byte_letters() -> dict[int, str]:
 
 
 def load_vocabulary(path: str) -> dict:
-    """Vocabulary bytes by id, merge ranks by pair of ids, ids of the 256 bytes and added tokens, from a tokenizer's JSON file."""
+    """Vocabulary bytes by id, ranks of pairs, the symbol each rank makes, ids of the 256 bytes and added tokens, from a tokenizer's JSON file."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     letters = byte_letters()
     back = {c: b for b, c in letters.items()}
     ids = spec["model"]["vocab"]
     vocab = {i: bytes(back[c] for c in s) for s, i in ids.items() if all(c in back for c in s)}
-    merges = {}
+    ranks, made = {}, []
     for rank, pair in enumerate(spec["model"]["merges"]):
         a, b = pair.split(" ") if isinstance(pair, str) else pair
-        merges[ids[a], ids[b]] = (rank, ids[a + b])
+        ranks.setdefault(ids[a] << 32 | ids[b], rank)
+        made.append(ids[a + b])
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     vocab |= {i: s.encode() for s, i in added.items()}
-    return {"vocab": vocab, "merges": merges, "bytes": [ids[letters[b]] for b in range(256)], "added": added}
+    return {"vocab": vocab, "ranks": ranks, "made": made, "bytes": [ids[letters[b]] for b in range(256)], "added": added}
 
 
-def merge_piece(symbols: list[int], merges: dict) -> list[int]:
-    """Apply the merges to one piece, lowest rank first, leftmost first among equals."""
+def merge_piece(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """Apply the merges to one piece, lowest rank first, leftmost first among equals.
+
+    ``ranks`` has a pair (a, b) at ``a << 32 | b``, ``made`` the symbol of each rank. A queue entry is
+    ``rank << 40 | position``; it is stale if the pair at its position no longer has that rank."""
     n = len(symbols)
-    if n < 2:
+    rank_of = ranks.get
+    queue = []
+    for i in range(n - 1):
+        r = rank_of(symbols[i] << 32 | symbols[i + 1])
+        if r is not None:
+            queue.append(r << 40 | i)
+    if not queue:
         return symbols
+    heapify(queue)
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    queue = []
-    for i in range(n - 1):
-        hit = merges.get((symbols[i], symbols[i + 1]))
-        if hit:
-            queue.append((hit[0], i, hit[1]))
-    heapq.heapify(queue)
     while queue:
-        rank, i, made = heapq.heappop(queue)
-        j = after[i] if symbols[i] >= 0 else n
-        if j >= n:
+        entry = heappop(queue)
+        i, r = entry & _POSITION, entry >> 40
+        j = after[i]
+        if j >= n or symbols[i] < 0 or rank_of(symbols[i] << 32 | symbols[j]) != r:
             continue
-        hit = merges.get((symbols[i], symbols[j]))
-        if hit is None or hit[0] != rank:
-            continue  # stale: one of the two symbols has been merged meanwhile
-        symbols[i], symbols[j] = made, -1
+        one = symbols[i] = made[r]
+        symbols[j] = -1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            hit = merges.get((made, symbols[k]))
-            if hit:
-                heapq.heappush(queue, (hit[0], i, hit[1]))
+            r = rank_of(one << 32 | symbols[k])
+            if r is not None:
+                heappush(queue, r << 40 | i)
         h = before[i]
         if h >= 0:
-            hit = merges.get((symbols[h], made))
-            if hit:
-                heapq.heappush(queue, (hit[0], h, hit[1]))
+            r = rank_of(symbols[h] << 32 | one)
+            if r is not None:
+                heappush(queue, r << 40 | h)
     return [s for s in symbols if s >= 0]
 
 
@@ -88,26 +93,29 @@ class Codec:
     """Encoder and decoder of whole texts."""
 
     def __init__(self, model: dict):
-        self.merges, self.bytes = model["merges"], model["bytes"]
+        self.ranks, self.made, self.bytes = model["ranks"], model["made"], model["bytes"]
         self.vocab = model["vocab"]
         self.added = model["added"]
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.cache: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def _piece(self, piece: str) -> list[int]:
-        of = self.bytes
-        ids = merge_piece([of[b] for b in piece.encode("utf-8")], self.merges)
+        ids = self.older.get(piece)
+        if ids is None:
+            of = self.bytes
+            ids = merge_piece([of[b] for b in piece.encode("utf-8")], self.ranks, self.made)
         if len(piece) <= LONGEST_CACHED:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[piece] = ids
         return ids
 
     def _plain(self, text: str, out: list[int]) -> None:
-        known, make, extend = self.cache.get, self._piece, out.extend
+        make, extend = self._piece, out.extend
         for piece in self.split.findall(text):
-            extend(known(piece) or make(piece))
+            extend(self.cache.get(piece) or make(piece))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of the text. Added tokens' strings in it become their id; NULL is empty."""
