@@ -54,7 +54,7 @@ WITH docs AS (
 ), dups AS (
   SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY k
 ), doc AS (
-  SELECT k, min(md5(norm)) AS doc FROM worded GROUP BY k
+  SELECT k, min(md5(norm)) || max(md5(norm)) AS doc FROM worded GROUP BY k
 ), seen AS (
   SELECT source, norm, count(DISTINCT doc) AS n FROM worded JOIN doc USING (k) GROUP BY source, norm
 ), hosts AS (

@@ -57,11 +57,11 @@ def line_frequency(docs: DataFrame, host: str = "source", text: str = "text", ke
     """(key…, host, words, removed): words of each document on any line, and on lines above the limit of its host.
 
     A line is above the limit if more than ``floor`` and more than ``share`` of the host's distinct documents have it.
-    Copies count as one document: documents are told apart by the smallest MD5 of their lines, on which copies with
-    some lines changed mostly agree too, so that a group of copies does not make its own text boilerplate. NULL host is a host of its own. Documents without words have no row."""
+    Copies count as one document: documents are told apart by the smallest and largest MD5 of their lines, on which
+    copies with some lines changed mostly agree too, so that a group of copies does not make its own text boilerplate. NULL host is a host of its own. Documents without words have no row."""
     cut = F.filter(F.transform(F.split(whole(text), "\n"), normal_line), lambda x: x != "")
     per_doc = docs.select(*key, F.col(host).alias("_host"), let(cut, lambda a: F.struct(
-        F.array_min(F.transform(a, lambda x: F.md5(x.cast("binary")))).alias("doc"),
+        let(F.transform(a, lambda x: F.md5(x.cast("binary"))), lambda m: F.concat(F.array_min(m), F.array_max(m))).alias("doc"),
         F.transform(a, lambda x: F.struct(F.xxhash64(x).alias("h"), (
             F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("n"))).alias("lines"))).alias("d"))
     rows = per_doc.select(*key, "_host", F.col("d.doc").alias("_doc"), F.inline("d.lines"))
