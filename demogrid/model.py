@@ -33,6 +33,9 @@ class Variable:
     decimals: int | None = None
     filter_range: tuple[float, float] | None = None
     pin_last: tuple[str, ...] = ()
+    group: str = ""
+    label: str = ""
+    unit: str | None = None
 
 
 @dataclass(frozen=True)

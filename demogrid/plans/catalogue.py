@@ -4,89 +4,76 @@ from __future__ import annotations
 
 from ..model import Between, In, Preset, Question, Registry, Threshold, Variable, Variant
 
-# Id | table | type | roles (f = filter, p = profile) | decimals | filter range | pinned last
-_VARIABLES = """
-pop_total core int fp
-pop_f core int p
-pop_m core int p
-pop_0_14 core int p
-pop_15_64 core int p
-pop_65p core int p
-pop_ocupata core int p
-pop_cet_ro core int p
-pop_mutati_in_tara core int p
-pop_mutati_strainatate core int p
-pop_2011 core float p 0
-pop_2006 core float p 0
-mediu env cat fp
-intravilan env cat fp
-uat_status env cat fp
-uat_name env cat p
-county_mn env cat fp
-region_name env cat fp
-alt_mean env float fp 0 0:2544
-alt_min env float p 0
-alt_max env float p 0
-alt_std env float p 1
-slope_mean env float fp 1
-landform_type env cat fp
-landform_lvl0 env cat fp
-landform_lvl1 env cat p
-landform_name env cat p
-dist_coast_km env float fp 0 0:685
-dist_water_km env float fp 1 0:28
-categorie_apa env cat fp - - Alt_tip
-dist_curs_km env float fp 1 0:30
-categorie_curs env cat fp
-dist_inundatii_km env float fp 1 0:20
-scenariu_inundatii env cat p
-risc_urs env cat fp
-dist_border_km env float fp 0 0:218
-border_neighbor env cat fp
-dist_crossing_km env float fp 0 0:235
-nearest_crossing env cat p
-dist_protected_km env float fp 1
-acces_gaz env cat fp
-dist_hospital_km env float fp 1 0:73
-nearest_hospital env cat p
-dist_airport_km env float fp 0 0:126
-nearest_airport env cat p
-tmean climate float fp 1
-tmin_mean climate float p 1
-tmax_mean climate float p 1
-precip_total climate float fp 0
-precip_max_daily climate float fp 1
-hot_days climate int fp
-tropical_nights climate int fp
-frost_days climate int fp
-summer_days climate int p
-wet_days climate int p
-tmean_norm_9120 climate float fp 1
-tmean_norm_6190 climate float p 1
-warming_deg climate float fp 2
-tmean_trend_dec climate float fp 2
-tmean_anom_2025 climate float fp 1
-prec_norm_9120 climate float fp 0
-prec_norm_6190 climate float p 0
-prec_change_pct climate float fp 1
-"""
+# Ids, tables, types, roles, decimals, filter ranges and categories shown last. Labels are our own.
+VARIABLES = (
+    Variable("pop_total", "core", "int", ("filter", "profile"), group="people", label="All residents", unit="people"),
+    Variable("pop_f", "core", "int", ("profile",), group="people", label="Women", unit="people"),
+    Variable("pop_m", "core", "int", ("profile",), group="people", label="Men", unit="people"),
+    Variable("pop_0_14", "core", "int", ("profile",), group="people", label="Children under 15", unit="people"),
+    Variable("pop_15_64", "core", "int", ("profile",), group="people", label="Aged 15 to 64", unit="people"),
+    Variable("pop_65p", "core", "int", ("profile",), group="people", label="Aged 65 and over", unit="people"),
+    Variable("pop_ocupata", "core", "int", ("profile",), group="people", label="In work", unit="people"),
+    Variable("pop_cet_ro", "core", "int", ("profile",), group="people", label="Citizens of the country", unit="people"),
+    Variable("pop_mutati_in_tara", "core", "int", ("profile",), group="people", label="Moved within the country", unit="people"),
+    Variable("pop_mutati_strainatate", "core", "int", ("profile",), group="people", label="Moved from abroad", unit="people"),
+    Variable("pop_2011", "core", "float", ("profile",), decimals=0, group="people", label="Residents at the 2011 census", unit="people"),
+    Variable("pop_2006", "core", "float", ("profile",), decimals=0, group="people", label="Residents in 2006", unit="people"),
+    Variable("mediu", "env", "cat", ("filter", "profile"), group="place", label="Urban or rural unit"),
+    Variable("intravilan", "env", "cat", ("filter", "profile"), group="place", label="Kind of built-up area"),
+    Variable("uat_status", "env", "cat", ("filter", "profile"), group="place", label="Status of the municipality"),
+    Variable("uat_name", "env", "cat", ("profile",), group="place", label="Municipality"),
+    Variable("county_mn", "env", "cat", ("filter", "profile"), group="place", label="County"),
+    Variable("region_name", "env", "cat", ("filter", "profile"), group="place", label="Region"),
+    Variable("alt_mean", "env", "float", ("filter", "profile"), decimals=0, filter_range=(0, 2544), group="relief", label="Mean altitude", unit="m"),
+    Variable("alt_min", "env", "float", ("profile",), decimals=0, group="relief", label="Lowest point", unit="m"),
+    Variable("alt_max", "env", "float", ("profile",), decimals=0, group="relief", label="Highest point", unit="m"),
+    Variable("alt_std", "env", "float", ("profile",), decimals=1, group="relief", label="Spread of altitudes", unit="m"),
+    Variable("slope_mean", "env", "float", ("filter", "profile"), decimals=1, group="relief", label="Mean slope", unit="degrees"),
+    Variable("landform_type", "env", "cat", ("filter", "profile"), group="relief", label="Landform"),
+    Variable("landform_lvl0", "env", "cat", ("filter", "profile"), group="relief", label="Landform, coarsest level"),
+    Variable("landform_lvl1", "env", "cat", ("profile",), group="relief", label="Landform, second level"),
+    Variable("landform_name", "env", "cat", ("profile",), group="relief", label="Name of the landform unit"),
+    Variable("dist_coast_km", "env", "float", ("filter", "profile"), decimals=0, filter_range=(0, 685), group="water", label="Distance to the coast", unit="km"),
+    Variable("dist_water_km", "env", "float", ("filter", "profile"), decimals=1, filter_range=(0, 28), group="water", label="Distance to standing water", unit="km"),
+    Variable("categorie_apa", "env", "cat", ("filter", "profile"), pin_last=("Alt tip",), group="water", label="Kind of the nearest standing water"),
+    Variable("dist_curs_km", "env", "float", ("filter", "profile"), decimals=1, filter_range=(0, 30), group="water", label="Distance to a watercourse", unit="km"),
+    Variable("categorie_curs", "env", "cat", ("filter", "profile"), group="water", label="Kind of the nearest watercourse"),
+    Variable("dist_inundatii_km", "env", "float", ("filter", "profile"), decimals=1, filter_range=(0, 20), group="hazards", label="Distance to a flood zone", unit="km"),
+    Variable("scenariu_inundatii", "env", "cat", ("profile",), group="hazards", label="Flood scenario"),
+    Variable("risc_urs", "env", "cat", ("filter", "profile"), group="hazards", label="Bear risk"),
+    Variable("dist_border_km", "env", "float", ("filter", "profile"), decimals=0, filter_range=(0, 218), group="access", label="Distance to the border", unit="km"),
+    Variable("border_neighbor", "env", "cat", ("filter", "profile"), group="access", label="Nearest neighbouring country"),
+    Variable("dist_crossing_km", "env", "float", ("filter", "profile"), decimals=0, filter_range=(0, 235), group="access", label="Distance to a border crossing", unit="km"),
+    Variable("nearest_crossing", "env", "cat", ("profile",), group="access", label="Nearest border crossing"),
+    Variable("dist_protected_km", "env", "float", ("filter", "profile"), decimals=1, group="nature", label="Distance to a protected area", unit="km"),
+    Variable("acces_gaz", "env", "cat", ("filter", "profile"), group="access", label="Gas network"),
+    Variable("dist_hospital_km", "env", "float", ("filter", "profile"), decimals=1, filter_range=(0, 73), group="access", label="Distance to a hospital", unit="km"),
+    Variable("nearest_hospital", "env", "cat", ("profile",), group="access", label="Nearest hospital"),
+    Variable("dist_airport_km", "env", "float", ("filter", "profile"), decimals=0, filter_range=(0, 126), group="access", label="Distance to an airport", unit="km"),
+    Variable("nearest_airport", "env", "cat", ("profile",), group="access", label="Nearest airport"),
+    Variable("tmean", "climate", "float", ("filter", "profile"), decimals=1, group="climate", label="Mean temperature", unit="°C"),
+    Variable("tmin_mean", "climate", "float", ("profile",), decimals=1, group="climate", label="Mean of daily minima", unit="°C"),
+    Variable("tmax_mean", "climate", "float", ("profile",), decimals=1, group="climate", label="Mean of daily maxima", unit="°C"),
+    Variable("precip_total", "climate", "float", ("filter", "profile"), decimals=0, group="climate", label="Precipitation", unit="mm"),
+    Variable("precip_max_daily", "climate", "float", ("filter", "profile"), decimals=1, group="climate", label="Wettest day", unit="mm"),
+    Variable("hot_days", "climate", "int", ("filter", "profile"), group="climate", label="Days of 30 °C and more", unit="days"),
+    Variable("tropical_nights", "climate", "int", ("filter", "profile"), group="climate", label="Nights of 20 °C and more", unit="days"),
+    Variable("frost_days", "climate", "int", ("filter", "profile"), group="climate", label="Days with frost", unit="days"),
+    Variable("summer_days", "climate", "int", ("profile",), group="climate", label="Days of 25 °C and more", unit="days"),
+    Variable("wet_days", "climate", "int", ("profile",), group="climate", label="Days with rain", unit="days"),
+    Variable("tmean_norm_9120", "climate", "float", ("filter", "profile"), decimals=1, group="climate", label="Mean temperature 1991-2020", unit="°C"),
+    Variable("tmean_norm_6190", "climate", "float", ("profile",), decimals=1, group="climate", label="Mean temperature 1961-1990", unit="°C"),
+    Variable("warming_deg", "climate", "float", ("filter", "profile"), decimals=2, group="climate", label="Warming between the two periods", unit="°C"),
+    Variable("tmean_trend_dec", "climate", "float", ("filter", "profile"), decimals=2, group="climate", label="Trend per decade", unit="°C"),
+    Variable("tmean_anom_2025", "climate", "float", ("filter", "profile"), decimals=1, group="climate", label="Departure of 2025", unit="°C"),
+    Variable("prec_norm_9120", "climate", "float", ("filter", "profile"), decimals=0, group="climate", label="Precipitation 1991-2020", unit="mm"),
+    Variable("prec_norm_6190", "climate", "float", ("profile",), decimals=0, group="climate", label="Precipitation 1961-1990", unit="mm"),
+    Variable("prec_change_pct", "climate", "float", ("filter", "profile"), decimals=1, group="climate", label="Change of precipitation", unit="%"),
+)
 
 MEASURES = ("pop_total", "pop_f", "pop_m", "pop_0_14", "pop_15_64", "pop_65p", "pop_ocupata")
 
-
-def _variable(line: str) -> Variable:
-    parts = line.split() + ["-"] * 7
-    vid, table, dtype, roles, decimals, rng, pinned = parts[:7]
-    return Variable(
-        vid, table, dtype,
-        roles=tuple({"f": "filter", "p": "profile"}[r] for r in roles),
-        decimals=None if decimals == "-" else int(decimals),
-        filter_range=None if rng == "-" else tuple(float(x) for x in rng.split(":")),
-        pin_last=() if pinned == "-" else (pinned.replace("_", " "),),
-    )
-
-
-REGISTRY = Registry(tuple(_variable(x) for x in _VARIABLES.strip().splitlines()), MEASURES)
+REGISTRY = Registry(VARIABLES, MEASURES)
 
 # Category sets used by the questions.
 PLAIN = ("câmpie", "vale", "grind", "baltă/lac")

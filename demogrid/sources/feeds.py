@@ -9,12 +9,17 @@ from ..functions.levels import level_code, level_colour, level_name, rank_of_cod
 from ..functions.columns import blank_to_null
 
 # Attributes of the feed elements; ``_`` marks an XML attribute.
-_NOW = ("avertizareId numarAvertizare avertizareNivelCod avertizareTipDenumire fenomenAvertizat coordsGis useCoordsGis srid "
-        "dataInceput dataSfarsit entitateOrganizatorica")
-_GEN = "numeTipMesaj numeCuloare fenomeneVizate dataAparitiei dataExpirarii intervalul zonaAfectata"
+_NOW = (
+    "avertizareId", "numarAvertizare", "avertizareNivelCod", "avertizareTipDenumire", "fenomenAvertizat", "coordsGis",
+    "useCoordsGis", "srid", "dataInceput", "dataSfarsit", "entitateOrganizatorica",
+)
+_GEN = (
+    "numeTipMesaj", "numeCuloare", "fenomeneVizate", "dataAparitiei", "dataExpirarii", "intervalul",
+    "zonaAfectata",
+)
 _UNIT = "struct<_VALUE: string, _cod: string, _culoare: string, _coordGis: string, _useCoordGis: string>"
-NOWCASTING_SCHEMA = ", ".join(f"_{a} string" for a in _NOW.split()) + ", zona_afectata array<struct<_VALUE: string, _text: string>>"
-GENERAL_SCHEMA = ", ".join(f"_{a} string" for a in _GEN.split()) + f", judet array<{_UNIT}>, zona array<{_UNIT}>"
+NOWCASTING_SCHEMA = ", ".join(f"_{a} string" for a in _NOW) + ", zona_afectata array<struct<_VALUE: string, _text: string>>"
+GENERAL_SCHEMA = ", ".join(f"_{a} string" for a in _GEN) + f", judet array<{_UNIT}>, zona array<{_UNIT}>"
 
 NOWCAST_KIND = "Avertizare nowcasting"
 GENERAL_KIND = "Atenționare meteorologică"
