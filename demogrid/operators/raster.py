@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import square
 
 BLOCK = 10  # pixels per side of a cell
-CLASS_BASE = 1024  # class numbers must stay below this
+BAND = 256  # pixel rows of a band in the column pass
 
 
 def dense_lattice(spark: SparkSession, nrows: int, ncols: int) -> DataFrame:
@@ -50,24 +50,23 @@ def block_stats(pixels: DataFrame, value: str = "value", f: int = BLOCK) -> Data
         F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
 
 
-def _lower_envelope(col: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """min over j of CLASS_BASE*(x - col[j])**2 + cost[j] at every x in ``col``, in linear time.
+def _lower_envelope(col: np.ndarray, d2: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """min over j of (x - col[j])**2 + d2[j] at every x in ``col`` and the class it comes from, in linear time.
 
-    Integers throughout: the cost carries the class in its low part, so equal distances
-    resolve to the smallest class."""
-    have = np.flatnonzero(cost >= 0)
+    Only columns with a target are visited (d2 >= 0). Of equal distances the smallest class wins."""
+    have = np.flatnonzero(d2 >= 0)
     if len(have) == 0:
-        return np.full(len(col), -1, dtype=np.int64)
-    xs, cs = col[have].tolist(), cost[have].tolist()
+        return np.full(len(col), -1, dtype=np.int64), np.zeros(len(col), dtype=np.int64)
+    xs, cs, ks = col[have].tolist(), d2[have].tolist(), cls[have].tolist()
     hull: list[int] = []
     start: list[int] = []  # first integer x at which hull[i] is the best
     for j, (x, c) in enumerate(zip(xs, cs)):
         begin = None
         while hull:
             i = hull[-1]
-            # parabola j is at least as good as i from this integer on
-            num = c - cs[i] + CLASS_BASE * (x * x - xs[i] * xs[i])
-            begin = -((-num) // (2 * CLASS_BASE * (x - xs[i])))
+            # parabola j is better than i from this integer on; on a tie only with a smaller class
+            num, den = c - cs[i] + x * x - xs[i] * xs[i], 2 * (x - xs[i])
+            begin = -(-num // den) if ks[j] < ks[i] else num // den + 1
             if begin <= start[-1]:
                 hull.pop()
                 start.pop()
@@ -76,49 +75,60 @@ def _lower_envelope(col: np.ndarray, cost: np.ndarray) -> np.ndarray:
                 break
         hull.append(j)
         start.append(begin if begin is not None else -(1 << 62))
-    pick = np.asarray(hull)[np.searchsorted(np.asarray(start), col, side="right") - 1]
-    x0 = np.asarray(xs, dtype=np.int64)[pick]
-    return CLASS_BASE * (col - x0) ** 2 + np.asarray(cs, dtype=np.int64)[pick]
+    pick = have[np.asarray(hull)[np.searchsorted(np.asarray(start), col, side="right") - 1]]
+    return (col - col[pick]) ** 2 + d2[pick], cls[pick]
+
+
+def _nearest_in_column(pixels: DataFrame, target: Column, keys: list[str]) -> DataFrame:
+    """Add ``_up`` and ``_down``: the nearest target (struct r, c) at or above and at or below each pixel of a column.
+
+    Columns are cut into bands. Windows see one band of one column; what lies beyond comes from a table with one row per
+    band, so no task sees a whole column of pixels."""
+    banded = pixels.withColumns({"_t": target, "_band": F.floor(F.col("prow") / BAND)})
+    cut = [*keys, "_band"]
+    bands = banded.filter(F.col("_t").isNotNull()).groupBy(*cut).agg(F.max("_t").alias("_last"), F.min("_t").alias("_first"))
+    every = banded.select(*cut).distinct().join(bands, cut, "left")
+    before = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = every.select(*cut, F.last("_last", ignorenulls=True).over(before).alias("_above"),
+                          F.last("_first", ignorenulls=True).over(after).alias("_below"))
+    up = Window.partitionBy(*cut).orderBy("prow").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*cut).orderBy(F.desc("prow")).rowsBetween(Window.unboundedPreceding, 0)
+    near = (banded.withColumn("_up", F.last("_t", ignorenulls=True).over(up))
+            .withColumn("_down", F.last("_t", ignorenulls=True).over(down)))
+    return near.join(beyond, cut).withColumns({"_up": F.coalesce("_up", "_above"), "_down": F.coalesce("_down", "_below")}).drop(
+        "_t", "_band", "_above", "_below")
 
 
 def distance_transform(pixels: DataFrame, cls: str = "class", groups: list[str] = (), rows: Column | None = None) -> DataFrame:
     """(groups…, prow, pcol, d2, class): squared pixel distance to the nearest target and that
     target's class, exactly; smallest class among equally near targets.
 
-    ``pixels`` is dense, with a class number (1 … CLASS_BASE-1) on targets and NULL elsewhere.
-    Down the columns, two window passes find the nearest target above and below; along the
-    rows, a lower envelope of parabolas combines the columns. Tasks see one pixel column or
-    row each, whose length is the raster's side. Pixels of a group without targets get NULL.
+    ``pixels`` is dense, with a class number on targets and NULL elsewhere. Down the columns, the nearest target above and
+    below is found band by band; along the rows, a lower envelope of parabolas combines the columns that have a target.
+    Distance and class are carried side by side. Pixels of a group without targets get NULL.
     ``rows`` keeps only some pixel rows for the second pass, where only those are wanted."""
     groups = list(groups)
-    col_keys = [*groups, "pcol"]
     target = F.when(F.col(cls).isNotNull(), F.struct(F.col("prow").alias("r"), F.col(cls).cast("bigint").alias("c")))
-    above = Window.partitionBy(*col_keys).orderBy("prow").rowsBetween(Window.unboundedPreceding, 0)
-    below = Window.partitionBy(*col_keys).orderBy(F.desc("prow")).rowsBetween(Window.unboundedPreceding, 0)
 
     def cost(hit: Column) -> Column:
-        return square(F.col("prow") - hit["r"]) * CLASS_BASE + hit["c"]
+        return F.when(hit.isNotNull(), F.struct(square(F.col("prow") - hit["r"]).alias("d2"), hit["c"].alias("c")))
 
-    one = (pixels.withColumns({"_up": F.last(target, ignorenulls=True).over(above)})
-           .withColumn("_down", F.last(target, ignorenulls=True).over(below)))
-    vertical = one.select(*groups, "prow", "pcol", F.coalesce(
-        F.least(cost(F.col("_up")), cost(F.col("_down"))), F.lit(-1)).cast("bigint").alias("cost"))
+    one = _nearest_in_column(pixels.select(*groups, "prow", "pcol", cls), target, [*groups, "pcol"])
     if rows is not None:
-        vertical = vertical.filter(rows)
+        one = one.filter(rows)
+    best = F.least(cost(F.col("_up")), cost(F.col("_down")))
+    vertical = one.select(*groups, "prow", "pcol", best.alias("b")).select(
+        *groups, "prow", "pcol", F.coalesce("b.d2", F.lit(-1)).cast("bigint").alias("d2"), F.coalesce("b.c", F.lit(0)).cast("bigint").alias("class"))
 
     def along_row(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pcol", ignore_index=True)
-        pdf["cost"] = _lower_envelope(pdf["pcol"].to_numpy(np.int64), pdf["cost"].to_numpy(np.int64))
+        pdf["d2"], pdf["class"] = _lower_envelope(*(pdf[c].to_numpy(np.int64) for c in ("pcol", "d2", "class")))
         return pdf
 
-    # The row pass is long for its bytes, so it keeps the full number of tasks.
-    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vertical = vertical.repartition(tasks, *groups, "prow")
     full = vertical.groupBy(*groups, "prow").applyInPandas(along_row, vertical.schema)
-    known = F.col("cost") >= 0
-    return full.select(*groups, "prow", "pcol",
-                       F.when(known, F.floor(F.col("cost") / CLASS_BASE)).alias("d2"),
-                       F.when(known, F.col("cost") % CLASS_BASE).cast("int").alias("class"))
+    known = F.col("d2") >= 0
+    return full.select(*groups, "prow", "pcol", F.when(known, F.col("d2")).alias("d2"), F.when(known, F.col("class")).cast("int").alias("class"))
 
 
 def distance_km(d2: Column, pixel_m: float) -> Column:
@@ -168,19 +178,25 @@ def nearest_group(distances: DataFrame, group: str, apart: str | None = None, pi
 
 def slope_degrees(pixels: DataFrame, value: str = "value", pixel_m: float = 100.0) -> DataFrame:
     """Add ``slope``: central differences inside, one-sided at the edges. A missing neighbour
-    value leaves the slope NULL, as NaN would."""
-    v = F.col(value).cast("double")
-
-    def gradient(across: str, along: str) -> Column:
-        w = Window.partitionBy(across).orderBy(along)
-        n = F.count(F.lit(1)).over(Window.partitionBy(across))
-        i = F.row_number().over(w)
-        before, after = F.lag(v).over(w), F.lead(v).over(w)
-        return (F.when(i == 1, after - v).when(i == n, v - before).otherwise((after - before) / 2)) / pixel_m
-
-    return (pixels.withColumn("_gy", gradient("pcol", "prow")).withColumn("_gx", gradient("prow", "pcol"))
-            .withColumn("slope", F.degrees(F.atan(F.sqrt(square(F.col("_gx")) + square(F.col("_gy"))))))
-            .drop("_gx", "_gy"))
+    value leaves the slope NULL, as NaN would.
+
+    Every pixel sends its value to itself and its four neighbours; the pixels then meet theirs in one
+    aggregation, so no task sees a row or column of the raster."""
+    def to(side: str, dr: int, dc: int) -> Column:
+        return F.struct((F.col("prow") + dr).alias("prow"), (F.col("pcol") + dc).alias("pcol"), F.lit(side).alias("side"), F.col("v"))
+
+    sent = pixels.select("prow", "pcol", F.col(value).cast("double").alias("v")).select(F.inline(F.array(
+        to("own", 0, 0), to("above", 1, 0), to("below", -1, 0), to("left", 0, 1), to("right", 0, -1))))
+    sides = ("own", "above", "below", "left", "right")
+    met = sent.groupBy("prow", "pcol").agg(
+        *[F.max(F.when(F.col("side") == x, F.struct("v"))).alias(x) for x in sides]).filter(F.col("own").isNotNull())
+
+    def gradient(before: str, after: str) -> Column:
+        v, b, a = F.col("own.v"), F.col(f"{before}.v"), F.col(f"{after}.v")
+        return F.when(F.col(before).isNull(), a - v).when(F.col(after).isNull(), v - b).otherwise((a - b) / 2) / pixel_m
+
+    slope = F.degrees(F.atan(F.sqrt(square(gradient("above", "below")) + square(gradient("left", "right")))))
+    return pixels.join(met.select("prow", "pcol", slope.alias("slope")), ["prow", "pcol"])
 
 
 def bilinear_resample(targets: DataFrame, source: DataFrame, x0: float, y0: float, step: float,
