@@ -137,12 +137,14 @@ def histogram_quantiles(hist: DataFrame, spec: HistSpec | DataFrame, qs: list[fl
     cum = (hist.withColumn("cum", F.sum("pop").over(w))
            .withColumn("total", F.sum("pop").over(whole)).filter(F.col("total") > 0)
            .withColumn("q", F.explode(F.array(*[F.lit(float(x)) for x in qs])))
-           .withColumn("target", F.col("total") * F.col("q")).filter(F.col("cum") >= F.col("target")))
-    first = cum.groupBy(*by, "q").agg(F.min(F.struct("bin", "cum", "pop", "target")).alias("h"))
+           .withColumn("target", F.col("total") * F.col("q")))
+    reached = F.when(F.col("cum") >= F.col("target"), F.struct("bin", "cum", "pop", "target"))
+    first = cum.groupBy(*by, "q").agg(F.min(reached).alias("h"))
     before = F.col("h.cum") - F.col("h.pop")
     frac = F.when(F.col("h.pop") > 0, (F.col("h.target") - before) / F.col("h.pop")).otherwise(0.0)
+    # where rounding leaves the last sum below the target, the upper end of the histogram is the answer
     return (_with_spec(first, spec)
-            .select(*by, "q", (F.col("lo") + (F.col("h.bin") + frac) * F.col("bw")).alias("value")))
+            .select(*by, "q", (F.col("lo") + F.coalesce(F.col("h.bin") + frac, F.lit(float(N_BINS))) * F.col("bw")).alias("value")))
 
 
 def exact_quantiles(cells: DataFrame, qs: list[float], by: list[str] = ()) -> DataFrame:

@@ -103,7 +103,8 @@ def points_near_lines(points: DataFrame, edges: DataFrame, distance: float, pid:
 
 
 CROWDED = 16  # sites per finest tile that call for a finer tile
-FINER = 6     # at most so many halvings
+FINER = 6     # halvings looked at in one pass
+DEEPEST = 60  # beyond the resolution of coordinates: sites still together then are at one place
 
 
 def _pyramid_shape(points: DataFrame, sites: DataFrame, dims: list[str], k: int) -> tuple[list[float], float, int]:
@@ -122,11 +123,15 @@ def _pyramid_shape(points: DataFrame, sites: DataFrame, dims: list[str], k: int)
     his = [max(v for v in (p[f"hi_{d}"], s[f"hi_{d}"]) if v is not None) for d in dims]
     span = max(max(h - lo for lo, h in zip(los, his)), 1e-9)
     fine = span / max(1.0, 2.0 * math.sqrt(s["n"]))
-    halving = F.explode(F.sequence(F.lit(0), F.lit(FINER))).alias("h")
     keys = [F.floor((F.col(d).cast("double") - o) * F.pow(F.lit(2.0), F.col("h")) / fine).alias(f"c{i}") for i, (d, o) in enumerate(zip(dims, los))]
-    crowd = (sites.select(*dims, halving).select("h", *keys).groupBy("h", *[f"c{i}" for i in range(len(dims))]).agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("h").agg(F.max("n").alias("n")).filter(F.col("n") <= CROWDED * k).agg(F.min("h")).first()[0])
-    fine /= 2.0 ** (FINER if crowd is None else crowd)
+    crowd = None
+    for h in range(0, DEEPEST, FINER + 1):
+        halving = F.explode(F.sequence(F.lit(h), F.lit(h + FINER))).alias("h")
+        crowd = (sites.select(*dims, halving).select("h", *keys).groupBy("h", *[f"c{i}" for i in range(len(dims))]).agg(F.count(F.lit(1)).alias("n"))
+                 .groupBy("h").agg(F.max("n").alias("n")).filter(F.col("n") <= CROWDED * k).agg(F.min("h")).first()[0])
+        if crowd is not None:
+            break
+    fine /= 2.0 ** (DEEPEST if crowd is None else crowd)
     return los, fine, max(1, math.ceil(math.log2(span / fine)) + 2)
 
 
