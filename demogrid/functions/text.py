@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the letters they fold to.
-ACCENTED = "àáâãäåăāçćčďèéêëēěìíîïīłñńňòóôõöőøřśșşšťțţùúûüűůýÿźżž"
-FOLDED = "aaaaaaaacccdeeeeeeiiiiilnnnooooooorsssstttuuuuuuyyzzz"
+# Latin letters that have no decomposition, and what they fold to.
+PLAIN_LETTERS = {"ł": "l", "ø": "o"}
+
+
+def _folding() -> dict[str, str]:
+    """Lower-case letters with a canonical decomposition, and their base letters."""
+    table = dict(PLAIN_LETTERS)
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        letter = chr(code)
+        base = unicodedata.normalize("NFD", letter)[0]
+        if base != letter and letter == letter.lower():
+            table[letter] = base
+    return table
+
+
+FOLDING = _folding()
+ACCENTED, FOLDED = "".join(FOLDING), "".join(FOLDING.values())
 
 
 def normalise(col: Column) -> Column:
-    """Lower case without accents; the same rule for indexed names and for queries."""
-    return F.translate(F.lower(col), ACCENTED, FOLDED)
+    """Lower case without accents, whether letters are composed or followed by combining marks; the same
+    rule for indexed names and for queries."""
+    return F.regexp_replace(F.translate(F.lower(col), ACCENTED, FOLDED), "[\\u0300-\\u036F]", "")
 
 
 def alnum_key(col: Column) -> Column:

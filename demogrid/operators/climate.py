@@ -27,16 +27,22 @@ def sample_index(cells: DataFrame, lat: tuple[float, float, int], lon: tuple[flo
 
 def reindex_with_tolerance(obs: DataFrame, lat: tuple[float, float, int], lon: tuple[float, float, int],
                            tolerance: float) -> DataFrame:
-    """Move observations (lat, lon, …) onto a reference lattice. Each lattice point takes the
-    nearest value on either axis if it is within the tolerance; others are dropped."""
-    def snap(name: str, axis: tuple[float, float, int]) -> tuple[Column, Column]:
+    """Every point (iy, ix) of a reference lattice with the observation (lat, lon, …) nearest to it,
+    NULL where none is within the tolerance on both axes.
+
+    Of equally near observations the one with the smallest columns, in their order, is taken."""
+    def snap(name: str, axis: tuple[float, float, int]) -> tuple[Column, Column, Column]:
         i = F.rint((F.col(name) - axis[0]) / axis[1])
         gap = F.abs(F.col(name) - (axis[0] + i * axis[1]))
-        return i.cast("bigint"), (gap <= tolerance) & (i >= 0) & (i < axis[2])
-
-    iy, oky = snap("lat", lat)
-    ix, okx = snap("lon", lon)
-    return obs.filter(oky & okx).withColumns({"iy": iy, "ix": ix})
+        return i.cast("bigint"), gap, (gap <= tolerance) & (i >= 0) & (i < axis[2])
+
+    (iy, gy, oky), (ix, gx, okx) = snap("lat", lat), snap("lon", lon)
+    row = F.struct(*[c for c in obs.columns if c not in PIXEL])
+    near = obs.filter(oky & okx).groupBy(iy.alias("iy"), ix.alias("ix")).agg(
+        F.min(F.struct((gy * gy + gx * gx).alias("gap"), row.alias("row"))).alias("m")).select("iy", "ix", "m.row.*")
+    lattice = obs.sparkSession.range(lat[2] * lon[2]).select(
+        F.floor(F.col("id") / lon[2]).alias("iy"), (F.col("id") % lon[2]).alias("ix"))
+    return lattice.join(near, PIXEL, "left")
 
 
 def align_exactly(frames: dict[str, DataFrame], keys: list[str] = ("date", "iy", "ix")) -> DataFrame:

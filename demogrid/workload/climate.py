@@ -39,11 +39,14 @@ def _(t):
 
 
 @query("j14_reindex_with_tolerance", "placed", """
-SELECT cell_id, CAST(round_even(lat, 0) AS BIGINT) AS iy, CAST(round_even(lon, 0) AS BIGINT) AS ix FROM placed
-WHERE ABS(lat - round_even(lat, 0)) <= 0.3 AND ABS(lon - round_even(lon, 0)) <= 0.3 AND round_even(lat, 0) < 10 AND round_even(lon, 0) < 10""")
+WITH o AS (SELECT cell_id, lat, lon, CAST(round_even(lat, 0) AS BIGINT) AS iy, CAST(round_even(lon, 0) AS BIGINT) AS ix FROM placed
+ WHERE ABS(lat - round_even(lat, 0)) <= 0.3 AND ABS(lon - round_even(lon, 0)) <= 0.3),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY iy, ix ORDER BY POWER(lat - iy, 2) + POWER(lon - ix, 2), cell_id) AS k FROM o),
+g AS (SELECT a.i AS iy, b.i AS ix FROM range(10) a(i) CROSS JOIN range(10) b(i))
+SELECT g.iy, g.ix, cell_id FROM g LEFT JOIN r ON r.iy = g.iy AND r.ix = g.ix AND k = 1""")
 def _(t):
     obs = t.placed.select("cell_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    return K.reindex_with_tolerance(obs, _AXIS, _AXIS, 0.3).select("cell_id", "iy", "ix")
+    return K.reindex_with_tolerance(obs, _AXIS, _AXIS, 0.3).select("iy", "ix", "cell_id")
 
 
 @query("j15_exact_alignment", "cube", "SELECT date, iy, ix, ROUND(tmin, 7) AS tmin, ROUND(tmax, 7) AS tmax, ROUND(precip, 7) AS precip FROM cube")
