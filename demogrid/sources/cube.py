@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # File name pattern of one variable and year.
@@ -50,8 +50,11 @@ def check_columns(df: DataFrame, needed: tuple[str, ...]) -> DataFrame:
     return df
 
 
-def latest_values(deliveries: DataFrame) -> DataFrame:
-    """Of several deliveries of the same pixel and day, the newest."""
+def latest_values(deliveries: DataFrame, delivery: str = "delivery") -> DataFrame:
+    """Of several deliveries of the same pixel and day, the newest; of equally new ones that with the largest values.
+
+    Maxima are combined before the shuffle."""
     keys = ["year", "date", "iy", "ix"]
-    w = Window.partitionBy(*keys).orderBy(F.desc("delivery"))
-    return deliveries.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "delivery")
+    rest = [c for c in deliveries.columns if c not in (*keys, delivery)]
+    newest = deliveries.groupBy(*keys).agg(F.max(F.struct(delivery, *rest)).alias("m"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"m.{c}") for c in deliveries.columns if c != delivery])

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import LOCAL_ZONE, expected_steps
 from ..session import cut_lineage, scratch_path
-from ..sources.cube import write_cube
+from ..sources.cube import latest_values, write_cube
 from ..sources.tables import load_optional
 
 
@@ -112,15 +112,20 @@ def run_pointers(stream: DataFrame, target: Snapshot, checkpoint: str) -> None:
     run_batches(stream, handle, checkpoint)
 
 
-def correct_days(stream: DataFrame, cube_path: str, checkpoint: str) -> None:
+def correct_days(stream: DataFrame, cube_path: str, checkpoint: str, delivery: str = "delivery") -> None:
     """Late or corrected daily values: the touched years are merged with what is there, the
-    newer value of a pixel and day winning, and only those years are rewritten."""
+    newer value of a pixel and day winning, and only those years are rewritten.
+
+    Of several corrections in one batch the one with the newest ``delivery`` (a column of the
+    stream, not of the cube) wins; without that column, the one with the largest values."""
     keys = ["year", "date", "iy", "ix"]
 
     def handle(batch: DataFrame, _number: int) -> None:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
+        dated = batch if delivery in batch.columns else batch.withColumn(delivery, F.lit(0))
+        batch = cut_lineage(latest_values(dated, delivery))
         now = load_optional(spark, cube_path)
         merged = batch
         if now is not None:
@@ -131,12 +136,24 @@ def correct_days(stream: DataFrame, cube_path: str, checkpoint: str) -> None:
     run_batches(stream, handle, checkpoint)
 
 
-def live_exposure(stream: DataFrame, core: DataFrame, target: Snapshot, checkpoint: str, measure: str = "pop_total") -> None:
-    """Running people by source and level: overlay rows joined to the static census cells."""
-    joined = stream.join(core.select("cell_id", measure), "cell_id")
-    totals = joined.groupBy("source", "level_rank", "level_code", "level_name").agg(
-        F.sum(measure).cast("bigint").alias("pop"), F.count(F.lit(1)).alias("n_cells"))
-    run_batches(totals, lambda batch, number: target.write(batch, number), checkpoint, mode="complete")
+def live_exposure(stream: DataFrame, core: DataFrame, target: Snapshot, checkpoint: str, measure: str = "pop_total", at: str = "at") -> None:
+    """People by source and level under the newest overlay: a later row (by ``at``) of a cell and
+    source replaces the earlier one, whichever batch it comes in; totals join the static census cells."""
+    overlay = Snapshot(target.spark, f"{target.folder}-overlay")
+    level = ["level_rank", "level_code", "level_name"]
+
+    def handle(batch: DataFrame, number: int) -> None:
+        rows = batch.select("cell_id", "source", F.struct(at, *level).alias("r"))
+        before = overlay.read()
+        if before is not None:
+            rows = rows.unionByName(before.select("cell_id", "source", F.struct(at, *level).alias("r")))
+        now = cut_lineage(rows.groupBy("cell_id", "source").agg(F.max("r").alias("r")).select("cell_id", "source", "r.*"))
+        overlay.write(now, number)
+        totals = now.join(core.select("cell_id", measure), "cell_id").groupBy("source", *level).agg(
+            F.sum(measure).cast("bigint").alias("pop"), F.count(F.lit(1)).alias("n_cells"))
+        target.write(totals, number)
+
+    run_batches(stream, handle, checkpoint)
 
 
 def new_folders(spark: SparkSession, label: str) -> tuple[str, str]:

@@ -238,9 +238,9 @@ def _(t):
 
 @query("u03_required_coverage", "hourly", """
 WITH ax AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-31 23:00:00', INTERVAL 1 HOUR)) AS valid_time)
-SELECT strftime(valid_time, '%Y-%m-%d %H:%M:%S') AS at FROM ax WHERE valid_time NOT IN (SELECT valid_time FROM hourly WHERE grid_id = 1)""")
+SELECT strftime(valid_time, '%Y-%m-%d %H:%M:%S') AS at FROM ax WHERE valid_time NOT IN (SELECT valid_time FROM hourly)""")
 def _(t):
-    missing = W.missing_steps(t.hourly.filter("grid_id = 1"), F.lit("2024-01-01 00:00:00"), F.lit("2024-01-31 23:00:00"), "1 hour")
+    missing = W.missing_steps(t.hourly, F.lit("2024-01-01 00:00:00"), F.lit("2024-01-31 23:00:00"), "1 hour")
     return missing.select(_stamp("valid_time").alias("at"))
 
 

@@ -27,7 +27,7 @@ SELECT c_custkey AS cell_id, CAST(FLOOR(c_custkey / 40.0) AS BIGINT) AS row, c_c
        CASE WHEN COUNT(p) = 0 THEN CAST('NaN' AS FLOAT) ELSE CAST(SUM(p) + 3 AS FLOAT) END AS pop_2011
 FROM customer LEFT JOIN (
   SELECT o_custkey, o_orderstatus AS st, CAST(FLOOR(o_totalprice / 10000) AS BIGINT) AS p
-  FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) o ON o_custkey = c_custkey
+  FROM orders) o ON o_custkey = c_custkey
 GROUP BY c_custkey"""
 
 BINDINGS["env"] = """
@@ -58,13 +58,13 @@ SELECT c_custkey AS cell_id, n_name AS county_mn, 'County of ' || n_name AS coun
        CAST((c_custkey * 41 % 1300) / 10.0 AS FLOAT) AS dist_airport_km
 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"""
 
-# cells without a fulfilled order have no climate row, so the implicit inner join matters
+# cells without an order have no climate row, so the implicit inner join matters
 BINDINGS["climate"] = """
 SELECT o_custkey AS cell_id, CAST(AVG(o_totalprice) / 20000 AS FLOAT) AS tmean,
        CAST(SUM(o_totalprice) / 2500 AS FLOAT) AS precip_total,
        CAST(COUNT(*) * 0.3 + 0.2 AS FLOAT) AS warming_deg,
        COUNT(*) * 7 AS hot_days, COUNT(*) AS n_days
-FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey"""
+FROM orders GROUP BY o_custkey"""
 
 # --- a dense raster, 50 pixels wide ----------------------------------------------------------
 BINDINGS["raster"] = """
@@ -94,6 +94,9 @@ SELECT s_suppkey AS feature_id, s_name AS name, 0 AS ring, k AS seq,
        CAST(FLOOR(s_suppkey * 0.375) AS BIGINT) * 1000 + CASE k WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 2200 WHEN 3 THEN 2200 WHEN 4 THEN 4200 ELSE 4200 END AS y
 FROM supplier CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) kk"""
 
+# Rows of the grid, which grows with the customers.
+GRID_ROWS = "SELECT CAST(FLOOR(MAX(c_custkey) / 40.0) AS BIGINT) + 1 AS n_rows FROM customer"
+
 # The same rows in Spark without a join against the list of corners.
 SPARK_TEXT = {"vertices": BINDINGS["vertices"].replace(
     BINDINGS["vertices"][BINDINGS["vertices"].index("CROSS JOIN"):], "LATERAL VIEW explode(array(0, 1, 2, 3, 4, 5)) kk AS k")}
@@ -118,10 +121,10 @@ FROM events GROUP BY 1, 2"""
 
 # --- warning messages: a square of half-size 1500 m around (cx, cy) -------------------------
 BINDINGS["messages"] = """
-SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'nowcasting' ELSE 'general' END AS source,
+SELECT event_id AS id, CASE WHEN event_type IN ('error', 'click') THEN 'nowcasting' ELSE 'general' END AS source,
        CAST(FLOOR(value) AS BIGINT) % 4 AS level_rank, ts AS start_ts, event_type,
-       (event_id * 613 % 40) * 1000 AS cx, (event_id * 389 % 38) * 1000 AS cy
-FROM events WHERE event_type IN ('error', 'signup')"""
+       (event_id * 613 % 40) * 1000 AS cx, (event_id * 389 % n_rows) * 1000 AS cy
+FROM events CROSS JOIN (SELECT CAST(FLOOR(MAX(c_custkey) / 40.0) AS BIGINT) + 1 AS n_rows FROM customer) g"""
 
 # --- a road graph: customers are junctions, consecutive orders are one-way roads -----------
 BINDINGS["ways"] = """

@@ -102,32 +102,32 @@ def _(t):
 
 
 @query("layer_standing_water", _USES, f"""
-WITH {_F100}, {_IN100}, q AS (SELECT r, c, s_suppkey, CASE WHEN s_nationkey = 0 THEN 1 WHEN s_nationkey = 1 THEN 3 ELSE 7 END AS class FROM ins JOIN supplier ON s_suppkey = feature_id WHERE s_nationkey < 4),
+WITH {_F100}, {_IN100}, q AS (SELECT r, c, s_suppkey, CASE WHEN s_nationkey = 0 THEN 1 WHEN s_nationkey = 1 THEN 3 ELSE 7 END AS class FROM ins JOIN supplier ON s_suppkey = feature_id),
 b AS (SELECT r, c, class FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY r, c ORDER BY class <> 7 DESC, s_suppkey DESC) AS k FROM q) z WHERE k = 1),
 d AS (SELECT core.cell_id, MIN((b.r - (row * 10 + 5)) * (b.r - (row * 10 + 5)) + (b.c - (col * 10 + 5)) * (b.c - (col * 10 + 5))) AS d2 FROM core CROSS JOIN b GROUP BY 1),
 k AS (SELECT d.cell_id, d.d2, MIN(b.class) AS class FROM d JOIN core ON core.cell_id = d.cell_id JOIN b ON (b.r - (row * 10 + 5)) * (b.r - (row * 10 + 5)) + (b.c - (col * 10 + 5)) * (b.c - (col * 10 + 5)) = d.d2 GROUP BY 1, 2)
 SELECT cell_id, ROUND(CAST(CAST(round_even(SQRT(d2) * 100 / 1000, 2) AS FLOAT) AS DOUBLE), 4) AS dist_water_km, CASE class WHEN 1 THEN 'Lac' WHEN 3 THEN 'Iaz' ELSE 'Alt tip' END AS categorie_apa FROM k""")
 def _(t):
     cells, spec, edges = _grid(t)
-    a = _attrs(t).filter("k < 4")
+    a = _attrs(t)
     lakes = a.select("feature_id", F.when(F.col("k") == 0, "Lac").when(F.col("k") == 1, "Iaz").when(F.col("k") == 2, "Braț mort").alias("categorie_ro"))
-    w = P.water(cells, spec, edges.join(a.select("feature_id"), "feature_id", "left_semi"), lakes)
+    w = P.water(cells, spec, edges, lakes)
     return w.withColumn("dist_water_km", F.round(F.col("dist_water_km").cast("double"), 4))
 
 
 @query("layer_protected_areas", _USES, f"""
-WITH {_F100}, {_IN100}, b AS (SELECT DISTINCT r, c FROM ins JOIN supplier ON s_suppkey = feature_id WHERE s_nationkey < 3),
+WITH {_F100}, {_IN100}, b AS (SELECT DISTINCT r, c FROM ins),
 d AS (SELECT cell_id, MIN(POWER(GREATEST(0, row * 10 - r, r - (row * 10 + 9)), 2) + POWER(GREATEST(0, col * 10 - c, c - (col * 10 + 9)), 2)) AS d2 FROM core CROSS JOIN b GROUP BY 1)
 SELECT cell_id, ROUND(CAST(CAST(round_even(SQRT(d2) * 100 / 1000, 2) AS FLOAT) AS DOUBLE), 4) AS dist_protected_km FROM d""")
 def _(t):
     cells, spec, edges = _grid(t)
-    w = P.protected_areas(cells, spec, edges.join(_attrs(t).filter("k < 3").select("feature_id"), "feature_id", "left_semi"))
+    w = P.protected_areas(cells, spec, edges)
     return w.withColumn("dist_protected_km", F.round(F.col("dist_protected_km").cast("double"), 4))
 
 
 @query("layer_flood_zones", _USES, f"""
 WITH {_F100}, {_IN100}, {_TCH100}, u AS (SELECT feature_id, r, c FROM ins UNION SELECT feature_id, r, c FROM tch),
-b AS (SELECT r, c, MIN(s_nationkey + 1) AS class FROM u JOIN supplier ON s_suppkey = feature_id WHERE s_nationkey < 3 GROUP BY 1, 2),
+b AS (SELECT r, c, MIN(s_nationkey % 3 + 1) AS class FROM u JOIN supplier ON s_suppkey = feature_id GROUP BY 1, 2),
 g AS (SELECT cell_id, row, col, b.class, LEAST(GREATEST(r, row * 10), row * 10 + 9) AS pr, LEAST(GREATEST(c, col * 10), col * 10 + 9) AS pc, r, c FROM core CROSS JOIN b),
 n AS (SELECT cell_id, class, POWER(r - pr, 2) + POWER(c - pc, 2) AS d2, ROW_NUMBER() OVER (PARTITION BY cell_id ORDER BY POWER(r - pr, 2) + POWER(c - pc, 2), pr, pc, class) AS k,
    MIN(CASE WHEN r = pr AND c = pc THEN class END) OVER (PARTITION BY cell_id) AS present FROM g)
@@ -135,33 +135,34 @@ SELECT cell_id, ROUND(CAST(CAST(round_even(SQRT(d2) * 100 / 1000, 2) AS FLOAT) A
  CASE COALESCE(present, class) WHEN 1 THEN '10% (~10 ani)' WHEN 2 THEN '1% (~100 ani)' ELSE '0,1% (~1.000 ani)' END AS scenariu_inundatii FROM n WHERE k = 1""")
 def _(t):
     cells, spec, edges = _grid(t)
-    zones = _attrs(t).filter("k < 3").select("feature_id", (F.col("k") + 1).alias("scenario"))
-    w = P.floods(cells, spec, edges.join(zones.select("feature_id"), "feature_id", "left_semi"), zones)
+    zones = _attrs(t).select("feature_id", (F.col("k") % 3 + 1).alias("scenario"))
+    w = P.floods(cells, spec, edges, zones)
     return w.withColumn("dist_inundatii_km", F.round(F.col("dist_inundatii_km").cast("double"), 4))
 
 
 @query("layer_watercourses", _USES, f"""
-WITH {_F100}, {_TCH100}, b AS (SELECT r, c, MAX(CASE WHEN s_nationkey = 0 THEN 1 ELSE 2 END) AS class FROM tch JOIN supplier ON s_suppkey = feature_id WHERE s_nationkey < 3 GROUP BY 1, 2),
+WITH {_F100}, {_TCH100}, b AS (SELECT r, c, MAX(CASE WHEN s_nationkey % 3 = 0 THEN 1 ELSE 2 END) AS class FROM tch JOIN supplier ON s_suppkey = feature_id GROUP BY 1, 2),
 d AS (SELECT core.cell_id, MIN((b.r - (row * 10 + 5)) * (b.r - (row * 10 + 5)) + (b.c - (col * 10 + 5)) * (b.c - (col * 10 + 5))) AS d2 FROM core CROSS JOIN b GROUP BY 1),
 k AS (SELECT d.cell_id, d.d2, MIN(b.class) AS class FROM d JOIN core ON core.cell_id = d.cell_id JOIN b ON (b.r - (row * 10 + 5)) * (b.r - (row * 10 + 5)) + (b.c - (col * 10 + 5)) * (b.c - (col * 10 + 5)) = d.d2 GROUP BY 1, 2)
 SELECT cell_id, ROUND(CAST(CAST(round_even(SQRT(d2) * 100 / 1000, 2) AS FLOAT) AS DOUBLE), 4) AS dist_curs_km, CASE class WHEN 1 THEN 'Râu' ELSE 'Pârâu' END AS categorie_curs FROM k""")
 def _(t):
     cells, spec, edges = _grid(t)
-    a = _attrs(t).filter("k < 3")
+    a = _attrs(t).withColumn("k", F.col("k") % 3)
     streams = a.select("feature_id", F.when(F.col("k") == 0, "Râu").when(F.col("k") == 1, "Pârâu").alias("categorie_ro"))
-    w = P.watercourses(cells, spec, edges.join(a.select("feature_id"), "feature_id", "left_semi"), streams)
+    w = P.watercourses(cells, spec, edges, streams)
     return w.withColumn("dist_curs_km", F.round(F.col("dist_curs_km").cast("double"), 4))
 
 
 @query("layer_border_and_coast", _USES, f"""
-WITH {_FINE.format(s=1000)}, {_TCH.format(s=1000)}, b AS (SELECT DISTINCT r, c, s_nationkey AS k FROM tch JOIN supplier ON s_suppkey = feature_id WHERE s_nationkey < 5),
+WITH {_FINE.format(s=1000)}, {_TCH.format(s=1000)}, b AS (SELECT DISTINCT r, c, s_nationkey % 5 AS k FROM tch JOIN supplier ON s_suppkey = feature_id),
 d AS (SELECT cell_id, k, MIN((r - row) * (r - row) + (c - col) * (c - col)) AS d2 FROM core CROSS JOIN b GROUP BY 1, 2),
 n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell_id ORDER BY d2, k) AS i FROM d WHERE k > 0)
 SELECT n.cell_id, ROUND(CAST(CAST(SQRT(n.d2) AS FLOAT) AS DOUBLE), 4) AS dist_border_km, 'N' || CAST(n.k AS VARCHAR) AS border_neighbor, ROUND(CAST(CAST(SQRT(c.d2) AS FLOAT) AS DOUBLE), 4) AS dist_coast_km
 FROM n JOIN d c ON c.cell_id = n.cell_id AND c.k = 0 WHERE n.i = 1""")
 def _(t):
     cells, spec, edges = _grid(t)
-    lines = _attrs(t).filter("k < 5").select("feature_id", F.when(F.col("k") == 0, "RO.RO").otherwise(F.concat(F.lit("RO.N"), F.col("k").cast("string"))).alias("border"))
+    k = F.col("k") % 5
+    lines = _attrs(t).select("feature_id", F.when(k == 0, "RO.RO").otherwise(F.concat(F.lit("RO.N"), k.cast("string"))).alias("border"))
     b = P.border(cells, spec, edges, lines)
     return b.withColumns({c: F.round(F.col(c).cast("double"), 4) for c in ("dist_border_km", "dist_coast_km")})
 

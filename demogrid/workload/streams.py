@@ -9,7 +9,7 @@ from ..session import scratch_path
 from ..sources.cube import read_cube, write_cube
 from ..streaming import jobs as J
 from .air_weather import _ROLL, _stamp
-from .base import query
+from .base import GRID_ROWS, query
 from .warnings import _BOX, _BYL, _WORST, box_edges, features, worst
 
 
@@ -37,12 +37,13 @@ def _(t):
     return r.select("grid_id", _stamp("at").alias("at"), F.round("mean", 8).alias("mean"))
 
 
-def _messages(stream):
+def _messages(t, stream):
     """The message binding, applied to an event stream."""
-    return (stream.filter(F.col("event_type").isin("error", "signup")).select(
-        F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "nowcasting").otherwise("general").alias("source"),
+    n_rows = t.sql(GRID_ROWS).first()[0]
+    return stream.select(
+        F.col("event_id").alias("id"), F.when(F.col("event_type").isin("error", "click"), "nowcasting").otherwise("general").alias("source"),
         (F.floor("value") % 4).alias("level_rank"), "ts",
-        (F.col("event_id") * 613 % 40 * 1000).alias("cx"), (F.col("event_id") * 389 % 38 * 1000).alias("cy")))
+        (F.col("event_id") * 613 % 40 * 1000).alias("cx"), (F.col("event_id") * 389 % n_rows * 1000).alias("cy"))
 
 
 @query("st03_warning_snapshot_refresh", "messages points", f"WITH {_BOX}, {_WORST} SELECT cell_id, source, level_rank, level_code, level_name FROM w")
@@ -50,14 +51,14 @@ def _(t):
     points = t.points
     out, state = J.new_folders(t.spark, "overlay")
     snap = J.Snapshot(t.spark, out)
-    J.snapshot_refresh(_messages(_events(t)), lambda m: N.worst_per(
+    J.snapshot_refresh(_messages(t, _events(t)), lambda m: N.worst_per(
         N.cells_of_features(points, box_edges(m), features(m)), "cell_id", "source"), snap, state)
     return snap.read()
 
 
 @query("st04_duplicate_message_drop", "messages", "SELECT DISTINCT CAST(FLOOR(id / 4) AS BIGINT) AS id FROM messages")
 def _(t):
-    s = _messages(_events(t)).withColumn("id", F.floor(F.col("id") / 4))
+    s = _messages(t, _events(t)).withColumn("id", F.floor(F.col("id") / 4))
     out, state = J.new_folders(t.spark, "unique")
     return J.run_available(J.unique_messages(s).select("id"), out, state)
 
@@ -78,8 +79,16 @@ def _(t):
     out, state = J.new_folders(t.spark, "cube")
     write_cube(cube, out)
     late = scratch_path(t.spark, "late")
-    cube.filter("year = 2001 AND ix < 5").withColumn("tmin", F.col("tmin") + 1).write.parquet(late)
-    J.correct_days(J.file_stream(t.spark, late, cube.schema), out, state)
+    part = cube.filter("year = 2001 AND ix < 5")
+    # three files, one batch each; within the last, an outdated delivery comes with the newest one
+    for tag, rows in (("a", [(1, 9.0)]), ("b", [(2, 7.0)]), ("c", [(4, 1.0), (3, 5.0)])):
+        for delivery, change in rows[:1]:
+            out_rows = part.withColumns({"tmin": F.col("tmin") + change, "delivery": F.lit(delivery)})
+            for d2, c2 in rows[1:]:
+                out_rows = out_rows.unionByName(part.withColumns({"tmin": F.col("tmin") + c2, "delivery": F.lit(d2)}))
+            out_rows.coalesce(1).write.mode("append").parquet(late)
+    stream = J.file_stream(t.spark, late, cube.withColumn("delivery", F.lit(1)).schema, per_trigger=1)
+    J.correct_days(stream, out, state)
     return read_cube(t.spark, out).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("tmin"), 4).alias("tmin"))
 
 
@@ -87,8 +96,11 @@ def _(t):
 def _(t):
     live = scratch_path(t.spark, "live")
     overlay = worst(t)
-    overlay.write.parquet(live)
+    wrong = overlay.withColumns({"level_rank": (3 - F.col("level_rank")).cast(overlay.schema["level_rank"].dataType), "level_code": F.lit("XX")})
+    # an early overlay of other levels, the present one, and a late copy of the early one
+    for df, at in ((wrong, 1), (overlay, 3), (wrong, 2)):
+        df.withColumn("at", F.lit(at)).coalesce(1).write.mode("append").parquet(live)
     out, state = J.new_folders(t.spark, "exposure")
     snap = J.Snapshot(t.spark, out)
-    J.live_exposure(J.file_stream(t.spark, live, overlay.schema), t.core, snap, state)
+    J.live_exposure(J.file_stream(t.spark, live, overlay.withColumn("at", F.lit(1)).schema, per_trigger=1), t.core, snap, state)
     return snap.read()
