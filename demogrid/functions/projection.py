@@ -89,3 +89,16 @@ def unit_sphere(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
     """Degrees to a point on the unit sphere; chords order like great-circle distances."""
     lam, phi = F.radians(lon), F.radians(lat)
     return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
+
+
+def to_grid(x: Column, y: Column, srid: Column) -> tuple[Column, Column]:
+    """Coordinates of EPSG:4326 (degrees), 3857 (Web Mercator) or 3035 (the grid's own) on the grid.
+
+    Any other system stops the job: taken as it is, its features would match no cell."""
+    degrees = srid == 4326
+    lon = F.when(degrees, x).otherwise(mercator_to_lon(x))
+    lat = F.when(degrees, y).otherwise(mercator_to_lat(y))
+    e, n = lonlat_to_laea(lon, lat)
+    known = F.when(srid.isin(4326, 3857), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("unknown coordinate system "), F.coalesce(srid.cast("string"), F.lit("NULL")))).cast("boolean"))
+    return F.when(srid == 3035, x).when(known, e), F.when(srid == 3035, y).when(known, n)

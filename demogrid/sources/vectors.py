@@ -1,10 +1,11 @@
-"""Vector layers as text: WKT to edges, GeoJSON points in and out."""
+"""Vector layers as text: WKT to edges, GeoJSON points, lines and polygons in and out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.projection import to_grid
 from ..operators.cover import rings_to_edges
 
 NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
@@ -21,9 +22,15 @@ def wkt_vertices(df: DataFrame, wkt: str, keys: list[str], attrs: list[str] = ()
     return pts.select(*keys, *attrs, "ring", "seq", xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"))
 
 
-def wkt_edges(df: DataFrame, wkt: str, keys: list[str], attrs: list[str] = ()) -> DataFrame:
-    """Edges of WKT features; the closing vertex repeats the first, so no edge is added."""
-    return rings_to_edges(wkt_vertices(df, wkt, keys, attrs), [*keys, "ring"], closed=False, attrs=list(attrs))
+def wkt_edges(df: DataFrame, wkt: str, keys: list[str], attrs: list[str] = (), srid: str | None = None) -> DataFrame:
+    """Edges of WKT features; the closing vertex repeats the first, so no edge is added.
+
+    ``srid`` names a column with each feature's coordinate system; its vertices are then brought onto the grid."""
+    vertices = wkt_vertices(df, wkt, keys, [*attrs, srid] if srid else attrs)
+    if srid:
+        x, y = to_grid(F.col("x"), F.col("y"), F.col(srid))
+        vertices = vertices.withColumns({"x": x, "y": y}).drop(srid)
+    return rings_to_edges(vertices, [*keys, "ring"], closed=False, attrs=list(attrs))
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str, geometry: str = "array<double>") -> DataFrame:
@@ -43,11 +50,41 @@ def read_geojson_points(spark: SparkSession, path: str, properties: str) -> Data
     return pts.withColumns({"x": F.col("coordinates")[0], "y": F.col("coordinates")[1]}).drop("coordinates")
 
 
+def _feature(properties: list[str], kind: str, coordinates: Column) -> Column:
+    geometry = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))).alias("value")
+
+
 def geojson_features(df: DataFrame, x: str, y: str, properties: list[str]) -> DataFrame:
     """One GeoJSON Feature per row, as text in ``value``."""
-    geometry = F.struct(F.lit("Point").alias("type"), F.array(F.col(x), F.col(y)).alias("coordinates"))
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"),
-                                        geometry.alias("geometry"))).alias("value"))
+    return df.select(_feature(properties, "Point", F.array(F.col(x), F.col(y))))
+
+
+def geojson_shapes(vertices: DataFrame, properties: list[str], kind: str = "Polygon") -> DataFrame:
+    """One GeoJSON Feature per distinct ``properties``, as text in ``value``, from rows (properties…, ring, seq, x, y).
+
+    A Polygon has its rings in order, each closed if it is not; for kind MultiLineString the rings are lines."""
+    ring = vertices.groupBy(*properties, "ring").agg(F.sort_array(F.collect_list(F.struct(
+        "seq", F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("p")))).alias("v"))
+    points = F.transform("v", lambda v: v["p"])
+    if kind == "Polygon":
+        first = F.element_at(points, 1)
+        points = F.when(first == F.element_at(points, -1), points).otherwise(F.concat(points, F.array(first)))
+    rings = ring.select(*properties, F.struct("ring", points.alias("points")).alias("r"))
+    whole = rings.groupBy(*properties).agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return whole.select(_feature(properties, kind, F.transform("r", lambda r: r["points"])))
+
+
+def write_geojson_shapes(vertices: DataFrame, path: str, properties: list[str], kind: str = "Polygon") -> None:
+    """A folder of newline-delimited GeoJSON Features with polygons or lines, written in parallel."""
+    geojson_shapes(vertices, properties, kind).write.mode("errorifexists").text(path)
+
+
+def read_geojson_shapes(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """(properties…, ring, seq, x, y) of newline-delimited polygon or multi-line features."""
+    schema = f"properties struct<{properties}>, geometry struct<type: string, coordinates: array<array<array<double>>>>"
+    df = spark.read.schema(schema).json(path).select("properties.*", F.posexplode("geometry.coordinates").alias("ring", "_r"))
+    return df.select("*", F.posexplode("_r").alias("seq", "_p")).withColumns({"x": F.col("_p")[0], "y": F.col("_p")[1]}).drop("_r", "_p")
 
 
 def write_geojson_lines(df: DataFrame, path: str, x: str, y: str, properties: list[str]) -> None:

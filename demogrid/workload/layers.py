@@ -8,6 +8,7 @@ from ..model import GridSpec
 from ..plans import steps as P
 from ..sources.tables import assemble
 from .base import BINDINGS, DEPENDS, ORACLES, query
+from .raster import GRAD
 
 # The test polygons moved off the pixel lines, so that no vertex lies on a pixel border.
 BINDINGS["shapes"] = "SELECT feature_id, x1 + 7 AS x1, y1 + 9 AS y1, x2 + 7 AS x2, y2 + 9 AS y2 FROM edges"
@@ -71,6 +72,27 @@ def _(t):
     return P.admin(cells, spec, edges, units).select("cell_id", "siruta", "uat_status", "mediu")
 
 
+_IN_UNIT = ORACLES["layer_administrative_units"][:ORACLES["layer_administrative_units"].rindex("SELECT a.cell_id")]
+
+
+@query("layer_landform", _USES, None)
+def _(t):
+    """The lowest level is always named, the upper ones have gaps."""
+    cells, spec, edges = _grid(t)
+    k = F.col("k")
+    forms = _attrs(t).select(
+        "feature_id", F.col("s_name").alias("r_1name"), F.when(k % 2 == 0, "munte").otherwise("deal").alias("r_1type"),
+        F.when(k % 5 == 0, F.concat(F.lit("top "), k.cast("string"))).alias("r_1j_lvl0_name"),
+        F.when(k % 3 == 0, F.concat(F.lit("mid "), k.cast("string"))).alias("r_1j_lvl1_name"))
+    return P.landform(cells, spec, edges, forms)
+
+
+ORACLES["layer_landform"] = f"""{_IN_UNIT} SELECT a.cell_id, s_name AS landform_name, CASE WHEN s_nationkey % 2 = 0 THEN 'munte' WHEN s_nationkey IS NOT NULL THEN 'deal' END AS landform_type,
+ CASE WHEN s_nationkey % 5 = 0 THEN 'top ' || CAST(s_nationkey AS VARCHAR) WHEN s_nationkey % 3 = 0 THEN 'mid ' || CAST(s_nationkey AS VARCHAR) ELSE s_name END AS landform_lvl0,
+ CASE WHEN s_nationkey % 3 = 0 THEN 'mid ' || CAST(s_nationkey AS VARCHAR) ELSE s_name END AS landform_lvl1
+FROM a LEFT JOIN supplier ON s_suppkey = a.f"""
+
+
 _BLK = "r // 10 AS row, c // 10 AS col"
 
 
@@ -193,3 +215,37 @@ def _(t):
              P.hospitals(cells, spec, hosp)]
     wide = assemble(parts, drop=("uat_name", "county_mn", "county_name", "region_name"))
     return wide.withColumn("dist_hospital_km", F.round(F.col("dist_hospital_km").cast("double"), 4))
+
+
+@query("layer_crossings", _USES + " sites", """
+WITH d AS (SELECT cell_id, s.site_id, s.name, POWER(col * 1000 + 500 - s.x, 2) + POWER(row * 1000 + 500 - s.y, 2) AS d2 FROM core CROSS JOIN sites s WHERE s_nationkey % 4 <> 3),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell_id ORDER BY d2, site_id) AS k FROM d)
+SELECT cell_id, ROUND(CAST(CAST(SQRT(d2) / 1000 AS FLOAT) AS DOUBLE), 4) AS dist_crossing_km, name AS nearest_crossing FROM r WHERE k = 1""")
+def _(t):
+    """A quarter of the sites are inland ports, which the step leaves out."""
+    cells, spec, _ = _grid(t)
+    sites = t.sites.select("site_id", "name", "x", (spec.n_top - F.col("y")).alias("y"),
+                           F.when(F.col("s_nationkey") % 4 == 3, "Dunărea interioară").otherwise("X").alias("border"))
+    c = P.crossings(cells, spec, sites)
+    return c.withColumn("dist_crossing_km", F.round(F.col("dist_crossing_km").cast("double"), 4))
+
+
+@query("layer_terrain", "core raster", f"""
+WITH {GRAD}, s AS (SELECT r.prow, r.pcol, r.value, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope FROM raster r JOIN g ON g.prow = r.prow AND g.pcol = r.pcol),
+b AS (SELECT prow // 10 AS row, pcol // 10 AS col, AVG(value) AS alt_mean, MIN(value) AS alt_min, MAX(value) AS alt_max, STDDEV_POP(value) AS alt_std,
+  AVG(slope) AS slope_mean, MAX(slope) AS slope_max FROM s GROUP BY 1, 2)
+SELECT cell_id, ROUND(alt_mean, 2) AS alt_mean, ROUND(alt_min, 2) AS alt_min, ROUND(alt_max, 2) AS alt_max, ROUND(alt_std, 2) AS alt_std,
+ ROUND(slope_mean, 3) AS slope_mean, ROUND(slope_max, 3) AS slope_max FROM core LEFT JOIN b ON b.row = core.row AND b.col = core.col""")
+def _(t):
+    w = P.terrain(t.core.select("cell_id", "row", "col"), t.raster.select("prow", "pcol", "value"))
+    digits = {"alt_mean": 2, "alt_min": 2, "alt_max": 2, "alt_std": 2, "slope_mean": 3, "slope_max": 3}
+    return w.select("cell_id", *[F.round(F.col(c).cast("double"), d).alias(c) for c, d in digits.items()])
+
+
+@query("layer_core_table", "core", """
+SELECT cell_id, pop_total, pop_f, pop_m, CAST(CAST(col * 0.1 AS FLOAT) AS DOUBLE) AS lon, CAST(CAST(row * 0.1 AS FLOAT) AS DOUBLE) AS lat FROM core""")
+def _(t):
+    """Working columns are dropped, coordinates narrowed."""
+    wide = t.core.select("cell_id", "pop_total", "pop_f", "pop_m", (F.col("col") * F.lit(0.1)).alias("lon"), (F.col("row") * F.lit(0.1)).alias("lat"),
+                         F.lit("x").alias("grid_id"), F.lit(0).alias("e"), F.lit(0).alias("n"), F.lit(0).alias("pop_2018"))
+    return P.core_table(wide).withColumns({c: F.col(c).cast("double") for c in ("lon", "lat")})

@@ -96,13 +96,13 @@ def _(t):
     return R.block_stats(t.raster).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-_GRAD = """g AS (SELECT prow, pcol,
+GRAD = """g AS (SELECT prow, pcol,
  CASE WHEN ROW_NUMBER() OVER v = 1 THEN LEAD(value) OVER v - value WHEN LEAD(value) OVER v IS NULL THEN value - LAG(value) OVER v ELSE (LEAD(value) OVER v - LAG(value) OVER v) / 2 END / 100 AS gy,
  CASE WHEN ROW_NUMBER() OVER h = 1 THEN LEAD(value) OVER h - value WHEN LEAD(value) OVER h IS NULL THEN value - LAG(value) OVER h ELSE (LEAD(value) OVER h - LAG(value) OVER h) / 2 END / 100 AS gx
  FROM raster WINDOW v AS (PARTITION BY pcol ORDER BY prow), h AS (PARTITION BY prow ORDER BY pcol))"""
 
 
-@query("g17_slope", "raster", f"WITH {_GRAD} SELECT prow, pcol, ROUND(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope FROM g")
+@query("g17_slope", "raster", f"WITH {GRAD} SELECT prow, pcol, ROUND(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope FROM g")
 def _(t):
     return R.slope_degrees(t.raster).select("prow", "pcol", F.round("slope", 6).alias("slope"))
 

@@ -90,6 +90,15 @@ def _(t):
     return V.read_geojson_lines(t.spark, path, "site_id bigint, name string")
 
 
+@query("src07_geojson_polygons", "vertices", """
+SELECT feature_id, name, CAST(ring AS INT) AS ring, CAST(seq AS INT) AS seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM vertices
+UNION ALL SELECT feature_id, name, CAST(ring AS INT), 6, CAST(x AS DOUBLE), CAST(y AS DOUBLE) FROM vertices WHERE seq = 0""")
+def _(t):
+    path = scratch_path(t.spark, "shapes")
+    V.write_geojson_shapes(t.vertices, path, ["feature_id", "name"])
+    return V.read_geojson_shapes(t.spark, path, "feature_id bigint, name string")
+
+
 @query("pf14_feature_filters", "sites", "SELECT site_id, name FROM sites WHERE active = 1 AND s_nationkey <> 3")
 def _(t):
     return t.sites.filter((F.col("active") == 1) & (F.col("s_nationkey") != 3)).select("site_id", "name")

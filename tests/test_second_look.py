@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from demogrid.functions import projection
 from demogrid.functions.text import normalise
 from demogrid.operators import climate, measures, network, raster, spatial
+from demogrid.sources import vectors
 
 
 def test_distance_transform_with_large_classes_and_bands(spark, monkeypatch):
@@ -85,3 +87,19 @@ def test_nearest_sites_in_one_tight_cluster(spark):
         spark.createDataFrame(points, "cell_id long, x double, y double"), spark.createDataFrame(sites, "site_id long, x double, y double")).collect()}
     want = {p: min(((x - a) ** 2 + (y - b) ** 2, s) for s, a, b in sites)[1] for p, x, y in points}
     assert got == want
+
+
+def test_geometries_are_brought_onto_the_grid(spark):
+    rows = [(1, "POLYGON ((26 44, 26.1 44, 26.1 44.1, 26 44))", 4326), (2, "POLYGON ((0 0, 10 0, 10 10, 0 0))", 3035)]
+    x, y = projection.lon_to_mercator(F.lit(26.0)), projection.lat_to_mercator(F.lit(44.0))
+    mx, my = spark.range(1).select(x, y).first()
+    rows.append((3, f"LINESTRING ({mx!r} {my!r}, {mx + 10!r} {my!r})", 3857))
+    df = spark.createDataFrame(rows, "id long, wkt string, srid int")
+    got = {}
+    for r in vectors.wkt_edges(df, "wkt", ["id"], srid="srid").orderBy("id", "ring").collect():
+        got.setdefault(r["id"], r)
+    e, n = spark.range(1).select(*projection.lonlat_to_laea(F.lit(26.0), F.lit(44.0))).first()
+    assert any(math.isclose(v, e, abs_tol=0.01) for v in (got[1]["x1"], got[1]["x2"])) and math.isclose(got[3]["x1"], e, abs_tol=0.01)
+    assert math.isclose(got[3]["y1"], n, abs_tol=0.01) and 0 <= got[2]["x1"] <= 10
+    with pytest.raises(Exception, match="unknown coordinate system 31700"):
+        vectors.wkt_edges(df.withColumn("srid", F.lit(31700)), "wkt", ["id"], srid="srid").collect()
