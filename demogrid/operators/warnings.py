@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import level_code, level_name
@@ -70,6 +70,22 @@ def message_order(messages: DataFrame) -> DataFrame:
     return messages.orderBy(F.desc("level_rank"), F.asc_nulls_first("start"), "id")
 
 
+def message_positions(messages: DataFrame) -> DataFrame:
+    """The messages with ``pos``, their place in `message_order` within their source.
+
+    Places are counted within a level and day and moved by the number of messages before; only one row per source,
+    level and day meets in the window of a source."""
+    part = ["source", "level_rank", "_day"]
+    dated = messages.withColumn("_day", F.to_date("start"))
+    before = Window.partitionBy("source").orderBy(F.desc("level_rank"), F.asc_nulls_first("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dated.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(c).alias(f"_{c}") for c in part], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*part).orderBy(F.asc_nulls_first("start"), "id")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in part]
+    return dated.withColumn("_pos", F.row_number().over(inside)).join(counts, same).select(
+        *messages.columns, (F.col("_before") + F.col("_pos")).cast("int").alias("pos"))
+
+
 def valid_at(messages: DataFrame, instant: Column, start: str = "start", end: str = "end") -> DataFrame:
     """Messages whose interval [start, end) holds the instant; an open end never expires."""
     return messages.filter((F.col(start) <= instant) & (F.col(end).isNull() | (instant < F.col(end))))

@@ -186,11 +186,8 @@ def _(t):
 @query("o03_composite_message_order", "messages", """
 SELECT id, source, CAST(ROW_NUMBER() OVER (PARTITION BY source ORDER BY level_rank DESC, start_ts, id) AS INT) AS pos FROM messages""")
 def _(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy(F.desc("level_rank"), F.asc_nulls_first("start"), "id")
     m = t.messages.withColumnRenamed("start_ts", "start")
-    return N.message_order(m.select("id", "source", "level_rank", "start")).select("id", "source", F.row_number().over(w).alias("pos"))
+    return N.message_positions(m.select("id", "source", "level_rank", "start")).select("id", "source", "pos")
 
 
 @query("st08_valid_at_instant", "messages", """
