@@ -24,8 +24,8 @@ def whole(text: Column | str) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z only, as `translate` does; other letters keep their case."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z only; other letters keep their case. For plain ASCII texts `lower` does the same, much faster."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words(text: Column) -> Column:

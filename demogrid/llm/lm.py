@@ -34,7 +34,7 @@ ENDING = 4
 START_TEXTS = 1_500  # texts that the starting point is fitted on; the training itself takes all
 START_ROUNDS = 12
 ROUNDS = 2
-CELLS = 400_000  # texts times tokens of a batch
+CELLS = 200_000  # texts times tokens of a batch
 LOG10 = math.log(10.0)
 END = 0  # class of the end token; classes 1… are frequent words, the rest endings
 
@@ -116,31 +116,44 @@ def maximise(start: np.ndarray, move: np.ndarray, emit: np.ndarray, common: np.n
                np.ascontiguousarray((e / e.sum(axis=1, keepdims=True)).T))
 
 
+class _Symbols(dict):
+    """Symbol of every word met: its own for frequent words, else that of its ending."""
+
+    def __init__(self, frequent: dict[bytes, int], endings_from: int):
+        super().__init__(frequent)
+        self.frequent, self.first = frequent, endings_from
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000 + len(self.frequent):
+            self.clear()
+            self.update(self.frequent)
+        got = self[word] = self.first + zlib.crc32(word[-ENDING:]) % ENDINGS
+        return got
+
+
 class Classes:
-    """Class of every word, and the logarithm of the count of the frequent ones."""
+    """Class of every word, and the logarithm of the count of the frequent ones.
+
+    ``frequent`` has (word, count, own class or 0). Symbols are 0 for the end, then the frequent words, then the endings;
+    tables give the class of a symbol and log10(count + 0.5) where it is a frequent word."""
 
-    def __init__(self, own: dict[bytes, int], known: dict[bytes, float], endings_from: int):
-        self.own, self.known, self.first = own, known, endings_from
-        self.memo: dict[bytes, int] = {}
+    def __init__(self, frequent: list[tuple[bytes, float, int]], endings_from: int):
+        n = len(frequent)
+        self.symbols = _Symbols({w: 1 + i for i, (w, _, _) in enumerate(frequent)}, 1 + n)
+        shared = [endings_from + zlib.crc32(w[-ENDING:]) % ENDINGS for w, _, _ in frequent]
+        self.class_of = np.array([END, *[own or s for (_, _, own), s in zip(frequent, shared)], *range(endings_from, endings_from + ENDINGS)], dtype=np.int32)
+        self.log_of = np.array([0.0, *[math.log10(c + 0.5) for _, c, _ in frequent], *[0.0] * ENDINGS])
+        self.shared_log_of = np.where(self.class_of >= endings_from, self.log_of, 0.0)
+        self.is_known = np.array([False, *[True] * n, *[False] * ENDINGS])
 
     def sequence(self, text: str | None) -> tuple[np.ndarray, float, float, int]:
         """Classes of a text's tokens with the end; summed log10(c + 0.5) of its frequent words, of those among them that
         share a class, and how many they are."""
         tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space only
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        memo, own, first = self.memo, self.own, self.first
-        out = []
-        for w in tokens:
-            c = memo.get(w)
-            if c is None:
-                c = memo[w] = own.get(w) or first + zlib.crc32(w[-ENDING:]) % ENDINGS
-            out.append(c)
-        out.append(END)
-        logs = np.array([self.known.get(w, -1.0) for w in tokens])
-        found = logs > 0  # counts are at least 1
-        seq = np.array(out, dtype=np.int32)
-        return seq, float(logs[found].sum()), float(logs[found & (seq[:-1] >= first)].sum()), int(found.sum())
+        sym = np.fromiter(map(self.symbols.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+        seq = np.empty(len(sym) + 1, dtype=np.int32)
+        seq[:-1], seq[-1] = self.class_of[sym], END
+        return seq, float(self.log_of[sym].sum()), float(self.shared_log_of[sym].sum()), int(self.is_known[sym].sum())
 
 
 def ending_class(word: Column) -> Column:
@@ -173,8 +186,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sta
     # at most KNOWN_COUNT words reach this share
     frequent = counts.filter(F.col("c") * KNOWN_COUNT >= n_all).collect()
     own_words = sorted(r["word"] for r in frequent if r["c"] * OWN_CLASS >= n_all)
-    own = {w.encode(): 1 + i for i, w in enumerate(own_words)}
-    known = {r["word"].encode(): math.log10(r["c"] + 0.5) for r in frequent}
+    own = {w: 1 + i for i, w in enumerate(own_words)}
     first = 1 + len(own)
     n_classes = first + ENDINGS
     # tokens and distinct words of the classes by ending; a class by itself has share 1 for its word
@@ -189,18 +201,18 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sta
     common = np.zeros(n_classes)
     common[END] = n_docs
     for r in frequent:
-        if r["word"].encode() in own:
-            common[own[r["word"].encode()]] = r["c"]
+        if r["word"] in own:
+            common[own[r["word"]]] = r["c"]
     common[first:] = inside
     common = (common + 0.5) / (common + 0.5).sum()
 
-    tools = spark.sparkContext.broadcast((own, known, first))
+    tools = spark.sparkContext.broadcast(([(r["word"].encode(), r["c"], own.get(r["word"], 0)) for r in frequent], first))
 
     def to_sequences(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = Classes(*tools.value)
         for pdf in parts:
-            for at in range(0, len(pdf), 1000):
-                p = pdf.iloc[at:at + 1000]
+            for at in range(0, len(pdf), 500):
+                p = pdf.iloc[at:at + 500]
                 got = [classes.sequence(t) for t in p["text"]]
                 yield pd.DataFrame({"doc_id": p["doc_id"], "key": p["key"], "train": p["train"], "seq": [g[0] for g in got],
                                     "known_log": [g[1] for g in got], "shared_log": [g[2] for g in got], "known_n": [g[3] for g in got]})
