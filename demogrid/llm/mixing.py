@@ -19,6 +19,7 @@ from .common import GAP, WORD, words
 BLOCK = 8  # tokens of a block; blocks are never rows, so small ones cost nothing
 SHARD_DOCS = 500  # documents of a shard, about
 MOST_SHARDS = 4_096  # of a source; beyond it shards grow
+FEW_SOURCES = 50_000  # whose plan may be broadcast (a few MB)
 
 
 def n_words(text: Column) -> Column:
@@ -97,6 +98,8 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), epoc
         [(i, r["s"], int(sizes[i]), float(target[i]), int(quota[i]), min(MOST_SHARDS, -(-r["docs"] // SHARD_DOCS)))
          for i, r in enumerate(found)], "_n int, _s string, source_size long, target double, _quota long, _shards int")
 
+    if len(found) <= FEW_SOURCES:
+        plan = F.broadcast(plan)
     placed = (rows.join(plan, F.col(source).eqNullSafe(F.col("_s"))).drop("_s")
               .withColumn("_order", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(size)))
               .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_shards").cast("bigint")).cast("int")))
