@@ -5,13 +5,15 @@
 2. Equal sets become one member. Tokens of the members left are ordered by how many members have them. Tokens that
    only one member has are passed over; rare tokens are indexed singly, frequent ones as pairs within small token
    classes, on a prefix extended until every linked pair must share an entry.
-3. Entries are verified against full sets. A large entry is first compared with one member that most of the others
-   share entries with; what this connects needs no further comparison, the rest is compared fully.
+3. Entries are verified against full sets. First every member meets one hub; entries whose members that connects need no
+   further comparison. Of the rest, small entries are verified pair by pair, large ones in blocks of members that are
+   compared inside tasks.
 
 Only token hashes, ids and counts are shuffled; nothing is capped and no class is collected."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .graph import components
+from .graph import SMALL, components, small
 
 SHINGLE = 5
 PERCENT = 75  # a link needs 100 * intersection >= PERCENT * union
 RARE = 8  # members that may have a token which is indexed singly
-SPARE = 50  # one more shared token is asked for per so many shingles
-SMALL = 200_000  # ids that may be broadcast (a few MB)
-STAR_ROUNDS = 2
+SPARE = 8  # one more shared token is asked for per so many shingles
+SAMPLE = 64  # one in so many documents is looked at to find hot tokens; results do not depend on it
+HOT, HOT_SEEN = 100_000, 4  # hot tokens at most (a few MB), and sampled documents that have one
+HEAVY = 16  # members of an entry from which on blocks of members are compared instead of pairs
+BLOCK_DOCS, BLOCK_TOKENS = 512, 400_000  # of a block, about
+_LEVEL = math.log(1.34)  # sizes that may be linked are in the same or neighbouring levels
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,7 +130,7 @@ def token_pairs(tokens: np.ndarray, counts: np.ndarray, n: int, percent: int = P
 
 
 def _sets(docs: DataFrame, columns: str, make) -> DataFrame:
-    """Run ``make(ids, sets)`` -> pyarrow arrays over batches of (id, text)."""
+    """Run ``make(ids, sets)`` -> record batch over batches of (id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for b in batches:
@@ -140,16 +145,31 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)))
 
 
-def _describe(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-    keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-    return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()),
-                                       pa.array([int.from_bytes(k[:8], "big", signed=True) for k in keys], pa.int64()),
-                                       pa.array([int.from_bytes(k[8:], "big", signed=True) for k in keys], pa.int64())],
-                                      ["id", "n", "k1", "k2"])
+def _describe(hot: np.ndarray):
+    def make(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        numbers = ([len(s) for s in sets], [int.from_bytes(k[:8], "big", signed=True) for k in keys],
+                   [int.from_bytes(k[8:], "big", signed=True) for k in keys], [int(_among(hot, prefix(s)).sum()) for s in sets])
+        return pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in numbers]], ["id", "n", "k1", "k2", "hot"])
+    return make
 
 
-def _prefixes(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, _lists([s[:allowed_misses(len(s)) + 1 + spare(len(s))] for s in sets])], ["id", "tokens"])
+def _among(hot: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(tokens), dtype=bool)
+    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+    return hot[at] == tokens
+
+
+def prefix(tokens: np.ndarray) -> np.ndarray:
+    return tokens[:allowed_misses(len(tokens)) + 1 + spare(len(tokens))]
+
+
+def _prefixes(hot: np.ndarray):
+    def make(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        parts = [prefix(s) for s in sets]
+        return pa.RecordBatch.from_arrays([ids, _lists([p[~_among(hot, p)] for p in parts])], ["id", "tokens"])
+    return make
 
 
 def _whole_sets(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -158,17 +178,26 @@ def _whole_sets(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is in ``ids`` (distinct): a broadcast while they are few, else a join by id."""
-    small = ids.limit(SMALL + 1).count() <= SMALL
-    return docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    return docs.join(small(ids), "id", "left_semi")
 
 
-def candidates_left(docs: DataFrame, described: DataFrame) -> DataFrame:
+def hot_tokens(docs: DataFrame) -> np.ndarray:
+    """Prefix tokens that very many documents have. They are known to be shared, so they need not be shuffled to find out."""
+    part = docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+    seen = _sets(part, "id long, tokens array<long>", _prefixes(np.zeros(0, dtype=np.int64))).select(F.explode("tokens").alias("token"))
+    rows = seen.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HOT_SEEN).orderBy(F.desc("c"), "token").limit(HOT)
+    return np.array(sorted(r["token"] for r in rows.select("token").collect()), dtype=np.int64)
+
+
+def candidates_left(docs: DataFrame, described: DataFrame, hot: np.ndarray) -> DataFrame:
     """(id): documents with enough shared tokens in their hash-order prefixes to have a partner."""
-    tokens = _sets(docs, "id long, tokens array<long>", _prefixes).select("id", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    found = tokens.join(shared, "token").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
-    return found.join(described.select("id", "n"), "id").filter(
-        F.col("hits") > F.floor(F.ceil(PERCENT * F.col("n") / 100) / SPARE)).select("id").distinct()
+    tokens = _sets(docs, "id long, tokens array<long>", _prefixes(hot)).select("id", F.explode("tokens").alias("token"))
+    # counted and looked up behind one and the same shuffle; hot tokens, which would pile up in one task, are not in it
+    dealt = tokens.repartition("token")
+    shared = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
+    found = dealt.join(shared, "token").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
+    return described.select("id", "n", "hot").join(found, "id", "left").filter(
+        F.coalesce("hits", F.lit(0)) + F.col("hot") > F.floor(F.ceil(PERCENT * F.col("n") / 100) / SPARE)).select("id").distinct()
 
 
 def entries(sets: DataFrame) -> DataFrame:
@@ -190,11 +219,13 @@ def entries(sets: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    """The pairs (a, b) whose sets are similar enough. Only sets that occur in a pair are shuffled."""
+    pairs = cut_lineage(pairs.select("a", "b"))
+    named = small(pairs)
+    left = sets.join(named, F.col("id") == F.col("a")).select("a", "b", F.col("tokens").alias("ta"))
+    right = sets.join(named, F.col("id") == F.col("b")).select("a", "b", F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(
+    return left.join(right, ["a", "b"]).filter(
         100 * both >= PERCENT * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
@@ -203,38 +234,121 @@ def _fits(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def spanning_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between two blocks of sets (or within ``left``), as few as connect what all of them connect.
+
+    Members are numbered through both blocks. Intersections are products of 0/1 matrices over the tokens that at least
+    two members have, taken in slices of tokens, so memory stays with the block sizes."""
+    both = left + (right or [])
+    rows = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    _, codes, counts = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    use = counts[codes] > 1
+    rows, codes = rows[use], codes[use]
+    order = np.argsort(codes, kind="stable")
+    rows, codes = rows[order], np.cumsum(np.diff(codes[order], prepend=codes[order][:1]) != 0) if len(order) else codes
+    k = len(left)
+    meet = np.zeros((k, len(both) - k if right is not None else k), dtype=np.float32)
+    width = 4096
+    for start in range(0, int(codes[-1]) + 1 if len(codes) else 0, width):
+        lo, hi = np.searchsorted(codes, [start, start + width])
+        part = np.zeros((len(both), width), dtype=np.float32)
+        part[rows[lo:hi], codes[lo:hi] - start] = 1
+        meet += part[:k] @ (part[k:] if right is not None else part).T
+    n = np.array([len(s) for s in both], dtype=np.float64)
+    total = n[:k, None] + (n[None, k:] if right is not None else n[None, :]) - meet
+    near = 100.0 * meet >= percent * total
+    full = np.zeros((len(both), len(both)), dtype=bool)
+    if right is None:
+        full[:] = near
+    else:
+        full[:k, k:] = near
+        full |= full.T
+    np.fill_diagonal(full, False)
+    out, open_ = [], full.any(axis=1)
+    for root in range(len(both)):
+        if not open_[root]:
+            continue
+        open_[root] = False
+        queue = [root]
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(full[i] & open_)
+            open_[new] = False
+            out += [(i, int(j)) for j in new]
+            queue += new.tolist()
+    return out
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect, within each cluster of members (cluster, id, n), all that are linked.
+
+    A cluster's members are dealt into blocks by size level and hash; each two blocks whose sizes may be linked are compared
+    in one task. Neither the cluster nor its pairs come together anywhere: a member is sent once per block it meets."""
+    level = F.floor(F.log(F.col("n").cast("double")) / _LEVEL).cast("int")
+    placed = members.withColumn("level", level)
+    stats = cut_lineage(placed.groupBy("cluster", "level").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")))
+    known = small(stats)
+
+    def near(by: int, name: str) -> DataFrame:
+        return known.select(F.col("cluster").alias("_c"), (F.col("level") - by).alias("_l"), F.col("blocks").alias(name))
+
+    for by, name in ((0, "own"), (1, "above"), (-1, "below")):
+        placed = placed.join(near(by, name), (F.col("cluster") == F.col("_c")) & (F.col("level") == F.col("_l")), "left").drop("_c", "_l")
+    placed = placed.withColumn("h", F.pmod(F.xxhash64("id"), F.col("own").cast("bigint")).cast("int"))
+
+    def to(count: str, key) -> Column:
+        some = F.when(F.coalesce(count, F.lit(0)) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(some, key)
+
+    def key(l1: Column, h1: Column, l2: Column, h2: Column, side: Column) -> Column:
+        return F.struct(l1.alias("l1"), h1.alias("h1"), l2.alias("l2"), h2.alias("h2"), side.alias("side"))
+
+    lv, h = F.col("level"), F.col("h")
+    keys = F.concat(to("own", lambda x: key(lv, F.least(h, x), lv, F.greatest(h, x), F.when(h > x, 1).otherwise(0))),
+                    to("above", lambda x: key(lv, h, lv + 1, x, F.lit(0))), to("below", lambda x: key(lv - 1, x, lv, h, F.lit(1))))
+    sent = placed.select("cluster", "id", F.explode(keys).alias("k")).select("cluster", "id", "k.*").join(sets.select("id", "tokens"), "id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["l1"].iloc[0] == pdf["l2"].iloc[0] and pdf["h1"].iloc[0] == pdf["h2"].iloc[0]
+        pdf = pdf.sort_values("side", kind="stable")
+        tokens, ids, k = list(pdf["tokens"]), pdf["id"].to_numpy(), int((pdf["side"] == 0).sum())
+        found = spanning_links(tokens, None) if same else spanning_links(tokens[:k], tokens[k:]) if 0 < k < len(tokens) else []
+        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
+
+    return sent.groupBy("cluster", "l1", "h1", "l2", "h2").applyInPandas(compare, "a long, b long")
+
+
 def connected(sets: DataFrame) -> DataFrame:
     """(node, label) of the members (id, n, tokens) with a link: the smallest member that links lead to.
 
-    All links between members of different labels are found; a pair that is connected already needs no comparison."""
+    First every member meets one hub, the one it shares most entries with. Entries whose members that does not connect
+    are gone through fully: small ones pair by pair, large ones block by block."""
     index = entries(sets)
-    rows = cut_lineage(index.join(index.groupBy("entry").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "entry").drop("m"))
-    labels = found = None
-    for turn in range(STAR_ROUNDS + 1):
-        now = rows.withColumn("label", F.col("id")) if labels is None else rows.join(
-            labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        member = F.struct("id", "n", "label")
-        # entries whose members are not all connected yet, with a first or last member as hub
-        split = cut_lineage(now.groupBy("entry").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), (F.max(member) if turn % 2 else F.min(member)).alias("hub"))
-            .filter("lo <> hi").select("entry", "hub"))
-        if split.limit(1).count() == 0:
-            break
-        mine = now.join(split, "entry")
-        if turn < STAR_ROUNDS:
-            # every member meets the hub with which it shares most entries
-            votes = mine.filter((F.col("label") != F.col("hub.label")) & _fits(F.col("n"), F.col("hub.n"))).groupBy(
-                "id", F.col("hub.id").alias("hub")).count()
-            pairs = votes.groupBy("id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("b")).select(F.col("id").alias("a"), "b")
-        else:
-            mine = cut_lineage(mine.drop("hub"))
-            other = mine.select("entry", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = mine.join(other, "entry").filter((F.col("id") < F.col("b")) & (F.col("label") != F.col("lb")) & _fits(
-                F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b").distinct()
-        got = cut_lineage(verified(pairs, sets))
-        found = got if found is None else found.union(got)
-        labels = components(found)
-    return labels if labels is not None else rows.select(F.col("id").alias("node"), F.col("id").alias("label")).limit(0)
+    rows = cut_lineage(index.join(index.groupBy("entry").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "entry"))
+    hubs = rows.groupBy("entry").agg(F.min(F.struct("id", "n")).alias("hub"))
+    votes = rows.join(hubs, "entry").filter((F.col("id") != F.col("hub.id")) & _fits(F.col("n"), F.col("hub.n"))).groupBy(
+        "id", F.col("hub.id").alias("hub")).count()
+    found = cut_lineage(verified(votes.groupBy("id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("b")).select(
+        F.col("id").alias("a"), "b"), sets))
+    labels = components(found)
+
+    now = rows.join(small(labels.withColumnRenamed("node", "id")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    split = now.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("hub")).filter(
+        "lo <> hi").select("entry", "hub")
+    mine = cut_lineage(now.join(split, "entry"))
+    few = mine.filter(F.col("m") <= HEAVY)
+    other = few.select("entry", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    pairs = few.join(other, "entry").filter((F.col("id") < F.col("b")) & (F.col("label") != F.col("lb")) & _fits(
+        F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b").distinct()
+    found = found.union(cut_lineage(verified(pairs, sets)))
+    many = mine.filter(F.col("m") > HEAVY)
+    if many.limit(1).count():
+        clusters = components(many.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+        members = cut_lineage(many.select("id", "n").distinct().join(
+            clusters.select(F.col("node").alias("id"), F.col("label").alias("cluster")), "id"))
+        found = found.union(cut_lineage(block_links(members, sets)))
+    return components(found)
 
 
 NAMELESS = 1 << 62  # ids from here on stand for rows without one
@@ -249,9 +363,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Other columns are ignored; no rows give no rows."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NAMELESS) + F.pmod(
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 60))).alias("id"), F.col(text).alias("text"))
-    described = cut_lineage(_sets(d, "id long, n long, k1 long, k2 long", _describe))
-    members = described.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("n").alias("n"))
-    alive = cut_lineage(candidates_left(d, described).join(members, "id").select("id", "n"))
+    hot = hot_tokens(d)
+    described = cut_lineage(_sets(d, "id long, n long, k1 long, k2 long, hot long", _describe(hot)))
+    members = cut_lineage(described.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("n").alias("n")))
+    copies = described.join(members, "id", "left_anti").select("id").distinct()
+    copies = cut_lineage(copies)
+    once = d.join(F.broadcast(copies), "id", "left_anti") if copies.limit(SMALL + 1).count() <= SMALL else d
+    alive = cut_lineage(candidates_left(once, described, hot).join(members, "id").select("id", "n"))
     sets = cut_lineage(_sets(_chosen(d, alive.select("id").distinct()), "id long, tokens array<long>", _whole_sets).withColumn(
         "n", F.size("tokens").cast("bigint")))
     labels = connected(sets)

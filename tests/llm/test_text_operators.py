@@ -227,9 +227,10 @@ def brute_components(texts):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-@pytest.mark.parametrize("rare", [1, 8])
-def test_jaccard_components_match_brute_force(spark, docs, monkeypatch, rare):
-    monkeypatch.setattr(jaccard, "RARE", rare)
+@pytest.mark.parametrize("rare,heavy,block", [(1, 2, 7), (8, 16, 512), (8, 2, 20)])
+def test_jaccard_components_match_brute_force(spark, docs, monkeypatch, rare, heavy, block):
+    for name, value in (("RARE", rare), ("HEAVY", heavy), ("BLOCK_DOCS", block)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(rare)
     vocabulary = [f"w{i}" for i in range(40)]
     texts = []
@@ -278,6 +279,24 @@ def test_index_entries_are_shared_by_every_linked_pair():
         assert indexed(a) & indexed(b), (n, len(a), len(b))
 
 
+def test_spanning_links_connect_what_all_links_connect():
+    rng = np.random.default_rng(3)
+    for trial in range(20):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60))).astype(np.int64) for _ in range(30)]
+        near = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
+        for k in (None, 12):
+            want = [(i, j) for i in range(30) for j in range(i + 1, 30) if (k is None or i < k <= j) and near(sets[i], sets[j])]
+            got = jaccard.spanning_links(sets, None) if k is None else jaccard.spanning_links(sets[:k], sets[k:])
+
+            def parts(edges):
+                label = list(range(30))
+                for _ in range(30):
+                    for i, j in edges:
+                        label[i] = label[j] = min(label[i], label[j])
+                return label
+            assert parts(got) == parts(want) and len(got) < 30 and all(tuple(sorted(e)) in want for e in got)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = dict(rows(graph.components(spark.createDataFrame(edges, "a long, b long"))))
