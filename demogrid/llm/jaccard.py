@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -192,10 +192,9 @@ def hot_tokens(docs: DataFrame) -> np.ndarray:
 def candidates_left(docs: DataFrame, described: DataFrame, hot: np.ndarray) -> DataFrame:
     """(id): documents with enough shared tokens in their hash-order prefixes to have a partner."""
     tokens = _sets(docs, "id long, tokens array<long>", _prefixes(hot)).select("id", F.explode("tokens").alias("token"))
-    # counted and looked up behind one and the same shuffle; hot tokens, which would pile up in one task, are not in it
-    dealt = tokens.repartition("token")
-    shared = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    found = dealt.join(shared, "token").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
+    # one shuffle by token counts and looks up; hot tokens, which would pile up in one task, are not in it
+    shared = tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1")
+    found = shared.groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
     return described.select("id", "n", "hot").join(found, "id", "left").filter(
         F.coalesce("hits", F.lit(0)) + F.col("hot") > F.floor(F.ceil(PERCENT * F.col("n") / 100) / SPARE)).select("id").distinct()
 
