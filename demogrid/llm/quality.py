@@ -53,17 +53,22 @@ def normal_line(line: Column) -> Column:
 
 
 def line_frequency(docs: DataFrame, host: str = "source", text: str = "text", key: list[str] = ("doc_id",),
-                   share: float = LINE_SHARE, floor: int = LINE_FLOOR) -> DataFrame:
+                   share: float = LINE_SHARE, floor: int = LINE_FLOOR, places: bool = False) -> DataFrame:
     """(key…, host, words, removed): words of each document on any line, and on lines above the limit of its host.
 
+    With ``places`` also ``at``: the sorted numbers (from 0) of the lines above the limit, blank lines counted too.
     A line is above the limit if more than ``floor`` and more than ``share`` of the host's distinct documents have it.
     Copies count as one document: documents are told apart by the smallest and largest MD5 of their lines, on which
     copies with some lines changed mostly agree too, so that a group of copies does not make its own text boilerplate. NULL host is a host of its own. Documents without words have no row."""
-    cut = F.filter(F.transform(F.split(whole(text), "\n"), normal_line), lambda x: x != "")
+    def numbered(x: Column, i: Column) -> Column:
+        return F.struct(normal_line(x).alias("x"), *([i.alias("i")] if places else []))
+
+    cut = F.filter(F.transform(F.split(whole(text), "\n"), lambda x, i: numbered(x, i)), lambda l: l["x"] != "")
     per_doc = docs.select(*key, F.col(host).alias("_host"), let(cut, lambda a: F.struct(
-        let(F.transform(a, lambda x: F.md5(x.cast("binary"))), lambda m: F.concat(F.array_min(m), F.array_max(m))).alias("doc"),
-        F.transform(a, lambda x: F.struct(F.xxhash64(x).alias("h"), (
-            F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("n"))).alias("lines"))).alias("d"))
+        let(F.transform(a, lambda l: F.md5(l["x"].cast("binary"))), lambda m: F.concat(F.array_min(m), F.array_max(m))).alias("doc"),
+        F.transform(a, lambda l: F.struct(F.xxhash64(l["x"]).alias("h"), (
+            F.length(l["x"]) - F.length(F.replace(l["x"], F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("n"),
+            *([l["i"].alias("i")] if places else []))).alias("lines"))).alias("d"))
     rows = per_doc.select(*key, "_host", F.col("d.doc").alias("_doc"), F.inline("d.lines"))
     seen = rows.groupBy("_host", "h", "_doc").count().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("docs"))
     hosts = rows.groupBy("_host", "_doc").count().groupBy("_host").agg(F.count(F.lit(1)).alias("all"))
@@ -71,26 +76,40 @@ def line_frequency(docs: DataFrame, host: str = "source", text: str = "text", ke
         hosts.withColumnRenamed("_host", "_h2"), F.col("_host").eqNullSafe(F.col("_h2"))).filter(
         F.col("docs") > share * F.col("all")).select(F.col("_host").alias("_h2"), F.col("h").alias("_line"))
     hit = rows.join(often, F.col("_host").eqNullSafe(F.col("_h2")) & (F.col("h") == F.col("_line")), "left")
+    above = F.col("_line").isNotNull()
     return hit.groupBy(*key, F.col("_host").alias(host)).agg(
-        F.sum("n").alias("words"), F.sum(F.when(F.col("_line").isNotNull(), F.col("n")).otherwise(0)).alias("removed"))
+        F.sum("n").alias("words"), F.sum(F.when(above, F.col("n")).otherwise(0)).alias("removed"),
+        *([F.sort_array(F.collect_set(F.when(above, F.col("i")))).alias("at")] if places else []))
+
+
+def without_lines(text: Column, at: Column) -> Column:
+    """The text without the lines of the sorted numbers ``at``; the other lines stay as they are, in order.
+
+    The runs between removed lines are cut out one by one, so the work follows the number of lines."""
+    return let(F.split(text, "\n"), lambda lines: F.array_join(F.flatten(F.transform(
+        F.concat(F.array(F.lit(-1)), at), lambda a, k: F.slice(lines, a + 2, F.coalesce(F.get(at, k), F.size(lines)) - a - 1))), "\n"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id",
-                  share: float = LINE_SHARE, floor: int = LINE_FLOOR, least_left: float = LEAST_LEFT) -> DataFrame:
+                  share: float = LINE_SHARE, floor: int = LINE_FLOOR, least_left: float = LEAST_LEFT, cleaned: bool = False) -> DataFrame:
     """Every row of ``docs`` with the base counts, ``base_failed``, ``removed_share`` and ``kept``.
 
     ``kept`` is false if the base rules fail or less than ``least_left`` of the words remains once the lines above the
-    limit of the host are removed. Rows with equal id, host and text are judged together and each is returned.
+    limit of the host are removed. With ``cleaned`` also ``clean_text``, the text without these lines; all other columns
+    are about the original text. Rows with equal id, host and text are judged together and each is returned.
     NULL text is empty and fails the base rules. Columns of the input with the same names are replaced."""
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_share", "kept"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_share", "kept", *(["clean_text"] if cleaned else [])]
     docs = docs.drop(*made)
     keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(host), F.col(doc_id).isNull(), F.col(host).isNull(), whole(text)))
-    part = line_frequency(keyed.select("_key", host, text), host, text, ["_key"], share, floor).select(
-        "_key", (F.col("removed") / F.col("words")).alias("removed_share")).filter(F.col("removed_share") > 0)
+    part = line_frequency(keyed.select("_key", host, text), host, text, ["_key"], share, floor, cleaned).select(
+        "_key", (F.col("removed") / F.col("words")).alias("removed_share"), *(["at"] if cleaned else [])).withColumnsRenamed({"at": "_at"}).filter(F.col("removed_share") > 0)
     counted = keyed.withColumn("_b", base_counts(F.col(text))).select(
         *docs.columns, "_key", F.col("_b.w.n").alias("n_words"), "_b.word_chars", "_b.n_symbols", "_b.n_dup_lines",
         F.col("_b.w.r").alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (counted.join(part, "_key", "left").drop("_key").withColumn("base_failed", failed)
+    judged = counted.join(part, "_key", "left")
+    if cleaned:
+        judged = judged.withColumn("clean_text", F.when(F.col("_at").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("_at"))))
+    return (judged.drop("_key", "_at").withColumn("base_failed", failed)
             .withColumn("removed_share", F.coalesce("removed_share", F.lit(0.0)))
             .withColumn("kept", ~F.col("base_failed") & (F.col("removed_share") <= 1 - least_left)))

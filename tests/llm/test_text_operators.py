@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from demogrid.llm import bpe, chat, fingerprints, graph, jaccard, licenses, lm, mixing, pii, quality, toxicity
 from demogrid.llm.queries import QUERIES, vocabulary_path
 
@@ -194,6 +195,21 @@ def test_frequent_lines_of_a_host_deplete_documents(spark):
     assert not any(got[100 + i]["kept"] or got[100 + i]["base_failed"] for i in range(10))
 
 
+def test_frequent_lines_leave_the_texts_of_the_pipeline(spark):
+    rng = random.Random(7)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    menu, foot = "Menu 1 home about", "Footer  all"
+    own = {i: [fresh(40), "", fresh(20) + " "] for i in range(40)}
+    rows_ = [(i, "\n".join([menu.replace("1", str(i)), a, b, menu, c, foot.upper(), foot]), "en", "h", 7) for i, (a, b, c) in own.items()]
+    rows_ += [(1, *rows_[1][1:])] + [(100, fresh(60) + "\n\n" + menu + "\n", "en", None, 7), (101, fresh(60), "en", "h", 7)]
+    docs_ = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.quality_rules(spark, docs_, "")
+    got = rows(out)
+    assert out.schema == docs_.schema and len(got) == len(rows_)
+    assert all(t == "\n".join(own[i]) and n == len(t) for i, t, _, _, n in got if i < 100)
+    assert sorted(r for r in got if r[0] >= 100) == sorted(r for r in rows_ if r[0] >= 100)
+
+
 # --- licenses -----------------------------------------------------------------------------------
 
 def test_license_scan(spark, docs):
