@@ -6,7 +6,8 @@ format: two entities never get the same one, an entity gets the same one in ever
 table of all entities is needed to write the texts. Over the distinct entities of all documents,
 collisions are checked: a replacement that is itself somebody's real value, or that two entities
 share after such a change, is drawn again with the next tweak; only those few exceptions are joined
-back to the documents."""
+back to the documents. A value whose format is used up after a few tweaks, or has no free character
+at all, is drawn from a wider format, which grows with every further tweak; so a free one is always found."""
 
 from __future__ import annotations
 
@@ -24,7 +25,8 @@ from ..session import cut_lineage
 from .common import whole
 
 EXCEPTIONS_BROADCAST = 50_000  # exceptions (a few MB) that may be sent to every task; more are joined
-MOST_TWEAKS = 60
+FORMAT_TWEAKS = 12  # draws within the format of the value; from this tweak on the format is wider and longer
+WIDE = 12  # characters of a wider format, at least
 
 #: Given names by gender and script (fixed lists; replacements stay within a list).
 GIVEN = {
@@ -168,6 +170,16 @@ class Permuter:
 _SETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ",
          "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "áéíóú", "àèìòù", "äëïöü", "âêîôû"]
 _CLASS = {c: s for s in _SETS for c in s}
+#: First and last letter of other scripts (fixed ranges); a letter is replaced by one of its range.
+_RANGES = [(0x4E00, 0x9FA5), (0x3041, 0x3096), (0x30A1, 0x30FA), (0xAC00, 0xD7A3), (0x05D0, 0x05EA), (0x0621, 0x063A), (0x0641, 0x064A), (0x0905, 0x0939),
+           (0x0985, 0x09B9), (0x0E01, 0x0E2E), (0x0531, 0x0556), (0x0561, 0x0586), (0x10D0, 0x10F0)]
+_SCRIPTS = ["".join(c for c in map(chr, range(a, b + 1)) if c.isalpha()) for a, b in _RANGES]
+_LOWER, _FIGURES = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def _letters_like(c: str) -> str | None:
+    """The letters that may stand for a letter of a name; None if it has to stay."""
+    return _CLASS.get(c) or (next((s for s in _SCRIPTS if c in s), None) if ord(c) > 0x0500 else None)
 
 
 def _slots(p: Permuter, tweak: str, text: str, classes: list[str | None]) -> str:
@@ -197,27 +209,76 @@ def _iban_check(country: str, body: str) -> str:
     return f"{98 - n % 97:02d}"
 
 
+def _email_sets(value: str) -> list[str | None]:
+    at = value.index("@")
+    labels = value[at + 1:].split(".")
+    fixed = 2 if len(labels) > 1 and labels[-2] == "example" else 1
+    free = at + 1 + len(".".join(labels[:-fixed]))
+
+    # labels before a reserved domain keep their letters
+    def of(i: int, c: str) -> str | None:
+        if i >= free:
+            return None
+        return _FIGURES if c in _FIGURES else _LOWER if c in _LOWER and (i < at or fixed == 1) else None
+    return [of(i, c) for i, c in enumerate(value)]
+
+
+def _drawn(p: Permuter, tweak: str, value: str, sets: list[str]) -> str:
+    """A keyed draw of one character of every set."""
+    x = int.from_bytes(hashlib.shake_256(p.key + f"{tweak}|{value}".encode("utf-8", "surrogatepass")).digest(2 * len(sets) + 16), "big")
+    out = []
+    for s in sets:
+        x, r = divmod(x, len(s))
+        out.append(s[r])
+    return "".join(out)
+
+
+def _wider(p: Permuter, kind: str, value: str, tweak: int) -> str:
+    """A draw from a format of the same kind with more room; it is one character longer with every tweak.
+
+    The draws are not one-to-one by themselves: like all others they are checked against the real values and each other."""
+    t, more = f"{kind}#wide#{tweak}", max(1, tweak - FORMAT_TWEAKS + 1)
+    room = max(WIDE, len(value)) + more
+    if kind == "email":
+        at = value.index("@")
+        return _drawn(p, t, value, [_LOWER] * (max(WIDE, at) + more) + [x or c for x, c in zip(_email_sets(value)[at:], value[at:])])
+    if kind == "ip":  # a private or documentation address of the longer protocol
+        private = value.startswith(("10.", "192.168.")) or value.startswith("172.") and 16 <= int(value.split(".")[1]) < 32
+        groups = _drawn(p, t, value, ["0123456789abcdef"] * 24)
+        return ("fd00:db8:" if private else "2001:db8:") + ":".join(groups[i:i + 4] for i in range(0, 24, 4))
+    if kind == "card":
+        head = value[0] + _drawn(p, t, value, [_FIGURES] * (len(value) - 1 + more))
+        return next(head + d for d in _drawn(p, t, value, [_FIGURES]) + _FIGURES if luhn(head + d) == luhn(value))
+    if kind in ("phone", "ssn"):
+        return value[:1] + _drawn(p, t, value, [_FIGURES] * (len(value) + more))
+    if kind == "iban":
+        body = _drawn(p, t, value, [_FIGURES if c.isdigit() else _LOWER.upper() for c in value[4:]] + [_FIGURES] * more)
+        return value[:2] + _iban_check(value[:2], body) + body
+    if kind == "access_key":
+        return value[:4] + _drawn(p, t, value, [_LOWER.upper() + _FIGURES] * (len(value) - 4 + more))
+    if kind == "secret":
+        return _drawn(p, t, value, [_LOWER + _FIGURES] * room)
+    # a name: its letters like before, then syllables (or letters of its script)
+    sets = [_letters_like(c) or (_SETS[4] if c.isupper() or not i else _SETS[1 + i % 2]) for i, c in enumerate(value)]
+    tail = [sets[-1]] if sets[-1] in _SCRIPTS else [_SETS[6], _SETS[5]] if sets[-1][0] in "аб" else [_SETS[10], _SETS[9]] if sets[-1][0] in "αβ" else [_SETS[2], _SETS[1]]
+    return _drawn(p, t, value, sets + [tail[i % len(tail)] for i in range(max(2, WIDE // 2 - len(value)) + more)])
+
+
 def surrogate(p: Permuter, kind: str, value: str, tweak: int = 0) -> str:
-    """The replacement of a canonical value. For a fixed key, kind and tweak it is one-to-one."""
+    """The replacement of a canonical value. For a fixed key, kind and tweak below FORMAT_TWEAKS it is one-to-one, but
+    for values without a free character, which always get one of a wider format."""
+    if tweak >= FORMAT_TWEAKS and not kind.startswith("given_"):
+        return _wider(p, kind, value, tweak)
     t = f"{kind}#{tweak}"
     if kind.startswith("given_"):
         _, gender, script = kind.split("_")
         names = GIVEN[gender, script]
         return names[p(t, names.index(value), len(names))]
     if kind in ("surname", "first", "first_f", "first_m"):
-        return _slots(p, t, value, [_CLASS.get(c) for c in value])
+        classes = [_letters_like(c) for c in value]
+        return _slots(p, t, value, classes) if any(classes) else _wider(p, kind, value, tweak)
     if kind == "email":
-        at = value.index("@")
-        labels = value[at + 1:].split(".")
-        fixed = 2 if len(labels) > 1 and labels[-2] == "example" else 1
-        free = at + 1 + len(".".join(labels[:-fixed]))
-        letters, figures = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-        # labels before a reserved domain keep their letters
-        def of(i: int, c: str) -> str | None:
-            if i >= free:
-                return None
-            return figures if c in figures else letters if c in letters and (i < at or fixed == 1) else None
-        return _slots(p, t, value, [of(i, c) for i, c in enumerate(value)])
+        return _slots(p, t, value, _email_sets(value))
     if kind == "ip":
         a = [int(o) for o in value.split(".")]
         def sort(b: list[int]) -> str:
@@ -254,21 +315,27 @@ def surrogate(p: Permuter, kind: str, value: str, tweak: int = 0) -> str:
         return value[:4] + _slots(p, t, value[4:], ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"] * (len(value) - 4))
     hexadecimal = all(c in "0123456789abcdef" for c in value)
     sets = ("0123456789abcdef",) if hexadecimal else ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    return _slots(p, t + ("x" if hexadecimal else ""), value, [next((s for s in sets if c in s), None) for c in value])
+    classes = [next((s for s in sets if c in s), None) for c in value]
+    return _slots(p, t + ("x" if hexadecimal else ""), value, classes) if any(classes) else _wider(p, kind, value, tweak)
 
 
 def rendered(kind: str, mention: str, value: str) -> str:
-    """A canonical replacement in the form of the mention: its separators, prefix and case."""
+    """A canonical replacement in the form of the mention: its separators, prefix and case. What it is longer follows at the end
+    (in an e-mail address at the end of the name)."""
     if kind == "email":
+        longer = len(value) - len(mention)
+        if longer > 0:
+            at = mention.index("@")
+            mention = mention[:at] + ("A" if mention.isupper() else " ") * longer + mention[at:]
         return "".join(r.upper() if m.isupper() else r for m, r in zip(mention, value))
     if kind in ("phone", "card", "ssn"):
         prefix = re.match(r"^\+[0-9]{1,3}(?=[ .(-])", mention) if kind == "phone" else None
         at = prefix.end() if prefix else 0
         digits = iter(value)
-        return mention[:at] + "".join(next(digits) if c in "0123456789" else c for c in mention[at:])
+        return mention[:at] + "".join(next(digits) if c in "0123456789" else c for c in mention[at:]) + "".join(digits)
     if kind == "iban":
         chars = iter(value)
-        return "".join(c if c == " " else next(chars) for c in mention)
+        return "".join(c if c == " " else next(chars) for c in mention) + "".join(chars)
     return value
 
 
@@ -311,7 +378,7 @@ def collision_exceptions(found: DataFrame, key: bytes) -> DataFrame:
     found = cut_lineage(found.filter(~F.col("kind").startswith("given_")))
     real = found.select("kind", F.col("value").alias("made"), F.lit(True).alias("real"))
     now = drawn(found.withColumn("tweak", F.lit(0)))
-    for _ in range(MOST_TWEAKS):
+    while True:  # the wider formats grow, so the rounds end
         best = F.struct("tweak", "value")
         shared = now.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("first")).filter("n > 1").drop("n")
         judged = cut_lineage(now.join(real, ["kind", "made"], "left").join(shared, ["kind", "made"], "left").withColumn(
@@ -319,7 +386,6 @@ def collision_exceptions(found: DataFrame, key: bytes) -> DataFrame:
         if judged.filter("bad").limit(1).count() == 0:
             return judged.filter("tweak > 0").select("kind", "value", "tweak")
         now = judged.filter("not bad").drop("bad").unionByName(drawn(judged.filter("bad").withColumn("tweak", F.col("tweak") + 1)))
-    raise ValueError(f"no free replacements after {MOST_TWEAKS} tweaks: a format is exhausted")
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
