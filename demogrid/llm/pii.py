@@ -49,13 +49,19 @@ _SECRET = re.compile(r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|acces
 _SECRET_WORDS = ("passw", "pwd", "secret", "token", "key")
 _ACCESS = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_NUMERIC = re.compile(r"[0-9+(][0-9 ().+-]{5,}[0-9]")
+_NUMERIC = re.compile(r"[0-9+(][0-9 ()./+-]{5,}[0-9]")
 _BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _NUMBER = re.compile(
     rf"(?<![0-9.])(?P<ip>(?:{_BYTE}\.){{3}}{_BYTE})(?![0-9]|\.[0-9])"
     r"|(?<![0-9.+-])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9-])"
     r"|(?<![0-9-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"
-    r"|(?<![\w+])(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?)(?![0-9-])")
+    r"|(?<![\w+])(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?"
+    # after a country prefix: pairs of digits, with or without three digits before them; area code and one long block; no separators
+    r"|\+[1-9][0-9]{0,2}[ .-]?(?:\(0\)[ .-]?)?(?:[0-9]{1,3}(?:[ .-][0-9]{3})?(?:[ .-][0-9]{2}){2,4}|(?:\([0-9]{1,5}\)[ .-]?|[0-9]{1,5}[ .-])[0-9]{5,9}|[0-9]{7,12})"
+    # national: French pairs; German area code and one long block, three and pairs or pairs; Spanish pairs
+    r"|0[1-9](?P<sep>[ .-])[0-9]{2}(?:(?P=sep)[0-9]{2}){3}"
+    r"|(?:\(0[1-9][0-9]{1,4}\)[ .-]?|0[1-9][0-9]{1,4}[ ./-])(?:[0-9]{5,9}|[0-9]{3}(?:[ .-][0-9]{2}){2}|[0-9]{2}(?:[ .-][0-9]{2}){2,3})"
+    r"|[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}|9[0-9][ .-][0-9]{3}(?:[ .-][0-9]{2}){2})(?![0-9-])")
 _TITLED = re.compile(rf"(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ ](?P<name1>{_CAP})(?:[ ](?P<name2>{_CAP}))?")
 _NAMED = re.compile(rf"(?P<given>{'|'.join(sorted(_NAMES, key=len, reverse=True))})[ ](?P<sur>{_CAP})")
 _DIGIT = re.compile(r"[0-9]")

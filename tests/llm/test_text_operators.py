@@ -366,6 +366,22 @@ def test_collisions_are_drawn_again(spark):
     assert ("ssn", values[0]) in tweaks and len(set(final.values())) == len(final) and not set(final.values()) & set(clash)
 
 
+@pytest.mark.parametrize("phone", ["01 23 45 67 89", "01.23.45.67.89", "+33 1 23 45 67 89", "+33123456789", "+49 30 1234567", "030 1234567", "030/1234567", "(030) 1234567",
+                                   "0151 23456789", "+49 (0)30 1234567", "+49 151 23456789", "+34 612 34 56 78", "612 34 56 78", "91 234 56 78", "+34 912 345 678",
+                                   "0151 23 45 67 89", "+1 (555) 123-4567", "555-123-4567", "+44 20 7946 0958"])
+def test_phones_of_four_languages(phone):
+    p = pii.Permuter(b"k")
+    new, spans = pii.rewrite(p, f"Ruf {phone}, ja.", {})
+    assert [(k, s, e) for k, s, e, _ in spans] == [("phone", 4, 4 + len(phone))] and phone not in new
+    assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"Ruf {phone}, ja.")
+
+
+@pytest.mark.parametrize("text", ["2024-01-02", "12/05/2024", "1 234 567", "3.14159265", "04/12345", "pages 12-15, 20-25",
+                                  "+12 345", "0.12345678", "1990 12345678", "12 34 56 78 90"])
+def test_other_numbers_are_no_phones(text):
+    assert pii.find_entities(f"See {text} there.") == []
+
+
 def test_used_up_formats_get_wider_ones(spark):
     mails = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
     texts = [f"Mail {m.upper() if i % 2 else m} now." for i, m in enumerate(mails)]
