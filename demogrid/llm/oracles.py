@@ -75,4 +75,24 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, length(regexp_replace(text, '{_G
 FROM docs LEFT JOIN repeated USING (k) LEFT JOIN dups USING (k) LEFT JOIN removed USING (k)
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op5_quality_rules": OP5}
+OP12 = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, v.id, v.label = a.label AS same, list_dot_product(a.q, v.q)::BIGINT AS score
+  FROM v a JOIN v ON v.id <> a.id WHERE a.id % 50 = 0
+), pos AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM pos JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY row_number() OVER w <= 3
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op5_quality_rules": OP5, "op12_hard_negatives": OP12}

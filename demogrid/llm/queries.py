@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, licenses, lm, mixing, pii, quality, toxicity
-from .common import table, whole
+from . import bpe, chat, fingerprints, jaccard, licenses, lm, mixing, negatives, pii, quality, runs, simhash, toxicity
+from .common import let, table, whole, words
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -86,4 +86,42 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(sized).select("doc_id", "size", "source_size", "target", "taken", "first_piece", "piece_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_toxicity, op4_hmm_scores, op5_quality_rules, op6_license_scan, op7_jaccard_join, op8_pii_surrogates, op9_bpe_round_trip, op10_source_mix)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), vec_id % 50 == 0,
+                                    F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def repeated_tail(text: Column, doc_id: Column) -> Column:
+    """The text; if h = crc32(doc_id) is divisible by 10, its words from a on repeat the first p of them (see op13)."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def rewritten(w: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = let(F.struct(n.alias("n"), a.alias("a"), p.alias("p")), lambda c: F.transform(
+            F.sequence(F.lit(0).cast("bigint"), c["n"] - 1), lambda i: F.get(w, F.when(i < c["a"], i).otherwise(c["a"] + (i - c["a"]) % c["p"]).cast("int"))))
+        return F.when(n > 0, F.array_join(place, " ")).otherwise(F.lit(""))
+
+    return F.when(h % 10 == 0, let(words(whole(text)), rewritten)).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeated_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.periodic_runs(docs).withColumn("best", runs.longest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+                        F.col("best.period").alias("period"), F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_document_fingerprints, op3_toxicity, op4_hmm_scores, op5_quality_rules, op6_license_scan, op7_jaccard_join,
+    op8_pii_surrogates, op9_bpe_round_trip, op10_source_mix, op11_simhash, op12_hard_negatives, op13_periodic_runs)}
