@@ -68,7 +68,7 @@ def analysable(registry: Registry, env_counts: DataFrame, limit: int = 40) -> Da
 
 def default_range(registry: Registry, stats: DataFrame) -> DataFrame:
     """(variable, lo, hi): the declared domain of a filter, else its 2nd and 98th percentiles."""
-    declared = [(v.id, *(v.filter_range or (None, None))) for v in registry.variables
+    declared = [(v.id, *(map(float, v.filter_range) if v.filter_range else (None, None))) for v in registry.variables
                 if v.dtype != "cat" and "filter" in v.roles]
     d = stats.sparkSession.createDataFrame(declared, "variable string, dlo double, dhi double")
     return stats.join(F.broadcast(d), "variable").select(

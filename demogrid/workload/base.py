@@ -97,7 +97,7 @@ FROM supplier CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UN
 # Rows of the grid, which grows with the customers.
 GRID_ROWS = "SELECT CAST(FLOOR(MAX(c_custkey) / 40.0) AS BIGINT) + 1 AS n_rows FROM customer"
 
-# The same rows in Spark without a join against the list of corners.
+# The same rows in Spark without a join against the list of corners, or against the one row of the grid's height.
 SPARK_TEXT = {"vertices": BINDINGS["vertices"].replace(
     BINDINGS["vertices"][BINDINGS["vertices"].index("CROSS JOIN"):], "LATERAL VIEW explode(array(0, 1, 2, 3, 4, 5)) kk AS k")}
 
@@ -126,6 +126,9 @@ SELECT event_id AS id, CASE WHEN event_type IN ('error', 'click') THEN 'nowcasti
        (event_id * 613 % 40) * 1000 AS cx, (event_id * 389 % n_rows) * 1000 AS cy
 FROM events CROSS JOIN (SELECT CAST(FLOOR(MAX(c_custkey) / 40.0) AS BIGINT) + 1 AS n_rows FROM customer) g"""
 
+SPARK_TEXT["messages"] = BINDINGS["messages"].replace("event_id * 389 % n_rows", f"event_id * 389 % ({GRID_ROWS})")
+SPARK_TEXT["messages"] = SPARK_TEXT["messages"][:SPARK_TEXT["messages"].index(" CROSS JOIN")]
+
 # --- a road graph: customers are junctions, consecutive orders are one-way roads -----------
 BINDINGS["ways"] = """
 SELECT a.o_orderkey AS gid, a.o_custkey AS source, b.o_custkey AS target,
@@ -185,6 +188,8 @@ def with_bindings(names: list[str], body: str, texts: dict[str, str] | None = No
     body = body.strip()
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {ctes},\n{body[len('WITH RECURSIVE'):]}"
+    if body.startswith(","):  # further common tables, then the question
+        return f"WITH {ctes}\n{body}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
