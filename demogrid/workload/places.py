@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import focal, positions, similar
-from .base import query
+from ..operators import focal, overlay, positions, similar
+from .base import BINDINGS, query
 
 # --- similar places ----------------------------------------------------------------------------------
 
@@ -100,3 +100,48 @@ def _(t):
     wide = t.core.join(t.env, "cell_id").join(t.climate, "cell_id", "left")
     out = positions.percentile_positions(wide, _NUMERIC, "county_mn")
     return out.withColumns({"position": F.round("position", 9), "position_within": F.round("position_within", 9)})
+
+
+# --- travel times ----------------------------------------------------------------------------------------
+
+# Neighbouring cells are joined by a road each way, whose costs follow the balances; some roads are missing.
+BINDINGS["lanes"] = """
+SELECT a.c_custkey AS source, b.c_custkey AS target, CAST(FLOOR(ABS(a.c_acctbal)) AS BIGINT) % 9 + 1 AS cost
+FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 40 <> 39 AND a.c_custkey % 11 <> 3
+UNION ALL SELECT b.c_custkey, a.c_custkey, CAST(FLOOR(ABS(b.c_acctbal)) AS BIGINT) % 7 + 1
+FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 40 <> 39 AND a.c_custkey % 13 <> 5
+UNION ALL SELECT a.c_custkey, b.c_custkey, CAST(FLOOR(ABS(a.c_acctbal)) AS BIGINT) % 5 + 1
+FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 40
+UNION ALL SELECT b.c_custkey, a.c_custkey, CAST(FLOOR(ABS(b.c_acctbal)) AS BIGINT) % 8 + 2
+FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 40 WHERE b.c_custkey % 17 <> 2"""
+BINDINGS["few_places"] = "SELECT r_regionkey * 37 + 5 AS vertex, r_regionkey AS facility FROM region"
+BINDINGS["many_places"] = "SELECT c_custkey AS vertex, CAST(FLOOR(c_custkey / 194.0) AS BIGINT) AS facility FROM customer WHERE c_custkey % 97 = 0"
+
+_MATRIX = """
+WITH RECURSIVE dj(v, f, c) USING KEY (v, f) AS (SELECT vertex, facility, 0::BIGINT FROM {places} UNION
+  SELECT o.v, o.f, MIN(o.c) FROM (SELECT r.source AS v, d.f, d.c + r.cost AS c FROM dj d JOIN lanes r ON r.target = d.v) o
+  LEFT JOIN recurring.dj k ON k.v = o.v AND k.f = o.f WHERE {limit} (k.c IS NULL OR o.c < k.c) GROUP BY o.v, o.f)"""
+
+
+def _overlay(t):
+    junctions = t.junctions.select("vertex", "x", "y")
+    return overlay.build_overlay(t.lanes, overlay.spatial_partitions(junctions, 256))
+
+
+@query("x13_travel_time_matrix", "lanes few_places", _MATRIX.format(places="few_places", limit="") +
+       " SELECT v AS vertex, f AS facility, c::DOUBLE AS cost FROM dj")
+def _(t):
+    return overlay.travel_time_matrix(_overlay(t), t.few_places)
+
+
+@query("x13_travel_times_within", "lanes many_places", _MATRIX.format(places="many_places", limit="o.c <= 60 AND") +
+       " SELECT v AS vertex, f AS facility, c::DOUBLE AS cost FROM dj")
+def _(t):
+    return overlay.travel_time_matrix(_overlay(t), t.many_places, 60)
+
+
+@query("x13_two_nearest_facilities", "lanes few_places", _MATRIX.format(places="few_places", limit="") + """
+SELECT v AS vertex, (ROW_NUMBER() OVER (PARTITION BY v ORDER BY c, f))::INT AS rank, f AS facility, c::DOUBLE AS cost FROM dj
+QUALIFY ROW_NUMBER() OVER (PARTITION BY v ORDER BY c, f) <= 2""")
+def _(t):
+    return overlay.nearest_facilities(overlay.travel_time_matrix(_overlay(t), t.few_places), 2)
