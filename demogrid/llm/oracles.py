@@ -46,15 +46,15 @@ WITH docs AS (
 ), repeated AS (
   SELECT k, count(*) AS n_words, count(*) FILTER (c) AS n_repeat_words FROM cov GROUP BY k
 ), lines AS (
-  SELECT k, source, line, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT k, source, i, line, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[0-9]+', '0', 'g'), '{_GAP}', ' ', 'g')) AS norm
-  FROM (SELECT k, source, unnest(string_split(text, chr(10))) AS line FROM docs)
+  FROM (SELECT k, source, generate_subscripts(a, 1) AS i, unnest(a) AS line FROM (SELECT k, source, string_split(text, chr(10)) AS a FROM docs))
 ), worded AS (
   SELECT * FROM lines WHERE norm <> ''
 ), dups AS (
   SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY k
 ), doc AS (
-  SELECT k, min(md5(norm)) || max(md5(norm)) AS doc FROM worded GROUP BY k
+  SELECT k, string_agg(norm, chr(10) ORDER BY i) AS doc FROM worded GROUP BY k
 ), seen AS (
   SELECT source, norm, count(DISTINCT doc) AS n FROM worded JOIN doc USING (k) GROUP BY source, norm
 ), hosts AS (

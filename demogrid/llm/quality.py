@@ -1,14 +1,16 @@
 """Quality rules: basic counts of each text, and cross-document line frequency.
 
-Lines are normalised and hashed; per host, the distinct documents with a line are counted; lines
-above the limit are taken out of every document of that host, and documents of which too little
-remains are rejected. Columns and SQL functions only."""
+Every text is read once: its counts and the hashes of its normalised lines are written to a table, by
+which all further steps go. Per host, the distinct documents with a line are counted; lines above the
+limit are taken out of every document of that host, and documents of which too little remains are
+rejected. Columns and SQL functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import GAP, let, lower_ascii, whole, word_runs, words
 
 SYMBOLS = r"[#*$%&|<>]"  # fixed value
@@ -47,39 +49,32 @@ def base_counts(text: Column) -> Column:
         let(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("bigint")).alias("n_dup_lines"))
 
 
-def normal_line(line: Column) -> Column:
-    """Case of A-Z, digits and the amount of white space do not matter."""
-    return F.trim(F.regexp_replace(F.regexp_replace(lower_ascii(line), r"[0-9]+", "0"), GAP, " "))
-
-
-def line_frequency(docs: DataFrame, host: str = "source", text: str = "text", key: list[str] = ("doc_id",),
-                   share: float = LINE_SHARE, floor: int = LINE_FLOOR, places: bool = False) -> DataFrame:
-    """(key…, host, words, removed): words of each document on any line, and on lines above the limit of its host.
-
-    With ``places`` also ``at``: the sorted numbers (from 0) of the lines above the limit, blank lines counted too.
-    A line is above the limit if more than ``floor`` and more than ``share`` of the host's distinct documents have it.
-    Copies count as one document: documents are told apart by the smallest and largest MD5 of their lines, on which
-    copies with some lines changed mostly agree too, so that a group of copies does not make its own text boilerplate. NULL host is a host of its own. Documents without words have no row."""
-    def numbered(x: Column, i: Column) -> Column:
-        return F.struct(normal_line(x).alias("x"), *([i.alias("i")] if places else []))
-
-    cut = F.filter(F.transform(F.split(whole(text), "\n"), lambda x, i: numbered(x, i)), lambda l: l["x"] != "")
-    per_doc = docs.select(*key, F.col(host).alias("_host"), let(cut, lambda a: F.struct(
-        let(F.transform(a, lambda l: F.md5(l["x"].cast("binary"))), lambda m: F.concat(F.array_min(m), F.array_max(m))).alias("doc"),
-        F.transform(a, lambda l: F.struct(F.xxhash64(l["x"]).alias("h"), (
-            F.length(l["x"]) - F.length(F.replace(l["x"], F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("n"),
-            *([l["i"].alias("i")] if places else []))).alias("lines"))).alias("d"))
-    rows = per_doc.select(*key, "_host", F.col("d.doc").alias("_doc"), F.inline("d.lines"))
-    seen = rows.groupBy("_host", "h", "_doc").count().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("docs"))
-    hosts = rows.groupBy("_host", "_doc").count().groupBy("_host").agg(F.count(F.lit(1)).alias("all"))
-    often = seen.filter(F.col("docs") > floor).join(
-        hosts.withColumnRenamed("_host", "_h2"), F.col("_host").eqNullSafe(F.col("_h2"))).filter(
-        F.col("docs") > share * F.col("all")).select(F.col("_host").alias("_h2"), F.col("h").alias("_line"))
-    hit = rows.join(often, F.col("_host").eqNullSafe(F.col("_h2")) & (F.col("h") == F.col("_line")), "left")
-    above = F.col("_line").isNotNull()
-    return hit.groupBy(*key, F.col("_host").alias(host)).agg(
-        F.sum("n").alias("words"), F.sum(F.when(above, F.col("n")).otherwise(0)).alias("removed"),
-        *([F.sort_array(F.collect_set(F.when(above, F.col("i")))).alias("at")] if places else []))
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
+def hashed_lines(text: Column) -> Column:
+    """array<struct<h, n, i>>: hash, words and number (from 0, blank lines counted too) of the lines with a word, normalised:
+    case of A-Z, digits and the amount of white space do not matter."""
+    plain = F.regexp_replace(F.regexp_replace(lower_ascii(text), r"[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
+    numbered = F.transform(F.split(plain, "\n"), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i")))
+    return F.transform(F.filter(numbered, lambda l: l["x"] != ""), lambda l: F.struct(
+        F.xxhash64(l["x"]).alias("h"), (F.length(l["x"]) - F.length(F.replace(l["x"], F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("n"), l["i"].alias("i")))
+
+
+def document_key(lines: Column) -> Column:
+    """One hash over the whole list of hashed lines: texts that differ in white space, case or digits only are one document."""
+    return F.when(F.size(lines) > 0, F.xxhash64(F.transform(lines, lambda l: l["h"])))
+
+
+def frequent_lines(docs: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR) -> DataFrame:
+    """(host, h) of the distinct documents (host, doc, lines): lines that more than ``floor`` and more than ``share`` of a host's have.
+
+    Counts are combined before they are shuffled by host and line; hosts are counted from one row per document."""
+    seen = docs.select("host", F.explode(F.array_distinct(F.transform("lines", lambda l: l["h"]))).alias("h")).groupBy("host", "h").agg(
+        F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > floor)
+    hosts = docs.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("every"))
+    return seen.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("docs") > share * F.col("every")).select("host", "h")
 
 
 def without_lines(text: Column, at: Column) -> Column:
@@ -90,26 +85,40 @@ def without_lines(text: Column, at: Column) -> Column:
         F.concat(F.array(F.lit(-1)), at), lambda a, k: F.slice(lines, a + 2, F.coalesce(F.get(at, k), F.size(lines)) - a - 1))), "\n"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id",
-                  share: float = LINE_SHARE, floor: int = LINE_FLOOR, least_left: float = LEAST_LEFT, cleaned: bool = False) -> DataFrame:
-    """Every row of ``docs`` with the base counts, ``base_failed``, ``removed_share`` and ``kept``.
+def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", share: float = LINE_SHARE, floor: int = LINE_FLOOR,
+                  least_left: float = LEAST_LEFT, cleaned: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` (its columns ``carry``, or all) with the base counts, ``base_failed``, ``removed_share`` and ``kept``.
 
     ``kept`` is false if the base rules fail or less than ``least_left`` of the words remains once the lines above the
-    limit of the host are removed. With ``cleaned`` also ``clean_text``, the text without these lines; all other columns
-    are about the original text. Rows with equal id, host and text are judged together and each is returned.
-    NULL text is empty and fails the base rules. Columns of the input with the same names are replaced."""
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_share", "kept", *(["clean_text"] if cleaned else [])]
-    docs = docs.drop(*made)
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(host), F.col(doc_id).isNull(), F.col(host).isNull(), whole(text)))
-    part = line_frequency(keyed.select("_key", host, text), host, text, ["_key"], share, floor, cleaned).select(
-        "_key", (F.col("removed") / F.col("words")).alias("removed_share"), *(["at"] if cleaned else [])).withColumnsRenamed({"at": "_at"}).filter(F.col("removed_share") > 0)
-    counted = keyed.withColumn("_b", base_counts(F.col(text))).select(
-        *docs.columns, "_key", F.col("_b.w.n").alias("n_words"), "_b.word_chars", "_b.n_symbols", "_b.n_dup_lines",
-        F.col("_b.w.r").alias("n_repeat_words"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged = counted.join(part, "_key", "left")
-    if cleaned:
-        judged = judged.withColumn("clean_text", F.when(F.col("_at").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("_at"))))
-    return (judged.drop("_key", "_at").withColumn("base_failed", failed)
-            .withColumn("removed_share", F.coalesce("removed_share", F.lit(0.0)))
-            .withColumn("kept", ~F.col("base_failed") & (F.col("removed_share") <= 1 - least_left)))
+    limit of the host are removed. Distinct documents are counted: texts with the same normalised lines count once in a host,
+    so that copies do not make their own text boilerplate. NULL host is a host of its own. With ``cleaned`` also ``clean_text``,
+    the text without these lines, and ``clean_failed``, whether that fails the base rules; all other columns are about the original
+    text. NULL text is empty and fails the base rules. Repeated rows are returned each. Columns of the input with the
+    names of the made ones are replaced; other names cannot clash, as rows are carried as a whole."""
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_share", "kept",
+            *(["clean_text", "clean_failed"] if cleaned else [])]
+    spark, chosen = docs.sparkSession, [c for c in (docs.columns if carry is None else carry) if c not in made]
+    read = docs.select(F.struct(*[F.col(c) for c in chosen]).alias("row"), F.col(host).alias("host"), base_counts(F.col(text)).alias("base"),
+                       hashed_lines(whole(text)).alias("lines"), *([F.col(text).alias("text")] if cleaned else [])).withColumn("doc", document_key(F.col("lines")))
+    path = scratch_path(spark, "quality")
+    read.write.parquet(f"{path}/read")
+    read = spark.read.parquet(f"{path}/read")
+    read.filter("doc is not null").select("host", "doc", "lines").dropDuplicates(["host", "doc"]).write.parquet(f"{path}/docs")
+    distinct = spark.read.parquet(f"{path}/docs")
+    often = frequent_lines(distinct, share, floor).withColumnsRenamed({"host": "_host", "h": "_h"})
+    hit = distinct.select("host", "doc", F.inline("lines")).join(often, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")))
+    part = hit.groupBy(F.col("host").alias("_host"), F.col("doc").alias("_doc")).agg(
+        F.sum("n").alias("removed"), *([F.collect_set("h").alias("gone")] if cleaned else []))
+    judged = read.join(part, F.col("host").eqNullSafe(F.col("_host")) & (F.col("doc") == F.col("_doc")), "left")
+    failed = base_failed(F.col("base.w.n"), F.col("base.w.r"))
+    left_out = F.coalesce(F.col("removed") / F.col("base.w.n"), F.lit(0.0))
+    counts = [F.col("base.w.n").alias("n_words"), F.col("base.word_chars"), F.col("base.n_symbols"), F.col("base.n_dup_lines"),
+              F.col("base.w.r").alias("n_repeat_words"), failed.alias("base_failed"), left_out.alias("removed_share"),
+              (~failed & (left_out <= 1 - least_left)).alias("kept")]
+    if not cleaned:
+        return judged.select("row.*", *counts)
+    at = F.transform(F.filter("lines", lambda l: F.array_contains("gone", l["h"])), lambda l: l["i"])
+    judged = judged.withColumn("clean_text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), at)))
+    # most texts lose nothing: only the others are counted again
+    again = F.when(F.col("gone").isNotNull(), let(base_counts(F.col("clean_text")), lambda b: base_failed(b["w"]["n"], b["w"]["r"])))
+    return judged.select("row.*", *counts, "clean_text", F.coalesce(again, failed).alias("clean_failed"))

@@ -195,6 +195,21 @@ def test_frequent_lines_of_a_host_deplete_documents(spark):
     assert not any(got[100 + i]["kept"] or got[100 + i]["base_failed"] for i in range(10))
 
 
+def test_template_heavy_documents_are_distinct(spark):
+    """40 shared lines and 2 own ones: each document counts, so that the shared lines are above the limit of a host of 1,000."""
+    rng = random.Random(8)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    template = [fresh(6) for _ in range(40)]
+    rows_ = [(i, "\n".join([fresh(5), *template, fresh(5)]), "h", "a", "b") for i in range(200)]
+    rows_ += [(200 + i, fresh(60), "h", "a", "b") for i in range(800)] + [(2000, rows_[0][1].upper() + "\n\n", "h", "a", "b")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string, host string, _doc string")
+    got = {r["doc_id"]: r for r in quality.quality_rules(df, cleaned=True).collect()}
+    assert len(got) == len(rows_) and got[3]["host"] == "a" and got[3]["_doc"] == "b"
+    assert all(abs(got[i]["removed_share"] - 240 / 250) < 1e-9 and not got[i]["kept"] and got[i]["clean_failed"] for i in [*range(200), 2000])
+    assert got[7]["clean_text"] == "\n".join([rows_[7][1].split("\n")[0], rows_[7][1].split("\n")[-1]])
+    assert all(got[200 + i]["kept"] and got[200 + i]["removed_share"] == 0 and not got[200 + i]["clean_failed"] for i in range(800))
+
+
 def test_frequent_lines_leave_the_texts_of_the_pipeline(spark):
     rng = random.Random(7)
     fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
