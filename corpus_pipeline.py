@@ -17,8 +17,8 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not mostly lines that many documents of their source share, without
-    these lines; ``n_chars`` follows the text where it changed."""
-    kept = quality.quality_rules(docs, cleaned=True).filter("kept")
+    these lines, as long as what is left passes the base rules too; ``n_chars`` follows the text where it changed."""
+    kept = quality.quality_rules(docs, cleaned=True).filter("kept and not clean_failed")
     changed = F.col("removed_share") > 0
     return kept.withColumn("n_chars", F.when(changed, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
                            ).withColumn("text", F.col("clean_text")).select(*docs.columns)
