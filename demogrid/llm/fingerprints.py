@@ -18,27 +18,37 @@ BUCKET_DOCS = 64  # documents of a bucket in `with_following`, about
 MOST_BUCKETS = 16_384
 
 
+def _limit(fraction: float) -> int:
+    return int(-(2 ** 63) + fraction * 2 ** 64) if fraction < 1 else 2 ** 63 - 1
+
+
+def _kept(hashes: Column, fraction: float) -> Column:
+    """The hashes below the threshold, sorted; the smallest one if there is none below."""
+    below = F.sort_array(F.filter(hashes, lambda h: h <= F.lit(_limit(fraction))))
+    return let(below, lambda b: F.when((F.size(b) > 0) | (F.size(hashes) == 0), b).otherwise(F.array(F.array_min(hashes))))
+
+
 def sketch(text: Column, fraction: float = FRACTION, size: int = SHINGLE) -> Column:
-    """Sorted array of the kept hashes. NULL and texts without words give an empty sketch, equal texts equal ones.
+    """Sorted array of the kept hashes. Equal texts give equal sketches; NULL and texts without words give an empty one.
 
-    A text that is a single shingle, or whose shingles are all above the threshold, may have an empty sketch too."""
-    limit = int(-(2 ** 63) + fraction * 2 ** 64) if fraction < 1 else 2 ** 63 - 1
-    return F.sort_array(F.filter(shingles(F.coalesce(text, F.lit("")), size), lambda h: h <= F.lit(limit)))
+    A text with words is never without a hash: if all of its shingles are above the threshold, the smallest is kept."""
+    return let(shingles(F.coalesce(text, F.lit("")), size), lambda h: _kept(h, fraction))
 
 
-def merge(a: Column, b: Column) -> Column:
-    """Sketch of two parts taken together."""
-    return F.sort_array(F.array_union(a, b))
+def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Sketch of two parts taken together: a smallest hash above the threshold stays only if neither part has one below."""
+    return let(F.array_union(a, b), lambda h: _kept(h, fraction))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share (0 to 1) of the shingles of ``a`` that ``b`` has too. Two empty sketches tell nothing: 0."""
-    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share (0 to 1) of the shingles of ``a`` that ``b`` has too. Equal sketches give 1, two empty ones included;
+    otherwise an empty one is contained in nothing: 0."""
+    return F.when(a == b, F.lit(1.0)).when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def resemblance(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity (0 to 1); 0 for two empty sketches."""
-    return let(F.array_union(a, b), lambda u: F.when(F.size(u) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(u)))
+    """Estimated Jaccard similarity (0 to 1); 1 for equal sketches, two empty ones included."""
+    return let(F.array_union(a, b), lambda u: F.when(a == b, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(u)))
 
 
 def encode(sketched: Column) -> Column:

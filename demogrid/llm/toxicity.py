@@ -76,14 +76,14 @@ def features_of(text: str | None, lexicon: dict[str, float]) -> list[float]:
         right = np.where(k < len(where), where[np.minimum(k, len(where) - 1)] - at, 1 << 30)
         near = int((np.minimum(left, right) <= NEAR).sum())
     weight = sum(x for _, x in every)
-    letters = sum(map(str.isalpha, text)) if len(text) < 2000 else max(1, len(text) - text.count(" "))
+    written = max(1, len(text) - text.count(" "))
     upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     caps = sum(1 for w in ws if len(w) > 2 and w.isupper())
     marks = len(re.findall(r"[.,;:!?\"'()-]", text))
     symbols = len(re.findall(r"[#*$%&|<>@]", text))
     chars = max(1, len(text))
     return [len(hits) / n, weight / n, float(len(every)), float(len({low[i] for i, _ in every})), float(len(disguised)), float(near), len(you) / n,
-            upper / max(1, letters), caps / n, text.count("!") / n, text.count("?") / n, marks / chars, len(obfuscated) / n, symbols / chars,
+            upper / written, caps / n, text.count("!") / n, text.count("?") / n, marks / chars, len(obfuscated) / n, symbols / chars,
             math.log1p(len(ws))]
 
 

@@ -257,3 +257,99 @@ def test_runs_awkward_rows(spark, docs):
     assert [tuple(r) for r in row[6]["runs"]] == [(0, 8, 1)] and row[6]["collapsed"] == "tie"
     assert row[3]["n_words"] == row[2]["n_words"] == row[4]["n_words"] == 0 and row[3]["collapsed"] == row[4]["collapsed"] == ""
     assert row[7]["collapsed"] == "ünïcödé ÄÖÜ 日本語 テキスト 😀 \x85 end"  # U+0085 is no gap
+
+
+# --- fingerprints and toxicity ------------------------------------------------------------------------
+
+def plain_sketch(text):
+    ws = WORD.findall((text or "").translate(LOWER))
+    if not ws:
+        return []
+    one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
+    signed = lambda h: h - 2 ** 64 if h >= 2 ** 63 else h
+
+    def chain(values, seed):
+        for v in values:
+            seed = xxhash.xxh64_intdigest((v % 2 ** 64).to_bytes(8, "little"), seed)
+        return signed(seed)
+    if len(ws) < 5:
+        acc = len(ws)
+        for h in one:
+            acc = chain([acc, signed(h)], 42)
+        hs = {acc}
+    else:
+        hs = {chain(one[i:i + 5], 42) for i in range(len(ws) - 4)}
+    below = sorted(h for h in hs if h <= -(2 ** 63) + 2 ** 62)
+    return below or [min(hs)]
+
+
+def test_fingerprint_query_equals_brute_force(spark):
+    docs = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in QUERIES["op2_document_fingerprints"](spark, SF).collect()}
+    told = lambda s: "".join(f"{h % 2 ** 64:016x}" for h in s)
+    share = lambda a, b: 1.0 if a == b else len(set(a) & set(b)) / len(a) if a else 0.0
+    for (i, text), (_, following) in zip(docs, docs[1:] + docs[:1]):
+        k = len(text) // 3
+        edited = text[:len(text) - k] + following[:k]
+        a, b, c = plain_sketch(text), plain_sketch(edited), plain_sketch(following)
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (told(a), told(b)) and bool(a) == bool(WORD.search(text))
+        assert abs(r["near_edited"] - share(a, b)) < 1e-12 and abs(r["near_next"] - share(a, c)) < 1e-12
+
+
+def test_sketches_of_short_texts(spark):
+    from demogrid.llm import fingerprints as f
+    texts = ["one", "two words", "three short words", "four words in all", "now these are five words", "", None, " \n"]
+    df = spark.createDataFrame([(t, u) for t in texts for u in texts], "a string, b string")
+    s, u = f.sketch(F.col("a")), f.sketch(F.col("b"))
+    both = f.sketch(F.concat_ws(" ", "a", "b"))
+    for r in df.select("a", "b", F.size(s).alias("n"), f.containment(s, u).alias("c"), f.resemblance(s, u).alias("j"), F.size(f.merge(s, u)).alias("m"), F.size(both).alias("w")).collect():
+        same = (r["a"] or "").split() == (r["b"] or "").split()
+        assert r["n"] == bool((r["a"] or "").split()) and r["c"] == r["j"] == float(same)
+        assert r["m"] >= bool((r["a"] or r["b"] or "").split())
+
+
+def test_toxicity_features_have_one_measure_at_every_length():
+    from demogrid.llm.toxicity import FEATURES, features_of
+    unit = "ABC 12!? de; "
+    short, long = features_of(unit * 153, {}), features_of(unit * 155, {})  # 1,989 and 2,015 characters
+    at = [i for i, f in enumerate(FEATURES) if f != FEATURES[-1]]
+    assert all(abs(short[i] - long[i]) < 1e-3 for i in at)
+
+
+# --- the registered queries ---------------------------------------------------------------------------
+
+COLUMNS = {
+    1: "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", 2: "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    3: "doc_id held_out score predicted", 4: "doc_id held_out n_tokens n_known train_tokens base_score score",
+    5: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", 6: "doc_id", 7: "doc_id n_shingles component_id", 8: "doc_id text",
+    9: "doc_id n_tokens ids_sha256 decoded_sha256", 10: "doc_id size source_size target taken", 11: "doc_id fingerprint component_id",
+    12: "anchor_id positive_id rank negative_id positive_score negative_score", 13: "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)", n)[1])))
+def test_query_has_its_columns_and_rows(spark, name):
+    number = int(re.match(r"op(\d+)", name)[1])
+    out = QUERIES[name](spark, SF)
+    assert set(COLUMNS[number].split()) <= set(out.columns)
+    n_docs = spark.read.parquet(f"{SF}/documents.parquet").count()
+    found = out.toPandas()
+    if number not in (1, 12):
+        assert sorted(found["doc_id"]) == sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+        assert len(found) == n_docs
+    if number in (3, 4):
+        rule = {3: (4, 2), 4: (5, 1)}[number]
+        assert (found["held_out"] == [zlib.crc32(str(i).encode()) % rule[0] == rule[1] for i in found["doc_id"]]).all()
+    if number == 3:
+        assert found["score"].between(0, 1).all() and (found["predicted"] == (found["score"] >= 0.3)).all()
+    if number == 10:
+        assert (found["taken"] <= 2 * found["size"]).all() and (found.groupby("source_size")["taken"].sum() - found.groupby("source_size")["target"].first()).abs().max() <= 40
+
+
+def test_pipeline_runs_as_a_whole(spark):
+    import corpus_pipeline
+    n_docs = spark.read.parquet(f"{SF}/documents.parquet").count()
+    out = corpus_pipeline.run(spark, SF)
+    rows = out.collect()
+    assert 0 < len(rows) < 3 * n_docs and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)
