@@ -42,6 +42,11 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
 
 
+def varies(spread: float, mean: float) -> float:
+    """A deviation, or 0 where it is no more than what rounding leaves of a column that does not vary."""
+    return spread if spread > 1e-12 * max(1.0, abs(mean)) else 0.0
+
+
 def recode(col: Column, mapping: dict, default: object = None) -> Column:
     """Dictionary lookup with a default; a NULL key stays NULL unless a default is given."""
     if not mapping:

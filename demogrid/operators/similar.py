@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import nan_to_null
+from ..functions.columns import nan_to_null, varies
 from ..session import cut_lineage
 
 MOST_LISTS = 4096  # and about the square root of the rows below
@@ -46,8 +46,8 @@ def profile_vector(rows: DataFrame, names: list[str], key: str = "cell_id") -> D
     values = rows.select(key, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
     values = nan_to_null(values, *[f"v{i}" for i in range(len(names))])
     stats = values.agg(*[f(f"v{i}").alias(f"{f.__name__}{i}") for i in range(len(names)) for f in (F.avg, F.stddev_pop)]).first()
-    parts = [F.coalesce((F.col(f"v{i}") - stats[f"avg{i}"]) / stats[f"stddev_pop{i}"], F.lit(0.0)) if stats[f"stddev_pop{i}"] else F.lit(0.0)
-             for i in range(len(names))]
+    moved = [(float(stats[f"avg{i}"] or 0), float(stats[f"stddev_pop{i}"] or 0)) for i in range(len(names))]
+    parts = [F.coalesce((F.col(f"v{i}") - mean) / spread, F.lit(0.0)) if varies(spread, mean) else F.lit(0.0) for i, (mean, spread) in enumerate(moved)]
     return values.select(key, F.array(*parts).alias("profile"))
 
 
