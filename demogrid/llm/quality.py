@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import GAP, let, lower_ascii, whole, word_runs, words
+from .graph import SMALL
 
 SYMBOLS = r"[#*$%&|<>]"  # fixed value
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3  # fixed values of the base rules
@@ -68,13 +69,15 @@ def document_key(lines: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR) -> DataFrame:
-    """(host, h) of the distinct documents (host, doc, lines): lines that more than ``floor`` and more than ``share`` of a host's have.
+    """(host, gone) of the distinct documents (host, doc, lines): the lines that more than ``floor`` and more than ``share`` of a host's have.
 
-    Counts are combined before they are shuffled by host and line; hosts are counted from one row per document."""
+    Counts are combined before they are shuffled by host and line; hosts are counted from one row per document. As each line of
+    a host's list is in a ``share`` of its documents, the list is no longer than the mean number of lines divided by that share."""
     seen = docs.select("host", F.explode(F.array_distinct(F.transform("lines", lambda l: l["h"]))).alias("h")).groupBy("host", "h").agg(
         F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > floor)
     hosts = docs.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("every"))
-    return seen.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("docs") > share * F.col("every")).select("host", "h")
+    return seen.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("docs") > share * F.col("every")).groupBy("host").agg(
+        F.collect_list("h").alias("gone"))
 
 
 def without_lines(text: Column, at: Column) -> Column:
@@ -99,17 +102,21 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", sha
             *(["clean_text", "clean_failed"] if cleaned else [])]
     spark, chosen = docs.sparkSession, [c for c in (docs.columns if carry is None else carry) if c not in made]
     read = docs.select(F.struct(*[F.col(c) for c in chosen]).alias("row"), F.col(host).alias("host"), base_counts(F.col(text)).alias("base"),
-                       hashed_lines(whole(text)).alias("lines"), *([F.col(text).alias("text")] if cleaned else [])).withColumn("doc", document_key(F.col("lines")))
+                       hashed_lines(whole(text)).alias("lines"), *([F.col(text).alias("text")] if cleaned and text not in chosen else [])).withColumn(
+        "doc", document_key(F.col("lines")))
     path = scratch_path(spark, "quality")
-    read.write.parquet(f"{path}/read")
+    read.write.option("compression", "zstd").parquet(f"{path}/read")
     read = spark.read.parquet(f"{path}/read")
-    read.filter("doc is not null").select("host", "doc", "lines").dropDuplicates(["host", "doc"]).write.parquet(f"{path}/docs")
-    distinct = spark.read.parquet(f"{path}/docs")
-    often = frequent_lines(distinct, share, floor).withColumnsRenamed({"host": "_host", "h": "_h"})
-    hit = distinct.select("host", "doc", F.inline("lines")).join(often, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")))
-    part = hit.groupBy(F.col("host").alias("_host"), F.col("doc").alias("_doc")).agg(
-        F.sum("n").alias("removed"), *([F.collect_set("h").alias("gone")] if cleaned else []))
-    judged = read.join(part, F.col("host").eqNullSafe(F.col("_host")) & (F.col("doc") == F.col("_doc")), "left")
+    read.filter("doc is not null").select("host", "doc", "lines").dropDuplicates(["host", "doc"]).write.option("compression", "zstd").parquet(f"{path}/docs")
+    often = frequent_lines(spark.read.parquet(f"{path}/docs"), share, floor).withColumnRenamed("host", "_host")
+    often.write.parquet(f"{path}/often")
+    # a short row per host, sent to the texts while all of them together are few lines; else the join is shuffled
+    often = spark.read.parquet(f"{path}/often")
+    few = (often.agg(F.sum(F.size("gone") + 1)).first()[0] or 0) <= SMALL
+    judged = read.join(F.broadcast(often) if few else often, F.col("host").eqNullSafe(F.col("_host")), "left")
+    own = F.array_intersect(F.transform("lines", lambda l: l["h"]), F.coalesce("gone", F.array().cast("array<bigint>")))
+    judged = judged.withColumn("hit", let(own, lambda g: F.when(F.size(g) > 0, F.filter("lines", lambda l: F.array_contains(g, l["h"])))))
+    judged = judged.withColumn("removed", F.aggregate("hit", F.lit(0).cast("bigint"), lambda s, l: s + l["n"]))
     failed = base_failed(F.col("base.w.n"), F.col("base.w.r"))
     left_out = F.coalesce(F.col("removed") / F.col("base.w.n"), F.lit(0.0))
     counts = [F.col("base.w.n").alias("n_words"), F.col("base.word_chars"), F.col("base.n_symbols"), F.col("base.n_dup_lines"),
@@ -117,8 +124,9 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", sha
               (~failed & (left_out <= 1 - least_left)).alias("kept")]
     if not cleaned:
         return judged.select("row.*", *counts)
-    at = F.transform(F.filter("lines", lambda l: F.array_contains("gone", l["h"])), lambda l: l["i"])
-    judged = judged.withColumn("clean_text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), at)))
+    judged = judged.withColumn("text", F.col("row")[text]) if text in chosen else judged
+    judged = judged.withColumn("clean_text", F.when(F.col("hit").isNull(), F.col("text")).otherwise(
+        without_lines(F.col("text"), F.transform("hit", lambda l: l["i"]))))
     # most texts lose nothing: only the others are counted again
-    again = F.when(F.col("gone").isNotNull(), let(base_counts(F.col("clean_text")), lambda b: base_failed(b["w"]["n"], b["w"]["r"])))
+    again = F.when(F.col("hit").isNotNull(), let(base_counts(F.col("clean_text")), lambda b: base_failed(b["w"]["n"], b["w"]["r"])))
     return judged.select("row.*", *counts, "clean_text", F.coalesce(again, failed).alias("clean_failed"))
