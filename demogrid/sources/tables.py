@@ -74,6 +74,12 @@ def load_optional(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder from whatever file system holds it; a missing one is fine."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def assemble(parts: list[DataFrame], key: str = "cell_id", optional: DataFrame | None = None,
              drop: tuple[str, ...] = (), types: dict[str, str] | None = None) -> DataFrame:
     """One wide table: inner joins on the key, an optional left join, dropped and narrowed columns.

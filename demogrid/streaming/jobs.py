@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.times import LOCAL_ZONE, expected_steps
 from ..session import cut_lineage, scratch_path
 from ..sources.cube import latest_values, write_cube
-from ..sources.tables import load_optional
+from ..sources.tables import delete_folder, load_optional
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -70,23 +70,48 @@ def unique_messages(stream: DataFrame, key: str = "id", ts: str = "ts", lateness
 
 class Snapshot:
     """A table that each batch replaces as a whole: versions are written side by side, and a
-    reader takes the newest complete one, so a failed or empty batch leaves the last one."""
+    reader takes the newest complete one, so a failed or empty batch leaves the last one.
+
+    A version may also hold several named tables (`part`, then `finish`), which appear together.
+    Old versions are dropped by `prune`; a reader has to be done before ``KEEP`` newer ones are there."""
+
+    KEEP = 4
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _path(self, version: int, name: str = "") -> str:
+        return f"{self.folder}/version={version:012d}" + (f"/{name}" if name else "")
+
     def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/version={batch:012d}")
-        done = self.spark.createDataFrame([(batch,)], "version long")
-        done.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}-done/version={batch:012d}")
+        df.write.mode("overwrite").parquet(self._path(batch))
+        self.finish(batch)
+
+    def part(self, df: DataFrame, version: int, name: str) -> DataFrame:
+        """Write one table of a version that is not visible yet, and read it back."""
+        df.write.mode("overwrite").parquet(self._path(version, name))
+        return self.spark.read.schema(df.schema).parquet(self._path(version, name))
+
+    def finish(self, version: int) -> None:
+        done = self.spark.createDataFrame([(version,)], "version long")
+        done.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}-done/version={version:012d}")
+
+    def _versions(self) -> list[int]:
+        done = load_optional(self.spark, f"{self.folder}-done/*")  # one row per version kept
+        return [] if done is None else sorted(r["version"] for r in done.collect())
 
     def latest(self) -> int | None:
-        done = load_optional(self.spark, f"{self.folder}-done/*")
-        return None if done is None else done.agg(F.max("version")).first()[0]
+        return max(self._versions(), default=None)
 
-    def read(self) -> DataFrame | None:
+    def read(self, name: str = "") -> DataFrame | None:
         v = self.latest()
-        return None if v is None else self.spark.read.parquet(f"{self.folder}/version={v:012d}")
+        return None if v is None else self.spark.read.parquet(self._path(v, name))
+
+    def prune(self, keep: int = KEEP) -> None:
+        """Drop all but the newest versions, their marks first, so no mark ever stands for missing rows."""
+        for v in self._versions()[:-keep]:
+            delete_folder(self.spark, f"{self.folder}-done/version={v:012d}")
+            delete_folder(self.spark, self._path(v))
 
 
 def snapshot_refresh(stream: DataFrame, overlay: Callable[[DataFrame], DataFrame], target: Snapshot, checkpoint: str) -> None:
@@ -94,6 +119,7 @@ def snapshot_refresh(stream: DataFrame, overlay: Callable[[DataFrame], DataFrame
     def handle(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             target.write(overlay(batch), number)
+            target.prune()
 
     run_batches(stream, handle, checkpoint)
 
@@ -108,6 +134,7 @@ def run_pointers(stream: DataFrame, target: Snapshot, checkpoint: str) -> None:
         if before is not None:
             rows = rows.unionByName(before.select("source", F.struct("run", *others).alias("r")))
         target.write(cut_lineage(rows.groupBy("source").agg(F.max("r").alias("r")).select("source", "r.*")), number)
+        target.prune()
 
     run_batches(stream, handle, checkpoint)
 
@@ -152,6 +179,8 @@ def live_exposure(stream: DataFrame, core: DataFrame, target: Snapshot, checkpoi
         totals = now.join(core.select("cell_id", measure), "cell_id").groupBy("source", *level).agg(
             F.sum(measure).cast("bigint").alias("pop"), F.count(F.lit(1)).alias("n_cells"))
         target.write(totals, number)
+        overlay.prune()
+        target.prune()
 
     run_batches(stream, handle, checkpoint)
 
