@@ -3,7 +3,10 @@
 Every training word is counted (a shuffle over all training tokens). The few words frequent enough
 are classes of their own, all others share a class with the words of the same ending, so the
 emission table is bounded while the word counts stay a distributed table. Baum-Welch runs over all
-training texts: tasks return expected counts, Spark adds them up. The score of a text is its exact
+training texts: tasks return expected counts, Spark adds them up. From seeded noise, a first pass takes the texts
+slice by slice (stepwise expectation maximisation: the counts of all slices so far, older ones with less
+weight, make the model for the next slice), so one pass brings many rounds; a whole pass ends it. Slices
+are shares of the corpus, no text reaches the driver. The score of a text is its exact
 likelihood by the scaled forward recursion, times the share of each word within its class.
 
   p(text) = p(classes | HMM) * product of (c(word) + 0.5) / (N(class) + 0.5 (V(class) + 1))
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from .common import lower_ascii, words
 
 STATES = 8
@@ -31,9 +34,9 @@ OWN_CLASS = 4_096  # words with at least 1/OWN_CLASS of all tokens are classes o
 KNOWN_COUNT = 65_536  # words with at least 1/KNOWN_COUNT of all tokens are sent to every task: at most that many
 ENDINGS = 1_024  # classes for the others, by hash of the last ENDING bytes
 ENDING = 4
-START_TEXTS = 1_500  # texts that the starting point is fitted on; the training itself takes all
-START_ROUNDS = 12
-ROUNDS = 2
+SLICES = 12  # the first pass over all training texts goes slice by slice, with a new model after each
+DECAY = 0.7  # counts of slice i enter with weight (i + 1) ** -DECAY
+ROUNDS = 1  # whole passes after that
 CELLS = 200_000  # texts times tokens of a batch
 LOG10 = math.log(10.0)
 END = 0  # class of the end token; classes 1… are frequent words, the rest endings
@@ -217,21 +220,23 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sta
                 yield pd.DataFrame({"doc_id": p["doc_id"], "key": p["key"], "train": p["train"], "seq": [g[0] for g in got],
                                     "known_log": [g[1] for g in got], "shared_log": [g[2] for g in got], "known_n": [g[3] for g in got]})
 
-    seqs = cut_lineage(d.mapInPandas(to_sequences, "doc_id long, key long, train boolean, seq array<int>, known_log double, shared_log double, known_n long"))
+    schema = "doc_id long, key long, train boolean, seq array<int>, known_log double, shared_log double, known_n long"
+    slice_of = F.when(F.col("train"), F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(SLICES))).otherwise(-1).cast("int")
+    path = scratch_path(spark, "sequences")
+    d.mapInPandas(to_sequences, schema).withColumn("slice", slice_of).write.partitionBy("slice").parquet(path)
+    seqs = spark.read.schema(f"{schema}, slice int").parquet(path)
 
-    # starting point from a bounded sample, to break the symmetry of the states
-    wanted = min(1.0, 1.5 * START_TEXTS / max(1, n_docs))
-    part = [np.asarray(r["seq"], dtype=np.int32) for r in seqs.filter("train").filter(
-        F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) < int(wanted * 1_000_000) + 1).orderBy(
-        F.xxhash64(F.lit(seed), "key")).select("seq").limit(START_TEXTS).collect()]
     rng = np.random.default_rng(seed)
     noise = common[:, None] * rng.gamma(1.0, 1.0, (n_classes, states))
     model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), noise / noise.sum(axis=0))
-    for _ in range(START_ROUNDS if part else 0):
-        model = maximise(*expected_counts(model, part), common)
-
+    total = None
+    for i in range(SLICES if n_docs else 0):  # stepwise: every text once, each slice by the model of those before
+        new = _counts_of_all(seqs.filter(F.col("slice") == i), model)
+        weight = (i + 1) ** -DECAY
+        total = [SLICES * n if t is None else (1 - weight) * t + weight * SLICES * n for t, n in zip(total or [None] * 3, new)]
+        model = maximise(*total, common)
     for _ in range(rounds if n_docs else 0):
-        model = maximise(*_counts_of_all(seqs.filter("train"), model), common)
+        model = maximise(*_counts_of_all(seqs.filter("slice >= 0"), model), common)
 
     final = spark.sparkContext.broadcast((model, share_log))
 
