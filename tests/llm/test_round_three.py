@@ -353,3 +353,25 @@ def test_pipeline_runs_as_a_whole(spark):
     out = corpus_pipeline.run(spark, SF)
     rows = out.collect()
     assert 0 < len(rows) < 3 * n_docs and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)
+
+
+def test_language_model_takes_all_texts_in_any_layout(spark):
+    """Texts that stay in one of two word groups for a while: the states learn it, however the rows lie."""
+    from demogrid.llm import lm
+
+    rng = np.random.default_rng(3)
+    groups = [[f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]]
+    rows = []
+    for i in range(300):
+        s, text = i % 2, []
+        for _ in range(int(rng.integers(5, 40))):
+            text.append(str(rng.choice(groups[s])))
+            s = s if rng.random() < 0.9 else 1 - s
+        rows.append((i, " ".join(text)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id: r for r in lm.score_texts(d.repartition(1)).collect()}
+    many = {r.doc_id: r for r in lm.score_texts(d.repartition(7, "doc_id")).collect()}
+    assert len(one) == len(many) == 300
+    assert all(abs(one[i].score - many[i].score) < 1e-6 for i in one)
+    gain = [(r.score - r.base_score) / r.n_tokens for r in one.values() if r.held_out and r.n_tokens > 20]
+    assert gain and np.mean(gain) > 0.1  # knowing the group is worth 0.16 a word
