@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from demogrid.llm import negatives, runs, simhash
+from demogrid.llm import licenses, negatives, runs, simhash
 from demogrid.llm.queries import QUERIES
 from pyspark.sql import functions as F
 
@@ -375,3 +375,58 @@ def test_language_model_takes_all_texts_in_any_layout(spark):
     assert all(abs(one[i].score - many[i].score) < 1e-6 for i in one)
     gain = [(r.score - r.base_score) / r.n_tokens for r in one.values() if r.held_out and r.n_tokens > 20]
     assert gain and np.mean(gain) > 0.1  # knowing the group is worth 0.16 a word
+
+
+# --- licenses: variants, negations, long texts ----------------------------------------------------
+
+LICENSE_INDEX = licenses.build_index(licenses.TEMPLATES, licenses.NOTICES)
+
+
+@pytest.mark.parametrize("text, name", [
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "CC-BY-3.0"),
+    (licenses.TEMPLATES["GPL-3.0"].replace("version 3", "version 2"), "GPL-2.0"),
+    (licenses.TEMPLATES["GPL-3.0"].replace("GNU General", "GNU Lesser General"), "LGPL-3.0"),
+    (licenses.TEMPLATES["GPL-3.0"].replace("version 3", "version 1"), None),  # not listed: not under another name
+    (licenses.TEMPLATES["BSD-3-Clause"], "BSD-3-Clause"), (licenses.TEMPLATES["BSD-2-Clause"], "BSD-2-Clause"),
+    ("Released under the BSD 3-Clause License.", "BSD-3-Clause notice"), ("Released under the Foo License.", None),
+    ("Licensed under the Mozilla Public License 2.0", "MPL-2.0 notice"), ("Licensed under the Apache License, Version 1.1.", None),
+    ("Not all rights reserved.", None), ("It is not licensed under the MIT License.", None), ("All rights not reserved.", None)])
+def test_license_variants_are_told_apart(text, name):
+    assert [f[0] for f in licenses.scan(f"zz {text} zz", LICENSE_INDEX)] == ([name] if name else [])
+
+
+def test_every_license_template_finds_itself_only():
+    for name, text in [*licenses.TEMPLATES.items(), *licenses.NOTICES]:
+        assert [f[0] for f in licenses.scan(f"zz {text} zz", LICENSE_INDEX)] == [name]
+
+
+def whole_alignment(template, doc):
+    """Score of the best local alignment, without a band."""
+    score = np.zeros((len(template) + 1, len(doc) + 1), dtype=int)
+    for i, want in enumerate(template):
+        for j, word in enumerate(doc):
+            step = licenses.MATCH if word == want else licenses.MISMATCH
+            score[i + 1, j + 1] = max(0, score[i, j] + step, score[i, j + 1] + licenses.GAP, score[i + 1, j] + licenses.GAP)
+    return score.max()
+
+
+def test_banded_alignment_equals_the_whole_one():
+    rng = random.Random(5)
+    for template in LICENSE_INDEX.texts[:30]:
+        doc = list(template)
+        for _ in range(max(1, len(doc) // 12)):
+            at = rng.randrange(len(doc))
+            doc[at:at + 1] = rng.choice([[], [-1], [doc[at], -1]])
+        shift, band = 7, max(3, len(template) // 8)
+        doc = [-1] * shift + doc + [-1] * 5
+        score, pairs = licenses.align(template, doc, shift, band)
+        assert score == whole_alignment(template, doc)
+        assert all(template[i] == doc[j] for i, j in pairs) and pairs == sorted(pairs)
+
+
+def test_license_finds_of_a_very_long_text():
+    one = "All rights reserved. Some words between. Released under the MIT License. "
+    found = licenses.scan(one * 3000, LICENSE_INDEX)
+    assert [f[0] for f in found] == ["All rights reserved", "MIT notice"] * 3000
+    assert [f[2] for f in found[::2]] == [i * len(one) for i in range(3000)]
