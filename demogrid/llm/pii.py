@@ -6,7 +6,8 @@ format: two entities never get the same one, an entity gets the same one in ever
 table of all entities is needed to write the texts. Over the distinct entities of all documents,
 collisions are checked: a replacement that is itself somebody's real value, or that two entities
 share after such a change, is drawn again with the next tweak; only those few exceptions are joined
-back to the documents. A value whose format is used up after a few tweaks, or has no free character
+back to the documents. Once a person is named in a text, later bare mentions of a part of the name are that person too.
+A value whose format is used up after a few tweaks, or has no free character
 at all, is drawn from a wider format, which grows with every further tweak; so a free one is always found."""
 
 from __future__ import annotations
@@ -37,11 +38,25 @@ GIVEN = {
     ("f", "greek"): "Άννα Ελένη Ιωάννα Μαρία Σοφία Χριστίνα".split(),
     ("m", "greek"): "Ανδρέας Γιάννης Δημήτρης Κώστας Νίκος Πέτρος".split(),
 }
+#: Further given names that tell a person when a capitalised word follows (fixed list); their letters are permuted.
+FIRST = {
+    "f": "Mary Patricia Jennifer Linda Elizabeth Susan Jessica Sarah Karen Lisa Nancy Margaret Sandra Emily Michelle Amanda Melissa Deborah Stephanie Rebecca "
+         "Cynthia Kathleen Amy Angela Nicole Catherine Diane Monika Sabine Petra Ursula Katrin Sophie Isabelle Céline Amélie Carmen Pilar Marta Teresa".split(),
+    "m": "John Robert Michael William Richard Joseph Christopher Daniel Matthew Anthony Steven Andrew Paul Joshua Kenneth Kevin Brian Timothy Ronald Edward "
+         "Jeffrey Ryan Jacob Nicholas Eric Jonathan Stephen Klaus Jürgen Wolfgang Stefan Dieter Pierre François Philippe Juan José Luis Javier Miguel Pedro "
+         "Manuel Pablo Fernando".split(),
+}
+#: Country codes of one and two digits; all others have three (fixed values).
+_CODES = {"1", "7", "20", "27", *map(str, range(30, 35)), "36", "39", "40", "41", *map(str, range(43, 50)), *map(str, range(51, 59)),
+          *map(str, range(60, 67)), "81", "82", "84", "86", *map(str, range(90, 96)), "98"}
+#: Words that announce a number that is no telephone number (fixed list).
+_COUNTED = re.compile(r"(?:invoice|order|room|ticket|batch|serial|article|item|page|isbn|issn|account|facture|commande|rechnung|bestellung|zimmer|factura|pedido)"
+                      r"(?:[ .:#]{1,3}(?:no|nr|num|number|id)\b)?[ .:#]{0,3}$", re.IGNORECASE)
 #: Titles that announce a name, with the gender they tell (fixed list).
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f",
           "Frau": "f", "Madame": "f", "Mme": "f", "Mademoiselle": "f", "Señora": "f", "Doña": "f", "Dr": "", "Prof": ""}
 
-_NAMES = {n: key for key, names in GIVEN.items() for n in names}
+_NAMES = {n: f"given_{key[0]}_{key[1]}" for key, names in GIVEN.items() for n in names} | {n: f"first_{g}" for g, names in FIRST.items() for n in names}
 _CAP = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+"
 #: What is looked for (fixed patterns). Numbers are one pattern, so that a find uses up its digits.
 _EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])")
@@ -65,6 +80,7 @@ _NUMBER = re.compile(
 _TITLED = re.compile(rf"(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ ](?P<name1>{_CAP})(?:[ ](?P<name2>{_CAP}))?")
 _NAMED = re.compile(rf"(?P<given>{'|'.join(sorted(_NAMES, key=len, reverse=True))})[ ](?P<sur>{_CAP})")
 _DIGIT = re.compile(r"[0-9]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -84,14 +100,32 @@ def _people(text: str) -> Iterator[tuple[int, int, list[Entity]]]:
     for m in _TITLED.finditer(text):
         gender = TITLES[m["title"]]
         if m["name2"]:
-            key = _NAMES.get(m["name1"])
-            kind = f"given_{key[0]}_{key[1]}" if key else "first" + (gender and f"_{gender}")
+            kind = _NAMES.get(m["name1"]) or "first" + (gender and f"_{gender}")
             yield *m.span(), [Entity(kind, m["name1"], *m.span("name1")), Entity("surname", m["name2"], *m.span("name2"))]
         else:
             yield *m.span(), [Entity("surname", m["name1"], *m.span("name1"))]
     for m in _NAMED.finditer(text):
-        key = _NAMES[m["given"]]
-        yield *m.span(), [Entity(f"given_{key[0]}_{key[1]}", m["given"], *m.span("given")), Entity("surname", m["sur"], *m.span("sur"))]
+        yield *m.span(), [Entity(_NAMES[m["given"]], m["given"], *m.span("given")), Entity("surname", m["sur"], *m.span("sur"))]
+
+
+def _with_bare_mentions(text: str, found: list[Entity]) -> list[Entity]:
+    """The entities, and every later word that is a part of a name found before it, as the entity it was first."""
+    named: dict[str, Entity] = {}
+    for e in found:
+        if e.kind == "surname" or e.kind.startswith(("first", "given_")):
+            named.setdefault(e.value, e)
+    if not named:
+        return found
+    out, left = [], iter([*found, Entity("", "", len(text), len(text))])
+    after = next(left)
+    for m in _LETTERS.finditer(text, min(e.end for e in named.values())):
+        while after.end <= m.start() and after.kind:
+            out.append(after)
+            after = next(left)
+        e = named.get(m.group())
+        if e is not None and e.end <= m.start() and m.end() <= after.start:
+            out.append(Entity(e.kind, e.value, *m.span()))
+    return [*out, *([after] if after.kind else []), *(e for e in left if e.kind)]
 
 
 def find_entities(text: str | None) -> list[Entity]:
@@ -122,7 +156,10 @@ def find_entities(text: str | None) -> list[Entity]:
                     left = left[:m.start()] + "x" * (m.end() - m.start()) + left[m.end():]
         for c in _NUMERIC.finditer(left):
             for m in _NUMBER.finditer(left, c.start(), c.end() + 2):
-                found.append((*m.span(), [Entity(m.lastgroup, canonical(m.lastgroup, m.group()), *m.span())]))
+                kind, mention = next(k for k in ("ip", "card", "ssn", "phone") if m[k]), m.group()
+                if kind == "phone" and mention[0] not in "+(" and _COUNTED.search(left, max(0, m.start() - 24), m.start()):
+                    continue
+                found.append((*m.span(), [Entity(kind, canonical(kind, mention), *m.span())]))
     for s, e, made in _people(text):
         if s == 0 or not text[s - 1].isalnum():
             found.append((s, e, made))
@@ -131,16 +168,21 @@ def find_entities(text: str | None) -> list[Entity]:
         if s >= at:
             out += made
             at = e
-    return out
+    return _with_bare_mentions(text, out)
 
 
 def canonical(kind: str, mention: str) -> str:
-    """Case of e-mail addresses and separators and country prefix of numbers do not tell entities apart."""
+    """Case of e-mail addresses, separators of numbers, country code and trunk zero of telephone numbers do not tell entities apart."""
     if kind == "email":
         return mention.lower()
     if kind == "phone":
-        rest = re.sub(r"^\+[0-9]{1,3}(?=[ .(-])", "", mention)
-        return "".join(_DIGIT.findall(rest))
+        digits = "".join(_DIGIT.findall(mention))
+        abroad = mention.startswith("+")
+        if not abroad and digits[:2] == "00" and digits[2:3] not in ("", "0"):
+            abroad, digits = True, digits[2:]
+        if abroad:
+            digits = digits[next((n for n in (1, 2) if digits[:n] in _CODES), 3):]
+        return digits[1:] if digits[:1] == "0" else digits
     if kind in ("card", "ssn"):
         return "".join(_DIGIT.findall(mention))
     if kind == "iban":
@@ -335,8 +377,11 @@ def rendered(kind: str, mention: str, value: str) -> str:
             mention = mention[:at] + ("A" if mention.isupper() else " ") * longer + mention[at:]
         return "".join(r.upper() if m.isupper() else r for m, r in zip(mention, value))
     if kind in ("phone", "card", "ssn"):
-        prefix = re.match(r"^\+[0-9]{1,3}(?=[ .(-])", mention) if kind == "phone" else None
-        at = prefix.end() if prefix else 0
+        # country code and trunk zero come first and stay
+        keep, at = len(_DIGIT.findall(mention)) - len(canonical(kind, mention)), 0
+        while keep:
+            keep -= mention[at] in _FIGURES
+            at += 1
         digits = iter(value)
         return mention[:at] + "".join(next(digits) if c in "0123456789" else c for c in mention[at:]) + "".join(digits)
     if kind == "iban":

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from demogrid.llm import licenses, negatives, runs, simhash
+from demogrid.llm import licenses, negatives, pii, runs, simhash
 from demogrid.llm.queries import QUERIES
 from pyspark.sql import functions as F
 
@@ -430,3 +430,55 @@ def test_license_finds_of_a_very_long_text():
     found = licenses.scan(one * 3000, LICENSE_INDEX)
     assert [f[0] for f in found] == ["All rights reserved", "MIT notice"] * 3000
     assert [f[2] for f in found[::2]] == [i * len(one) for i in range(3000)]
+
+
+# --- personal data: bare mentions, one telephone number, bare numbers ------------------------------
+
+PERMUTER = pii.Permuter(b"k")
+
+
+def test_later_bare_mentions_of_a_person_are_replaced_too():
+    new, spans = pii.rewrite(PERMUTER, "Mr John Smith came. Smith left. John stayed. Smith's dog met Smithson, a smith.", {})
+    first, sur = spans[0][3], spans[1][3]
+    assert new == f"Mr {first} {sur} came. {sur} left. {first} stayed. {sur}'s dog met Smithson, a smith."
+    new, spans = pii.rewrite(PERMUTER, "Smith met Mr Smith; mail Smith@acme.com to Smith", {})
+    assert [k for k, *_ in spans] == ["surname", "email", "surname"] and new.startswith("Smith met Mr ") and new.endswith(spans[0][3])
+    new, _ = pii.rewrite(PERMUTER, "Mary Johnson wrote to Robert Miller.", {})
+    assert not any(w in new for w in ("Mary", "Johnson", "Robert", "Miller"))
+
+
+def test_one_telephone_number_in_many_forms_is_one_entity():
+    forms = ["+33 1 23 45 67 89", "+33123456789", "01 23 45 67 89", "+33 (0)1 23 45 67 89"]
+    assert {pii.canonical("phone", f) for f in forms} == {"123456789"}
+    new, spans = pii.rewrite(PERMUTER, " ; ".join(forms), {})
+    made = [s[3] for s in spans]
+    assert len(made) == 4 and len({pii.canonical("phone", m) for m in made}) == 1
+    assert made[0].startswith("+33 1 ") and made[1].startswith("+331") and made[2].startswith("01 ") and made[3].startswith("+33 (0)1 ")
+    assert pii.canonical("phone", "+1 555 123 4567") == pii.canonical("phone", "(555) 123-4567") == "5551234567"
+    assert pii.canonical("phone", "+352 621 123 456") == "621123456"  # a code of three digits
+
+
+@pytest.mark.parametrize("text", ["invoice 2024 1234 5678", "Order no. 555 1234 5678", "room 0123 45678"])
+def test_counted_numbers_are_no_telephone_numbers(text):
+    assert pii.find_entities(f"See {text} there") == []
+    assert [e.kind for e in pii.find_entities("call 555 123 4567 now")] == ["phone"]
+
+
+def test_no_two_entities_of_a_table_share_a_surrogate(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("BDGKL") + rng.choice("aeio") for _ in range(1)) + rng.choice("nrst") for _ in range(300)]
+    rows = [(i, f"Mr {rng.choice(names)} said {rng.choice(names)}. Call 0{rng.randrange(1, 10)} {rng.randrange(10, 100)} {rng.randrange(10, 100)} 45 67, "
+                f"+33 1 23 45 {rng.randrange(10, 100)} {rng.randrange(10, 100)} or user{rng.randrange(99)}@ex{rng.randrange(9)}.com") for i in range(400)]
+    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
+    texts = dict(rows)
+    made, real = {}, set()
+    for r in got:
+        for x in r["pii"]:
+            mention = texts[r["doc_id"]][x["start"]:x["end"]]
+            value = pii.canonical(x["kind"], mention)
+            real.add((x["kind"], value))
+            made.setdefault((x["kind"], value), set()).add(pii.canonical(x["kind"], x["surrogate"]))
+    assert len(got) == 400 and len({k for k, _ in real}) == 3
+    assert all(len(m) == 1 for m in made.values())  # one entity, one surrogate, in every form and text
+    assert len({(k, *m) for (k, _), m in made.items()}) == len(made)  # different entities, different ones
+    assert not {(k, *m) for (k, _), m in made.items()} & real
