@@ -211,9 +211,17 @@ def interpolate(mapping: DataFrame, values: DataFrame, fields: list[str]) -> Dat
 def grid_fingerprint(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row with a SHA-256 text that changes with the cells or the node positions.
 
-    Row hashes are combined without order (xor and count), so no list is ever gathered."""
-    c = cells.agg(F.bit_xor(F.xxhash64("cell_id")).alias("hc"), F.count(F.lit(1)).alias("nc"))
-    n = nodes.agg(F.bit_xor(F.xxhash64("grid_id", F.round("lon", 7), F.round("lat", 7))).alias("hn"), F.count(F.lit(1)).alias("nn"))
+    Row hashes (60 bits of MD5, positions in steps of 1e-7 degrees) are combined without order (xor and count), so no list is
+    ever gathered, and any SQL engine can compute the same text."""
+    def row(*cols: Column) -> Column:
+        text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("-")) for c in cols])
+        return F.bit_xor(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"))
+
+    def step(c: str) -> Column:
+        return F.round(F.col(c) * 10_000_000).cast("bigint")
+
+    c = cells.agg(row(F.col("cell_id")).alias("hc"), F.count(F.lit(1)).alias("nc"))
+    n = nodes.agg(row(F.col("grid_id"), step("lon"), step("lat")).alias("hn"), F.count(F.lit(1)).alias("nn"))
     return attach(c, n).select(F.sha2(F.concat_ws("|", "hc", "nc", "hn", "nn"), 256).alias("fingerprint"))
 
 

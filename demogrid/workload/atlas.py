@@ -196,8 +196,9 @@ def _(t):
 
 
 @query("pf18_analysable_variables", "env", """
-SELECT 'landform_type' AS variable, 'cat' AS dtype UNION ALL SELECT 'county_mn', 'cat' UNION ALL SELECT 'alt_mean', 'float'
-UNION ALL SELECT 'dist_km', 'float'""")
+WITH n AS (SELECT 'landform_type' AS variable, 'cat' AS dtype, COUNT(DISTINCT landform_type) AS k FROM env UNION ALL SELECT 'county_mn', 'cat', COUNT(DISTINCT county_mn) FROM env
+ UNION ALL SELECT 'uat_name', 'cat', COUNT(DISTINCT uat_name) FROM env UNION ALL SELECT 'alt_mean', 'float', 0 FROM env UNION ALL SELECT 'dist_km', 'float', 0 FROM env)
+SELECT variable, dtype FROM n WHERE dtype <> 'cat' OR k BETWEEN 1 AND 40 GROUP BY 1, 2""")
 def _(t):
     few = Registry(tuple(REG[v] for v in ("landform_type", "county_mn", "uat_name", "alt_mean", "dist_km")), REG.measures)
     return M.analysable(few, M.category_counts(t.env, ["landform_type", "county_mn", "uat_name"]))

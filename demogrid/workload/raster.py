@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import attach
 from ..operators import raster as R
 from .base import query
 
@@ -108,13 +109,15 @@ def _(t):
 
 
 @query("g18_bilinear_resample", "raster", """
-WITH tp AS (SELECT c_custkey AS id, (c_custkey * 7 % 480) / 10.0 + 0.3 AS fx, (c_custkey * 3 % 380) / 10.0 + 0.45 AS fy FROM customer),
+WITH tp AS (SELECT c_custkey AS id, (c_custkey * 7 % 490) / 10.0 + 0.3 AS fx,
+ (c_custkey * 3 % ((SELECT MAX(prow) FROM raster) * 10)) / 10.0 + 0.45 AS fy FROM customer),
 f AS (SELECT id, CAST(fx AS DOUBLE) AS fx, CAST(fy AS DOUBLE) AS fy, FLOOR(CAST(fx AS DOUBLE)) AS j0, FLOOR(CAST(fy AS DOUBLE)) AS i0 FROM tp),
 n AS (SELECT id, r.value, CASE WHEN r.pcol = j0 THEN 1 - (fx - j0) ELSE fx - j0 END * CASE WHEN r.prow = i0 THEN 1 - (fy - i0) ELSE fy - i0 END AS w
   FROM f JOIN raster r ON r.prow BETWEEN i0 AND i0 + 1 AND r.pcol BETWEEN j0 AND j0 + 1)
 SELECT id, ROUND(SUM(w * value) / SUM(w), 6) AS value FROM n GROUP BY 1""")
 def _(t):
-    tp = t.base("customer").select(
-        F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 480 / 10 + F.lit(0.3)).alias("x"),
-        (F.col("c_custkey") * 3 % 380 / 10 + F.lit(0.45)).alias("y"))
+    height = attach(t.base("customer"), t.raster.agg((F.max("prow") * 10).alias("tenths")))
+    tp = height.select(
+        F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 490 / 10 + F.lit(0.3)).alias("x"),
+        (F.col("c_custkey") * 3 % F.col("tenths") / 10 + F.lit(0.45)).alias("y"))
     return R.bilinear_resample(tp, t.raster, 0.0, 0.0, 1.0, ["id"]).withColumn("value", F.round("value", 6))

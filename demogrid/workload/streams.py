@@ -80,15 +80,11 @@ def _(t):
     write_cube(cube, out)
     late = scratch_path(t.spark, "late")
     part = cube.filter("year = 2001 AND ix < 5")
-    # three files, one batch each; within the last, an outdated delivery comes with the newest one
-    for tag, rows in (("a", [(1, 9.0)]), ("b", [(2, 7.0)]), ("c", [(4, 1.0), (3, 5.0)])):
-        for delivery, change in rows[:1]:
-            out_rows = part.withColumns({"tmin": F.col("tmin") + change, "delivery": F.lit(delivery)})
-            for d2, c2 in rows[1:]:
-                out_rows = out_rows.unionByName(part.withColumns({"tmin": F.col("tmin") + c2, "delivery": F.lit(d2)}))
-            out_rows.coalesce(1).write.mode("append").parquet(late)
-    stream = J.file_stream(t.spark, late, cube.withColumn("delivery", F.lit(1)).schema, per_trigger=1)
-    J.correct_days(stream, out, state)
+    # three batches, the job picks up after each; within the last, an outdated delivery comes with the newest one
+    for batch in ([(1, 9.0)], [(2, 7.0)], [(4, 1.0), (3, 5.0)]):
+        for delivery, change in batch:
+            part.withColumns({"tmin": F.col("tmin") + change, "delivery": F.lit(delivery)}).write.mode("append").parquet(late)
+        J.correct_days(J.file_stream(t.spark, late, cube.withColumn("delivery", F.lit(1)).schema), out, state)
     return read_cube(t.spark, out).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("tmin"), 4).alias("tmin"))
 
 
@@ -97,10 +93,10 @@ def _(t):
     live = scratch_path(t.spark, "live")
     overlay = worst(t)
     wrong = overlay.withColumns({"level_rank": (3 - F.col("level_rank")).cast(overlay.schema["level_rank"].dataType), "level_code": F.lit("XX")})
-    # an early overlay of other levels, the present one, and a late copy of the early one
-    for df, at in ((wrong, 1), (overlay, 3), (wrong, 2)):
-        df.withColumn("at", F.lit(at)).coalesce(1).write.mode("append").parquet(live)
     out, state = J.new_folders(t.spark, "exposure")
     snap = J.Snapshot(t.spark, out)
-    J.live_exposure(J.file_stream(t.spark, live, overlay.withColumn("at", F.lit(1)).schema, per_trigger=1), t.core, snap, state)
+    # an early overlay of other levels, the present one, and a late copy of the early one; the job picks up after each
+    for df, at in ((wrong, 1), (overlay, 3), (wrong, 2)):
+        df.withColumn("at", F.lit(at)).write.mode("append").parquet(live)
+        J.live_exposure(J.file_stream(t.spark, live, overlay.withColumn("at", F.lit(1)).schema), t.core, snap, state)
     return snap.read()
