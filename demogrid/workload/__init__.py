@@ -1,6 +1,6 @@
 """Every operator bound to the driver's tables, with its reference SQL."""
 
-from . import (access, air_weather, atlas, climate, layers, live, places, planning, raster, sources, spatial, streams, text, trees,  # noqa: F401
+from . import (access, air_weather, atlas, change, climate, layers, live, places, planning, raster, sources, spatial, streams, text, trees,  # noqa: F401
                warnings)
 from .base import ORACLES, QUERIES
 
