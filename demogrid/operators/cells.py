@@ -10,10 +10,11 @@ from ..model import GridSpec
 
 
 def parse_grid_id(df: DataFrame, id_col: str = "GRD_ID") -> DataFrame:
-    """Add ``n`` and ``e`` (south-west corner, metres) read from ``…N<northing>E<easting>``."""
+    """Add ``n`` and ``e`` (south-west corner, metres) read from ``…N<northing>E<easting>``; corners south or west of the
+    origin have a minus sign."""
     return df.withColumns({
-        "n": F.regexp_extract(id_col, r"N(\d+)E(\d+)", 1).cast("bigint"),
-        "e": F.regexp_extract(id_col, r"N(\d+)E(\d+)", 2).cast("bigint")})
+        "n": F.regexp_extract(id_col, r"N(-?\d+)E(-?\d+)", 1).cast("bigint"),
+        "e": F.regexp_extract(id_col, r"N(-?\d+)E(-?\d+)", 2).cast("bigint")})
 
 
 def derive_spec(df: DataFrame, res: int = 1000) -> DataFrame:

@@ -56,6 +56,13 @@ def test_census_cells(spark):
     assert got == {2: (0, 2, 7), 3: (1, 0, 3)}
 
 
+def test_census_cells_beyond_the_origin(spark):
+    ids = ["CRS3035RES1000mN1000E-1000", "CRS3035RES1000mN-1000E2000"]
+    census = spark.createDataFrame([(i, 1) for i in ids], "GRD_ID string, Populatia_totala_T int")
+    got = {r.grid_id: (r.cell_id, r.row, r.col, r.n, r.e) for r in T.build_cells(census).collect()}
+    assert got == {ids[0]: (0, 0, 0, 1000, -1000), ids[1]: (11, 2, 3, -1000, 2000)}
+
+
 def test_year_files(spark):
     names = ["daily_tmin_2025.nc", "daily_tmax_2025.nc", "daily_precip_2025.nc", "daily_tmin_synop_2025.nc", "daily_tmin_synop_2026.nc", "daily_tmax_2026.nc", "other.nc"]
     paths = spark.createDataFrame([(f"/in/{n}",) for n in names], "path string")
