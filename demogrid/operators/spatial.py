@@ -128,7 +128,7 @@ def _pyramid_shape(points: DataFrame, sites: DataFrame, dims: list[str], k: int)
     for h in range(0, DEEPEST, FINER + 1):
         halving = F.explode(F.sequence(F.lit(h), F.lit(h + FINER))).alias("h")
         crowd = (sites.select(*dims, halving).select("h", *keys).groupBy("h", *[f"c{i}" for i in range(len(dims))]).agg(F.count(F.lit(1)).alias("n"))
-                 .groupBy("h").agg(F.max("n").alias("n")).filter(F.col("n") <= CROWDED * k).agg(F.min("h")).first()[0])
+                 .groupBy("h").agg(F.max("n").alias("n")).filter(F.col("n") <= CROWDED + 2 * k).agg(F.min("h")).first()[0])
         if crowd is not None:
             break
     fine /= 2.0 ** (DEEPEST if crowd is None else crowd)
@@ -146,10 +146,11 @@ def nearest_sites(points: DataFrame, sites: DataFrame, k: int = 1, pid: str = "c
     3. Of the occupied finest tiles in that ring keep those whose smallest possible distance is
        not beyond the distance within which k sites are certain to be met. This compares
        tiles with tiles; a crowded town costs its tiles, not its sites.
-    4. Each point meets just the sites of the kept tiles.
+    4. Each point meets just the sites of the kept tiles, which are one array per tile.
 
-    The points, the large side, are joined once and never multiplied by a ring. Their final
-    grouping is by point, so a tile that holds a large share of them can be split."""
+    The points, the large side, are joined once and never multiplied, neither by a ring nor by
+    the sites they meet, and not grouped again, so a tile that holds a large share of them can be
+    split."""
     dims = list(dims)
     # Sites at one place beyond the k smallest ids can never be among the k nearest.
     place = Window.partitionBy(*dims).orderBy(sid)
@@ -189,14 +190,19 @@ def nearest_sites(points: DataFrame, sites: DataFrame, k: int = 1, pid: str = "c
     cand = cand.withColumn("_sure", F.sum("n").over(by_far)).withColumn(
         "_limit", F.coalesce(F.min(F.when(F.col("_sure") >= k, F.col("far"))).over(everywhere), F.max("far").over(everywhere)))
     kept = cand.filter(F.col("near") <= F.col("_limit")).select(*base, *occ).join(tiled_sites, occ).drop(*occ)
-    d2 = sum((square(F.col(d) - F.col(f"s_{d}")) for d in dims), F.lit(0.0))
-    met = pts.select(pid, *dims, *tile_cols(base)).join(kept, base).select(pid, sid, d2.alias("d2"))
+    near_by = kept.groupBy(*base).agg(F.collect_list(F.struct(sid, *[f"s_{d}" for d in dims])).alias("near_by"))
+
+    def met(s: Column) -> Column:
+        return F.struct(sum((square(F.col(d) - s[f"s_{d}"]) for d in dims), F.lit(0.0)).alias("d2"), s[sid].alias(sid))
+
+    # an estimate from the files says nothing about the arrays: they are not broadcast on its account
+    found = pts.select(pid, *dims, *tile_cols(base)).join(near_by.hint("merge"), base)
     if k == 1:
-        best = met.groupBy(pid).agg(F.min(F.struct("d2", sid)).alias("m"))
+        best = found.select(pid, F.array_min(F.transform("near_by", met)).alias("m"))
         return best.select(pid, F.col(f"m.{sid}").alias(sid), F.lit(1).alias("rank"), F.col("m.d2").alias("d2"))
-    order = Window.partitionBy(pid).orderBy("d2", sid)
-    return (met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select(pid, sid, "rank", "d2"))
+    best = found.select(pid, F.slice(F.sort_array(F.transform("near_by", met)), 1, k).alias("m"))
+    return best.select(pid, F.posexplode("m").alias("at", "m")).select(
+        pid, F.col(f"m.{sid}").alias(sid), (F.col("at") + 1).alias("rank"), F.col("m.d2").alias("d2"))
 
 
 def nearest_with_label(points: DataFrame, sites: DataFrame, label: str, pid: str = "cell_id",
