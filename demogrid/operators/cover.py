@@ -38,7 +38,7 @@ def rings_to_edges(vertices: DataFrame, keys: list[str] = ("feature_id", "ring")
         ends = vertices.groupBy(*keys).agg(F.max("seq").alias("seq"), F.min_by(F.struct("x", "y"), "seq").alias("p"))
         follow = follow.filter("seq >= 0").unionByName(
             ends.select(*keys, "seq", F.col("p.x").alias("x2"), F.col("p.y").alias("y2")))
-    edges = vertices.select(*keys, *attrs, "seq", "x", "y").join(follow, [*keys, "seq"])
+    edges = vertices.select(*keys, *attrs, "seq", "x", "y").join(follow.hint("merge"), [*keys, "seq"])
     return edges.filter((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2"))).select(
         *keys, *attrs, F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"),
         F.col("x2").cast("double").alias("x2"), F.col("y2").cast("double").alias("y2"))

@@ -13,7 +13,8 @@ LEVEL = ["level_rank", "level_code", "level_name"]
 
 def cells_of_features(points: DataFrame, edges: DataFrame, features: DataFrame, tile: float = 5000.0) -> DataFrame:
     """(cell_id, feature attributes…) for every feature a cell centre lies in."""
-    return points_in_polygons(points, edges, "cell_id", tile).join(features, "feature_id")
+    found = points_in_polygons(points, edges, "cell_id", tile, attrs=features)
+    return found.select("feature_id", "cell_id", *[c for c in features.columns if c != "feature_id"])
 
 
 def worst_per(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -24,8 +25,9 @@ def worst_per(pairs: DataFrame, *keys: str) -> DataFrame:
 
 
 def people_by_message(pairs: DataFrame, core: DataFrame, measure: str = "pop_total") -> DataFrame:
-    """(group_id, pop): distinct cells under any geometry of the message."""
-    return (pairs.select("cell_id", "group_id").distinct().join(core.select("cell_id", measure), "cell_id")
+    """(group_id, pop): distinct cells under any geometry of the message. One shuffle by cell serves the distinct pairs
+    and the people."""
+    return (pairs.select("cell_id", "group_id").repartition("cell_id").distinct().join(core.select("cell_id", measure).hint("merge"), "cell_id")
             .groupBy("group_id").agg(F.sum(measure).cast("bigint").alias("pop")))
 
 

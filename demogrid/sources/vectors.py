@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.projection import to_grid
-from ..operators.cover import rings_to_edges
 
 NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 
@@ -23,14 +22,23 @@ def wkt_vertices(df: DataFrame, wkt: str, keys: list[str], attrs: list[str] = ()
 
 
 def wkt_edges(df: DataFrame, wkt: str, keys: list[str], attrs: list[str] = (), srid: str | None = None) -> DataFrame:
-    """Edges of WKT features; the closing vertex repeats the first, so no edge is added.
-
-    ``srid`` names a column with each feature's coordinate system; its vertices are then brought onto the grid."""
-    vertices = wkt_vertices(df, wkt, keys, [*attrs, srid] if srid else attrs)
-    if srid:
-        x, y = to_grid(F.col("x"), F.col("y"), F.col(srid))
-        vertices = vertices.withColumns({"x": x, "y": y}).drop(srid)
-    return rings_to_edges(vertices, [*keys, "ring"], closed=False, attrs=list(attrs))
+    """(keys…, ring, attrs…, x1, y1, x2, y2) of WKT features; the closing vertex repeats the first, so no edge is added.
+
+    A ring is one text, so its vertices are paired where they are, without a join. ``srid`` names a column with each
+    feature's coordinate system; its vertices are then brought onto the grid."""
+    def vertex(text: Column) -> Column:
+        x, y = (F.split(text, r"\s+")[i].cast("double") for i in (0, 1))
+        if srid:
+            x, y = to_grid(x, y, F.col(srid))
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    rings = df.select(*keys, *attrs, *([srid] if srid else []), F.posexplode(F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), 1)).alias("ring", "_r"))
+    line = rings.dropna(subset=list(keys)).withColumn("_v", F.transform(
+        F.regexp_extract_all("_r", F.lit(f"({NUMBER}\\s+{NUMBER})"), 1), vertex)).filter(F.size("_v") > 1)
+    pair = F.arrays_zip(F.slice("_v", 1, F.size("_v") - 1).alias("a"), F.slice("_v", 2, F.size("_v") - 1).alias("b"))
+    ends = line.select(*keys, "ring", *attrs, F.inline(pair).alias("a", "b"))
+    return ends.select(*keys, "ring", *attrs, F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"),
+                       F.col("b.y").alias("y2")).filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str, geometry: str = "array<double>") -> DataFrame:

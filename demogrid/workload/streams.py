@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import warnings as N
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources.cube import read_cube, write_cube
 from ..streaming import jobs as J
 from .air_weather import _ROLL, _stamp
@@ -91,7 +91,7 @@ def _(t):
 @query("st07_stream_static_enrichment", "messages points core", f"WITH {_BOX}, {_WORST}, {_BYL} SELECT * FROM bl")
 def _(t):
     live = scratch_path(t.spark, "live")
-    overlay = worst(t)
+    overlay = cut_lineage(worst(t))
     wrong = overlay.withColumns({"level_rank": (3 - F.col("level_rank")).cast(overlay.schema["level_rank"].dataType), "level_code": F.lit("XX")})
     out, state = J.new_folders(t.spark, "exposure")
     snap = J.Snapshot(t.spark, out)

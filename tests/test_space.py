@@ -194,3 +194,59 @@ def test_cell_numbering_round_trip(spark):
     back = df.withColumn("again", G.cell_of_point(spec, e + 500, n + 500))
     assert back.filter("again <> cell_id").isEmpty()
     assert spark.range(1).select(G.cell_of_point(spec, F.lit(4999999), F.lit(2000001))).first()[0] is None
+
+
+def initial_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_polygons_with_many_edges_in_a_band(spark):
+    """Bands of few and of many edges, level edges, one polygon over several tiles; attributes that occur twice."""
+    from demogrid.operators.warnings import cells_of_features
+
+    rng = random.Random(11)
+    shapes = {1: star(60, 55, 400, rng, 45), 2: star(20, 30, 150, rng, 25), 3: [(5, 5), (95, 5), (95, 42), (5, 42)]}
+    pts = [(i, rng.uniform(0, 110), rng.uniform(0, 110)) for i in range(600)]
+    edges = spark.createDataFrame([e for f, p in shapes.items() for e in ring_edges(f, p)], EDGE)
+    points = spark.createDataFrame(pts, "cell_id long, x double, y double")
+    want = {(i, f) for i, x, y in pts for f, p in shapes.items() if inside(x, y, p)}
+    for tile in (20.0, 500.0):
+        assert {tuple(r) for r in S.points_in_polygons(points, edges, tile=tile).collect()} == want
+    named = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c")], "feature_id long, group_id string")
+    got = sorted((r.cell_id, r.feature_id, r.group_id) for r in cells_of_features(points, edges, named, 20.0).collect())
+    assert got == sorted((i, f, " abc"[f]) for i, f in want for _ in range(2 if f == 1 else 1))
+
+
+def test_pairs_of_points_and_polygons_stay_in_their_tile(spark):
+    """Neither the pairs nor what the polygons are estimated to weigh goes through the driver or a shuffle."""
+    from demogrid.operators.warnings import cells_of_features, worst_per
+
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "cell_id long, x double, y double")
+    edges = spark.createDataFrame(ring_edges(1, [(0, 0), (1, 0), (1, 1), (0, 1)]), EDGE)
+    features = spark.createDataFrame([(1, "a", 2)], "feature_id long, source string, level_rank int")
+    pairs = cells_of_features(points, edges, features)
+    plan = initial_plan(worst_per(pairs, "cell_id", "source"))
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+    assert [(r.cell_id, r.level_rank) for r in pairs.collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_sites_groups_no_points(spark, k):
+    """What a point meets is neither sorted nor shuffled by point: memory of a task does not grow with the sites met."""
+    points = spark.createDataFrame([(i, float(i), 0.0) for i in range(20)], "cell_id long, x double, y double")
+    sites = spark.createDataFrame([(i, float(3 * i), 1.0) for i in range(9)], "site_id long, x double, y double")
+    near = S.nearest_sites(points, sites, k)
+    plan = initial_plan(near)
+    assert "hashpartitioning(cell_id" not in plan and "SortAggregate" not in plan.split("SortMergeJoin")[0]
+    for r in near.collect():
+        order = sorted(((r.cell_id - 3 * s) ** 2 + 1.0, s) for s in range(9))
+        assert order[r["rank"] - 1] == (r.d2, r.site_id)
+
+
+def test_edges_of_text_need_no_join(spark):
+    df = spark.createDataFrame([(1, "POLYGON ((0 0, 2 0, 2 0, 2 1e0, 0 0), (0.5 0.1, 1 0.1, 1 0.2, 0.5 0.1))"), (2, "POINT (1 1)"), (None, "LINESTRING (0 0, 1 1)")],
+                               "feature_id long, wkt string")
+    edges = wkt_edges(df, "wkt", ["feature_id"])
+    assert "Join" not in initial_plan(edges)
+    assert sorted(tuple(r) for r in edges.collect()) == [
+        (1, 0, 0, 0, 2, 0), (1, 0, 2, 0, 2, 1), (1, 0, 2, 1, 0, 0), (1, 1, 0.5, 0.1, 1, 0.1), (1, 1, 1, 0.1, 1, 0.2), (1, 1, 1, 0.2, 0.5, 0.1)]
