@@ -3,7 +3,10 @@
 Vertices are dealt to spatial partitions of bounded size. Inside each partition, in one task, shortcuts between its border
 vertices are solved; the overlay graph has these shortcuts and the roads between partitions. A search settles the partition of
 each facility, runs over the overlay, whose rounds follow the partitions crossed instead of the roads, and is then filled in for
-the inner vertices, partition by partition."""
+the inner vertices, partition by partition.
+
+A search without a limit crosses the whole graph, so neighbouring partitions are joined to larger ones whose borders get shortcuts
+of their own, level by level, until few are left: its rounds follow the logarithm of the number of partitions."""
 
 from __future__ import annotations
 
@@ -20,6 +23,8 @@ from .network import _fixpoint
 
 PART_VERTICES = 1024  # of a partition, about
 CELLS = 2_000_000  # distances that a task holds at once
+FAN = 8  # neighbouring partitions that make one of the next level
+PAYS = 4  # shortcuts for each link they are made of, up to which a level is worth its while
 
 
 def _spread(v: Column) -> Column:
@@ -77,20 +82,35 @@ class Overlay:
     borders: DataFrame
 
 
-def build_overlay(edges: DataFrame, parts: DataFrame) -> Overlay:
-    """The overlay of ``edges`` (source, target, cost of 0 or more) whose vertices are dealt by ``parts`` (vertex, part).
+@dataclass
+class _Level:
+    """Partitions joined to larger ones: ``inner`` (part, source, target, cost): links of the level below that stay inside one;
+    ``parts`` (vertex, part): the borders of the level below; ``borders`` (vertex, part): those that are still borders."""
 
-    Of parallel roads the cheapest stays; roads with a NULL or negative cost, or an end without a partition, are closed."""
-    best = edges.filter("cost >= 0 and source <> target").groupBy("source", "target").agg(F.min(F.col("cost").cast("double")).alias("cost"))
-    placed = best.join(parts.select(F.col("vertex").alias("source"), F.col("part").alias("from")), "source").join(
-        parts.select(F.col("vertex").alias("target"), F.col("part").alias("to")), "target")
-    placed = cut_lineage(placed)
+    inner: DataFrame
+    parts: DataFrame
+    borders: DataFrame
+
+
+def _divide(edges: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges inside parts (part, source, target, cost), edges between parts (source, target, cost), and their ends (vertex, part)."""
+    placed = cut_lineage(edges.join(parts.select(F.col("vertex").alias("source"), F.col("part").alias("from")), "source").join(
+        parts.select(F.col("vertex").alias("target"), F.col("part").alias("to")), "target"))
     inner = placed.filter(F.col("from") == F.col("to")).select(F.col("from").alias("part"), "source", "target", "cost")
     cross = placed.filter(F.col("from") != F.col("to"))
     borders = cut_lineage(cross.select(F.col("source").alias("vertex"), F.col("from").alias("part")).union(
         cross.select("target", "to")).distinct())
+    return inner, cross.select("source", "target", "cost"), borders
 
-    def shortcuts(key: tuple, border: pd.DataFrame, road: pd.DataFrame) -> pd.DataFrame:
+
+def _by_part(df: DataFrame):
+    """Grouped by part. A part is little data and much work, so small shuffles are not merged into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").groupBy("part")
+
+
+def _shortcuts(borders: DataFrame, inner: DataFrame) -> DataFrame:
+    """(source, target, cost): least costs between the border vertices of each part by its inner edges."""
+    def run(key: tuple, border: pd.DataFrame, road: pd.DataFrame) -> pd.DataFrame:
         ends = border["vertex"].to_numpy()
         names, source, target, cost = _numbered(road, ends)
         place, out = np.searchsorted(names, ends), []
@@ -104,14 +124,39 @@ def build_overlay(edges: DataFrame, parts: DataFrame) -> Overlay:
             out.append(pd.DataFrame({"source": ends[j], "target": ends[lo + i], "cost": there[i, j]}))
         return pd.concat(out) if out else pd.DataFrame({"source": [], "target": [], "cost": []})
 
-    kind = edges.schema["source"].dataType.simpleString()
-    found = borders.groupBy("part").cogroup(inner.groupBy("part")).applyInPandas(shortcuts, f"source {kind}, target {kind}, cost double")
-    links = cut_lineage(cross.select("source", "target", "cost").unionByName(found))
-    return Overlay(inner, links, parts, borders)
+    kind = inner.schema["source"].dataType.simpleString()
+    return _by_part(borders).cogroup(_by_part(inner)).applyInPandas(run, f"source {kind}, target {kind}, cost double")
 
 
-def _fill(known: DataFrame, overlay: Overlay, limit: float | None) -> DataFrame:
-    """(vertex, facility, part, cost): least costs in each partition, by its inner roads, from what is ``known`` of its vertices."""
+def build_overlay(edges: DataFrame, parts: DataFrame) -> Overlay:
+    """The overlay of ``edges`` (source, target, cost of 0 or more) whose vertices are dealt by ``parts`` (vertex, part).
+
+    Of parallel roads the cheapest stays; roads with a NULL or negative cost, or an end without a partition, are closed."""
+    best = edges.filter("cost >= 0 and source <> target").groupBy("source", "target").agg(F.min(F.col("cost").cast("double")).alias("cost"))
+    inner, cross, borders = _divide(best, parts)
+    return Overlay(inner, cut_lineage(cross.unionByName(_shortcuts(borders, inner))), parts, borders)
+
+
+def _levels(overlay: Overlay) -> tuple[list[_Level], DataFrame]:
+    """The levels above the overlay, and the links (source, target, cost) of the last one.
+
+    A level is left out, and the search runs over the one below, where so many vertices are borders that their shortcuts
+    would outgrow the links they are made of, as in graphs that do not lie in a plane."""
+    levels: list[_Level] = []
+    links, borders = overlay.links, overlay.borders
+    while borders.select("part").distinct().count() > FAN:
+        parts = cut_lineage(borders.select("vertex", F.floor(F.col("part") / FAN).cast("int").alias("part")).distinct())
+        inner, cross, still = _divide(links, parts)
+        pairs = still.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()[0]
+        if pairs > PAYS * inner.count():
+            break
+        levels.append(_Level(inner, parts, still))
+        links, borders = cut_lineage(cross.unionByName(_shortcuts(still, inner))), still
+    return levels, links
+
+
+def _fill(known: DataFrame, inner: DataFrame, limit: float | None) -> DataFrame:
+    """(vertex, facility, part, cost): least costs in each partition, by its inner edges, from what is ``known`` of its vertices."""
     kind = known.schema["facility"].dataType.simpleString()
     name = known.schema["vertex"].dataType.simpleString()
 
@@ -131,7 +176,7 @@ def _fill(known: DataFrame, overlay: Overlay, limit: float | None) -> DataFrame:
             out.append(pd.DataFrame({"vertex": names[j], "facility": facilities[lo + i], "part": start["part"].iloc[0], "cost": dist[i, j]}))
         return pd.concat(out)
 
-    return known.groupBy("part").cogroup(overlay.inner.groupBy("part")).applyInPandas(run, f"vertex {name}, facility {kind}, part int, cost double")
+    return _by_part(known).cogroup(_by_part(inner)).applyInPandas(run, f"vertex {name}, facility {kind}, part int, cost double")
 
 
 def travel_time_matrix(overlay: Overlay, targets: DataFrame, limit: float | None = None) -> DataFrame:
@@ -139,19 +184,32 @@ def travel_time_matrix(overlay: Overlay, targets: DataFrame, limit: float | None
     ``limit``.
 
     A facility may have several vertices; it costs 0 there. Vertices that reach no facility are absent, targets without a partition
-    too. Equal to the shortest paths over all roads: a path is cut at the borders it crosses, and each piece is a link."""
+    too. Equal to the shortest paths over all roads: a path is cut at the borders it crosses, and each piece is a link. Without a
+    limit the costs climb the levels from each facility's partition, and descend them to every other."""
     seeds = targets.select("vertex", "facility").distinct().join(overlay.parts, "vertex").select(
         "vertex", "facility", F.col("part").cast("int").alias("part"), F.lit(0.0).alias("cost"))
-    own = cut_lineage(_fill(seeds, overlay, limit))
-    start = own.join(overlay.borders.select("vertex"), "vertex").select("vertex", "facility", F.col("cost").alias("best"))
+    own = cut_lineage(_fill(seeds, overlay.inner, limit))
+    levels, links = ([], overlay.links) if limit is not None else _levels(overlay)
+
+    def on(costs: DataFrame, borders: DataFrame) -> DataFrame:
+        return costs.join(borders.select("vertex"), "vertex", "left_semi").select("vertex", "facility", "cost")
+
+    def placed(costs: DataFrame, parts: DataFrame) -> DataFrame:
+        return costs.join(parts, "vertex").select("vertex", "facility", F.col("part").cast("int").alias("part"), "cost")
+
+    below = [on(own, overlay.borders)]
+    for level in levels:
+        below.append(cut_lineage(on(_fill(placed(below[-1], level.parts), level.inner, None), level.borders)))
 
     def offer(best: Column) -> Column:
         cost = best + F.col("cost")
         return cost if limit is None else F.when(cost <= limit, cost)
 
-    far = cut_lineage(_fixpoint(start, overlay.links, "target", "source", offer, ("vertex", "facility")))
-    known = far.join(overlay.borders, "vertex").select("vertex", "facility", F.col("part").cast("int").alias("part"), F.col("best").alias("cost"))
-    both = _fill(known.unionByName(seeds), overlay, limit)
+    start = below[-1].withColumnRenamed("cost", "best")
+    far = cut_lineage(_fixpoint(start, links, "target", "source", offer, ("vertex", "facility"))).withColumnRenamed("best", "cost")
+    for level, known in zip(reversed(levels), reversed(below[:-1])):
+        far = cut_lineage(_fill(placed(far.unionByName(known), level.parts), level.inner, None).select("vertex", "facility", "cost"))
+    both = _fill(placed(far, overlay.borders).unionByName(seeds), overlay.inner, limit)
     return both.select("vertex", "facility", "cost")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from demogrid.operators import focal, overlay, positions, similar
+from demogrid.operators import focal, network, overlay, positions, similar
 from demogrid.operators.measures import default_range
 from demogrid.plans.catalogue import REGISTRY
 
@@ -176,6 +176,27 @@ def test_long_chain_takes_rounds_by_partition(spark, monkeypatch):
     assert out.count() == n and out.filter(F.col("cost") != n - 1 - F.col("vertex")).count() == 0
 
 
+def test_rounds_do_not_follow_the_number_of_partitions(spark, monkeypatch):
+    n, rounds = 4000, []
+    points = spark.range(n).selectExpr("id AS vertex", "CAST(id AS DOUBLE) AS x", "0.0 AS y")
+    edges = spark.range(n - 1).selectExpr("id AS source", "id + 1 AS target", "1 + id % 3 AS cost")
+    edges = edges.union(edges.selectExpr("target", "source", "2 + cost"))
+    graph = overlay.build_overlay(edges, overlay.spatial_partitions(points, 20))
+    relax = network._relax
+    monkeypatch.setattr(network, "_relax", lambda *a: rounds.append(1) or relax(*a))
+    targets = [(0, 1), (n // 2, 2), (n - 1, 2)]
+    out = {(r["vertex"], r["facility"]): r["cost"] for r in overlay.travel_time_matrix(graph, spark.createDataFrame(targets, "vertex long, facility long")).collect()}
+    ahead = np.concatenate([[0], np.cumsum(1 + np.arange(n - 1) % 3)])
+    back = np.concatenate([[0], np.cumsum(3 + np.arange(n - 1) % 3)])
+    want = {}
+    for v, f in targets:
+        for u in range(n):
+            d = ahead[v] - ahead[u] if u <= v else back[u] - back[v]
+            want[u, f] = min(float(d), want.get((u, f), float(d)))
+    assert out == want
+    assert 0 < len(rounds) <= 30  # some 200 partitions are crossed
+
+
 # --- default ranges --------------------------------------------------------------------------------
 
 def test_default_range_of_the_whole_registry(spark):
