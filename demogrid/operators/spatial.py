@@ -24,6 +24,65 @@ def _crosses(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Colum
     return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
 
 
+ENDS = ("x1", "y1", "x2", "y2")
+
+
+def _stretch(end, prow: Column, tile: float) -> tuple[Column, Column, Column, Column]:
+    """Lowest and highest y of an edge with the ends ``end("x1")``…, and its smallest and largest x within a band of tile rows."""
+    x1, y1, x2, y2 = (end(c) for c in ENDS)
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+    slope = (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0))
+    cut = [F.coalesce(x1 + (y - y1) * slope, x) for y, x in ((F.greatest(low, prow * tile), x1), (F.least(high, (prow + 1) * tile), x2))]
+    return low, high, F.least(*cut), F.greatest(*cut)
+
+
+def _bands(edges: DataFrame, tile: float, key: str, sent: bool) -> DataFrame:
+    """(key, prow, e, touched, lo_x, hi_x, lo_y, hi_y): edges of a polygon in a band of tile rows. ``sent``: by key first, as its
+    attributes are."""
+    outline = edges.select(key, *ENDS).filter(F.col(key).isNotNull())
+    if sent:
+        outline = outline.repartition(key)
+    low, high, lo, hi = _stretch(F.col, F.col("prow"), tile)
+    banded = outline.withColumn("prow", F.explode(F.sequence(F.floor(low / tile), F.floor(high / tile)))).select(
+        key, "prow", *ENDS, lo.alias("lo"), hi.alias("hi"))
+    steep = F.col("y1") != F.col("y2")  # level edges cross no ray, but the tiles they touch are not whole
+
+    def of_steep(value: Column) -> Column:
+        return F.when(steep, value)
+
+    return banded.groupBy(key, "prow").agg(
+        F.collect_list(of_steep(F.struct(*ENDS, F.col("hi").alias("to")))).alias("e"),
+        F.collect_list(F.struct(F.floor(F.col("lo") / tile).alias("a"), F.floor(F.col("hi") / tile).alias("b"))).alias("touched"),
+        F.min(of_steep(F.col("lo"))).alias("lo_x"), F.max(of_steep(F.col("hi"))).alias("hi_x"),
+        F.min(of_steep(low)).alias("lo_y"), F.max(of_steep(high)).alias("hi_y"))
+
+
+def _bands_of_outlines(outlines: DataFrame, tile: float, key: str) -> DataFrame:
+    """`_bands` of polygons whose edges lie together in one array: each band is cut where the array is, and nothing is grouped."""
+    def one(value: Column) -> Column:
+        """The value as a row of its own, so that filters further on do not compute it again."""
+        return F.explode(F.array(value))
+
+    prow = F.col("prow")
+    rows = F.struct(F.floor(F.least(F.array_min("outline.y1"), F.array_min("outline.y2")) / tile).alias("first"),
+                    F.floor(F.greatest(F.array_max("outline.y1"), F.array_max("outline.y2")) / tile).alias("last"))
+
+    def here(e: Column) -> Column:
+        return prow.between(F.floor(F.least(e["y1"], e["y2"]) / tile), F.floor(F.greatest(e["y1"], e["y2"]) / tile))
+
+    def cut(e: Column) -> Column:
+        low, high, lo, hi = _stretch(lambda c: e[c], prow, tile)
+        return F.struct(*[e[c].alias(c) for c in ENDS], low.alias("low"), high.alias("high"), lo.alias("lo"), hi.alias("to"))
+
+    banded = outlines.select(key, "outline", one(rows).alias("_r")).withColumn("prow", F.explode(F.sequence("_r.first", "_r.last")))
+    banded = banded.select(key, "prow", one(F.transform(F.filter("outline", here), cut)).alias("h")).filter(F.size("h") > 0)
+    banded = banded.select(key, "prow", "h", one(F.filter("h", lambda e: e["y1"] != e["y2"])).alias("s"))
+    touched = F.transform("h", lambda e: F.struct(F.floor(e["lo"] / tile).alias("a"), F.floor(e["to"] / tile).alias("b")))
+    return banded.select(key, "prow", F.inline(F.array(F.struct(
+        F.arrays_zip(*[F.col(f"s.{c}").alias(c) for c in (*ENDS, "to")]).alias("e"), touched.alias("touched"),
+        F.array_min("s.lo").alias("lo_x"), F.array_max("s.to").alias("hi_x"), F.array_min("s.low").alias("lo_y"), F.array_max("s.high").alias("hi_y")))))
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame, pid: str = "cell_id", tile: float = 5000.0,
                        key: str = "feature_id", attrs: DataFrame | None = None) -> DataFrame:
     """(pid, key) for every polygon a point lies inside (even-odd rule), with the other columns of ``attrs`` (key, …) if given.
@@ -33,31 +92,20 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, pid: str = "cell_id"
     are joined to the polygons before they meet the points. Where a band has very many edges, each is sent on its own,
     and its crossings are counted within the tile.
 
+    ``edges`` has one row per edge (key, x1, y1, x2, y2), or one per ring (key, outline: array of these four), which is
+    much less to shuffle and sort. All edges of a key are one polygon.
+
     A point that is given n times is found n times in tiles that lie inside a polygon as a whole; elsewhere the
     crossings of its copies add up, so it is found once if n is odd."""
     pts = _tile(points.select(pid, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), tile)
     pts = pts.groupBy(pid, "x", "y", "prow", "pcol").agg(F.count(F.lit(1)).alias("copies"))
-    ends = ["x1", "y1", "x2", "y2"]
-    outline = edges.select(key, *ends).filter(F.col(key).isNotNull())
-    if attrs is not None:
-        outline = outline.repartition(key)
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    slope = (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
-    cut = [F.coalesce(F.col("x1") + (y - F.col("y1")) * slope, x) for y, x in (
-        (F.greatest(low, F.col("prow") * tile), F.col("x1")), (F.least(high, (F.col("prow") + 1) * tile), F.col("x2")))]
-    banded = outline.withColumn("prow", F.explode(F.sequence(F.floor(low / tile), F.floor(high / tile)))).select(
-        key, "prow", *ends, F.least(*cut).alias("lo"), F.greatest(*cut).alias("hi"))
+    if "outline" in edges.columns:
+        outlines = edges.select(key, "outline").filter(F.col(key).isNotNull()).groupBy(key).agg(F.flatten(F.collect_list("outline")).alias("outline"))
+        bands = _bands_of_outlines(outlines, tile, key)
+        large = _bands_of_outlines(outlines.filter(F.size("outline") > MANY_EDGES), tile, key)
+    else:
+        large = bands = _bands(edges, tile, key, attrs is not None)
     slack = 1e-6 * tile  # for the rounding of the cut
-    steep = F.col("y1") != F.col("y2")  # level edges cross no ray, but the tiles they touch are not whole
-
-    def of_steep(value: Column) -> Column:
-        return F.when(steep, value)
-
-    bands = banded.groupBy(key, "prow").agg(
-        F.collect_list(of_steep(F.struct(*ends, F.col("hi").alias("to")))).alias("e"),
-        F.collect_list(F.struct(F.floor(F.col("lo") / tile).alias("a"), F.floor(F.col("hi") / tile).alias("b"))).alias("touched"),
-        F.min(of_steep(F.col("lo"))).alias("lo_x"), F.max(of_steep(F.col("hi"))).alias("hi_x"),
-        F.min(of_steep(low)).alias("lo_y"), F.max(of_steep(high)).alias("hi_y"))
     span = F.sequence(F.floor((F.col("lo_x") - slack) / tile), F.floor((F.col("hi_x") + slack) / tile))
     whole = ~F.exists("touched", lambda t: F.col("pcol").between(t["a"], t["b"]))
 
@@ -69,19 +117,19 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, pid: str = "cell_id"
         times = F.when(F.col("whole"), F.col("copies")).otherwise(F.col("copies") % 2).cast("int")
         return rows.select(pid, key, *others, F.explode(F.array_repeat(F.lit(True), times)).alias("_t")).drop("_t")
 
-    few = bands.filter(F.size("e") <= MANY_EDGES).withColumn("e", F.transform("e", lambda e: F.struct(*[e[c].alias(c) for c in ends])))
+    few = bands.filter(F.size("e") <= MANY_EDGES).withColumn("e", F.transform("e", lambda e: F.struct(*[e[c].alias(c) for c in ENDS])))
     more = [] if attrs is None else [c for c in attrs.columns if c != key]
     if attrs is not None:
         few = few.join(attrs.hint("merge"), key)
     # sizes estimated from the files say little about the edges: nothing is broadcast on their account
     met = pts.join(tiles(few, *more).hint("merge"), ["prow", "pcol"]).filter(
         F.col("y").between(F.col("lo_y"), F.col("hi_y")) & F.col("x").between(F.col("lo_x") - slack, F.col("hi_x") + slack))
-    odd = F.size(F.filter("e", lambda e: _crosses(F.col("x"), F.col("y"), *[e[c] for c in ends]))) % 2 == 1
+    odd = F.size(F.filter("e", lambda e: _crosses(F.col("x"), F.col("y"), *[e[c] for c in ENDS]))) % 2 == 1
     sure = found(met.filter(odd), *more)
 
-    single = tiles(bands.filter(F.size("e") > MANY_EDGES)).select(key, "prow", "pcol", "whole", F.inline("e")).filter(
+    single = tiles(large.filter(F.size("e") > MANY_EDGES)).select(key, "prow", "pcol", "whole", F.inline("e")).filter(
         F.col("pcol") <= F.floor((F.col("to") + slack) / tile))
-    counted = found(pts.join(single.hint("merge"), ["prow", "pcol"]).filter(_crosses(F.col("x"), F.col("y"), *[F.col(c) for c in ends]))
+    counted = found(pts.join(single.hint("merge"), ["prow", "pcol"]).filter(_crosses(F.col("x"), F.col("y"), *[F.col(c) for c in ENDS]))
                     .groupBy("prow", "pcol", key, pid, "x", "y", "copies", "whole").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1))
     if attrs is not None:
         counted = counted.join(attrs.hint("merge"), key).select(pid, key, *more)

@@ -21,8 +21,9 @@ def wkt_vertices(df: DataFrame, wkt: str, keys: list[str], attrs: list[str] = ()
     return pts.select(*keys, *attrs, "ring", "seq", xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"))
 
 
-def wkt_edges(df: DataFrame, wkt: str, keys: list[str], attrs: list[str] = (), srid: str | None = None) -> DataFrame:
-    """(keys…, ring, attrs…, x1, y1, x2, y2) of WKT features; the closing vertex repeats the first, so no edge is added.
+def wkt_outlines(df: DataFrame, wkt: str, keys: list[str], attrs: list[str] = (), srid: str | None = None) -> DataFrame:
+    """(keys…, ring, attrs…, outline: array of x1, y1, x2, y2) of WKT features; the closing vertex repeats the first, so no edge is
+    added.
 
     A ring is one text, so its vertices are paired where they are, without a join. ``srid`` names a column with each
     feature's coordinate system; its vertices are then brought onto the grid."""
@@ -36,9 +37,13 @@ def wkt_edges(df: DataFrame, wkt: str, keys: list[str], attrs: list[str] = (), s
     line = rings.dropna(subset=list(keys)).withColumn("_v", F.transform(
         F.regexp_extract_all("_r", F.lit(f"({NUMBER}\\s+{NUMBER})"), 1), vertex)).filter(F.size("_v") > 1)
     pair = F.arrays_zip(F.slice("_v", 1, F.size("_v") - 1).alias("a"), F.slice("_v", 2, F.size("_v") - 1).alias("b"))
-    ends = line.select(*keys, "ring", *attrs, F.inline(pair).alias("a", "b"))
-    return ends.select(*keys, "ring", *attrs, F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"),
-                       F.col("b.y").alias("y2")).filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+    edge = F.transform(pair, lambda p: F.struct(p["a"]["x"].alias("x1"), p["a"]["y"].alias("y1"), p["b"]["x"].alias("x2"), p["b"]["y"].alias("y2")))
+    return line.select(*keys, "ring", *attrs, F.filter(edge, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"])).alias("outline"))
+
+
+def wkt_edges(df: DataFrame, wkt: str, keys: list[str], attrs: list[str] = (), srid: str | None = None) -> DataFrame:
+    """(keys…, ring, attrs…, x1, y1, x2, y2): the edges of `wkt_outlines`, one by one."""
+    return wkt_outlines(df, wkt, keys, attrs, srid).select(*keys, "ring", *attrs, F.inline("outline"))
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str, geometry: str = "array<double>") -> DataFrame:

@@ -18,15 +18,15 @@ w AS (SELECT *, CASE level_rank WHEN 0 THEN 'VE' WHEN 1 THEN 'GA' WHEN 2 THEN 'P
 
 
 def box_edges(messages):
-    """Four edges of the square around each message."""
+    """The square around each message as one outline of four edges."""
     lo_x, hi_x = F.col("cx") - 1500.0, F.col("cx") + 1500.0
     lo_y, hi_y = F.col("cy") - 1500.0, F.col("cy") + 1500.0
 
     def edge(x1, y1, x2, y2):
         return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
 
-    return messages.select(F.col("id").alias("feature_id"), F.inline(F.array(
-        edge(lo_x, lo_y, hi_x, lo_y), edge(hi_x, lo_y, hi_x, hi_y), edge(hi_x, hi_y, lo_x, hi_y), edge(lo_x, hi_y, lo_x, lo_y))))
+    return messages.select(F.col("id").alias("feature_id"), F.array(
+        edge(lo_x, lo_y, hi_x, lo_y), edge(hi_x, lo_y, hi_x, hi_y), edge(hi_x, hi_y, lo_x, hi_y), edge(lo_x, hi_y, lo_x, lo_y)).alias("outline"))
 
 
 def features(messages):
@@ -106,10 +106,10 @@ def _(t):
 WITH {_BOX.replace("FROM messages)", "FROM messages WHERE source = 'general')")}
 SELECT 'g' || substring(group_id, 2) AS group_id, CAST(SUM(pop_total) AS BIGINT) AS pop FROM (SELECT DISTINCT cell_id, group_id FROM hit) h JOIN core USING (cell_id) GROUP BY 1""")
 def _(t):
-    from ..sources.vectors import wkt_edges
+    from ..sources.vectors import wkt_outlines
 
     f = X.general_features(_general_xml(t)).withColumn("feature_id", F.xxhash64("group_id", "unit_kind", "unit_cod"))
-    edges = wkt_edges(f, "wkt", ["feature_id"])
+    edges = wkt_outlines(f, "wkt", ["feature_id"])
     pairs = N.cells_of_features(t.points, edges, f.select("feature_id", "group_id"))
     return N.people_by_message(pairs, t.core)
 

@@ -230,6 +230,34 @@ def test_pairs_of_points_and_polygons_stay_in_their_tile(spark):
     assert [(r.cell_id, r.level_rank) for r in pairs.collect()] == [(1, 2)]
 
 
+def test_outlines_are_polygons_too(spark):
+    """One array per ring gives what one row per edge does: several rings, open ones, a key given twice, points given twice."""
+    rng = random.Random(5)
+    rings = [(1, star(60, 55, 200, rng, 45)), (2, star(20, 30, 7, rng, 25)), (2, star(22, 90, 9, rng, 8)), (3, [(5, 5), (95, 5), (95, 42), (5, 42)]),
+             (4, [(10, 10), (30, 10), (30, 30), (10, 30)]), (4, [(10, 10), (30, 10), (30, 30), (10, 30)]), (None, [(0, 0), (9, 0), (9, 9)])]
+    pts = [(i, rng.uniform(0, 110), rng.uniform(0, 110)) for i in range(300)]
+    points = spark.createDataFrame(pts + pts[:40] + [(900, None, 1.0)], "cell_id long, x double, y double")
+    edges = [ring_edges(f, r) for f, r in rings] + [[(5, 40.0, 0.0, 70.0, 99.0)], []]
+    flat = spark.createDataFrame([e for r in edges for e in r], EDGE)
+    nested = spark.createDataFrame([(r[0][0] if r else 6, [tuple(map(float, e[1:])) for e in r]) for r in edges] + [(7, None)],
+                                   "feature_id long, outline array<struct<x1: double, y1: double, x2: double, y2: double>>")
+    named = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")], "feature_id long, group_id string")
+    for tile in (20.0, 500.0):
+        for attrs in (None, named):
+            got, want = (sorted(tuple(r) for r in S.points_in_polygons(points, e, tile=tile, attrs=attrs).collect()) for e in (nested, flat))
+            assert got == want and len({r[1] for r in got}) >= 3
+
+
+def test_warnings_send_one_row_per_message(spark):
+    """The four edges of a message are not shuffled and sorted one by one."""
+    from demogrid.workload.warnings import box_edges
+
+    edges = box_edges(spark.createDataFrame([(1, 10000, 20000)], "id long, cx long, cy long"))
+    assert edges.count() == 1
+    points = spark.createDataFrame([(1, 10500.5, 20500.5), (2, 12500.5, 20500.5)], "cell_id long, x double, y double")
+    assert [tuple(r) for r in S.points_in_polygons(points, edges).collect()] == [(1, 1)]
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_nearest_sites_takes_k_before_it_groups(spark, k):
     """A point leaves the other sites it meets behind in its tile: memory of a task does not grow with them."""
