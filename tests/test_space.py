@@ -288,3 +288,26 @@ def test_edges_of_text_need_no_join(spark):
     assert "Join" not in initial_plan(edges)
     assert sorted(tuple(r) for r in edges.collect()) == [
         (1, 0, 0, 0, 2, 0), (1, 0, 2, 0, 2, 1), (1, 0, 2, 1, 0, 0), (1, 1, 0.5, 0.1, 1, 0.1), (1, 1, 1, 0.1, 1, 0.2), (1, 1, 1, 0.2, 0.5, 0.1)]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_sites_far_from_all_sites(spark, monkeypatch, k):
+    """Points far from all sites do not meet every tile that holds sites."""
+    sites = [(i, float(i % 20) * 1000, float(i // 20) * 1000) for i in range(1200)]
+    points = [(i, float(i % 10) * 1900 + 7, 100000.0 + i * 5000) for i in range(200)]
+    sizes, down = [], S._downwards
+
+    def watched(tiles, held, *args):
+        out = down(tiles, held, *args)
+        sizes.append((out.count(), tiles.count() * held.count()))
+        return out
+
+    monkeypatch.setattr(S, "_downwards", watched)
+    got = {}
+    for r in S.nearest_sites(spark.createDataFrame(points, "cell_id long, x double, y double"),
+                             spark.createDataFrame(sites, "site_id long, x double, y double"), k).collect():
+        got.setdefault(r["cell_id"], {})[r["rank"]] = r["site_id"]
+    for i, x, y in points:
+        near = sorted(((x - a) ** 2 + (y - b) ** 2, s) for s, a, b in sites)[:k]
+        assert [got[i][n] for n in range(1, k + 1)] == [s for _, s in near]
+    assert sizes and sizes[0][0] < sizes[0][1] / 3
