@@ -170,7 +170,7 @@ def refresh_warnings(target: Snapshot, feeds: dict[str, Feed], points: DataFrame
     for f, m in zip(features[1:], messages[1:]):
         all_features, all_messages = all_features.unionByName(f), all_messages.unionByName(m, allowMissingColumns=True)
     all_features = all_features.withColumn("feature_id", F.xxhash64("source", "group_id", "level_rank", "wkt")).dropDuplicates(["feature_id"])
-    edges = wkt_outlines(all_features, "wkt", ["feature_id"], srid=srid)
+    edges = cut_lineage(wkt_outlines(all_features, "wkt", ["feature_id"], srid=srid))  # large and small polygons are told apart, so read twice
     pairs = cut_lineage(N.cells_of_features(points, edges, all_features.select("feature_id", "source", "group_id", "level_rank")))
 
     version = (target.latest() or 0) + 1

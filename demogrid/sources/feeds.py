@@ -31,9 +31,11 @@ def read_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def parse_elements(df: DataFrame, xml: str, schema: str) -> DataFrame:
-    """The same rows from a column holding one ``avertizare`` element per row."""
+    """The same rows from a column holding one ``avertizare`` element per row.
+
+    The parsed element is a row of its own, so that filters further on do not parse it again."""
     others = [c for c in df.columns if c != xml]
-    return df.select(*others, F.from_xml(xml, schema).alias("a")).select(*others, "a.*")
+    return df.select(*others, F.explode(F.array(F.from_xml(xml, schema))).alias("a")).select(*others, "a.*")
 
 
 def _used(coords: Column, use: Column) -> Column:

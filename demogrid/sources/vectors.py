@@ -27,15 +27,15 @@ def wkt_outlines(df: DataFrame, wkt: str, keys: list[str], attrs: list[str] = ()
 
     A ring is one text, so its vertices are paired where they are, without a join. ``srid`` names a column with each
     feature's coordinate system; its vertices are then brought onto the grid."""
-    def vertex(text: Column) -> Column:
-        x, y = (F.split(text, r"\s+")[i].cast("double") for i in (0, 1))
+    def vertex(p: Column) -> Column:
+        x, y = (p[c].cast("double") for c in "xy")
         if srid:
             x, y = to_grid(x, y, F.col(srid))
         return F.struct(x.alias("x"), y.alias("y"))
 
+    texts = [F.regexp_extract_all("_r", F.lit(f"({NUMBER})\\s+({NUMBER})"), i).alias(c) for i, c in ((1, "x"), (2, "y"))]
     rings = df.select(*keys, *attrs, *([srid] if srid else []), F.posexplode(F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), 1)).alias("ring", "_r"))
-    line = rings.dropna(subset=list(keys)).withColumn("_v", F.transform(
-        F.regexp_extract_all("_r", F.lit(f"({NUMBER}\\s+{NUMBER})"), 1), vertex)).filter(F.size("_v") > 1)
+    line = rings.dropna(subset=list(keys)).withColumn("_v", F.transform(F.arrays_zip(*texts), vertex)).filter(F.size("_v") > 1)
     pair = F.arrays_zip(F.slice("_v", 1, F.size("_v") - 1).alias("a"), F.slice("_v", 2, F.size("_v") - 1).alias("b"))
     edge = F.transform(pair, lambda p: F.struct(p["a"]["x"].alias("x1"), p["a"]["y"].alias("y1"), p["b"]["x"].alias("x2"), p["b"]["y"].alias("y2")))
     return line.select(*keys, "ring", *attrs, F.filter(edge, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"])).alias("outline"))

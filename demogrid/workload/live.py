@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast as W
 from ..plans import live as L
-from ..session import scratch_path
+from ..session import scratch_path, staged
 from ..sources import feeds as X
 from ..streaming.jobs import Snapshot
 from .air_weather import _AIR, _MAP, _ladder_sql, _mapping
@@ -78,12 +78,12 @@ def _warnings(t) -> Snapshot:
     target = Snapshot(t.spark, scratch_path(t.spark, "warnings"))
 
     def nowcasting():
-        m = X.nowcasting_messages(X.parse_elements(_nowcast_xml(t), "xml", X.NOWCASTING_SCHEMA))
+        m = staged(X.nowcasting_messages(X.parse_elements(_nowcast_xml(t), "xml", X.NOWCASTING_SCHEMA)), "nowcasting")
         return m, m.drop("wkt", "pos", "srid")
 
     def general():
-        rows = _general_xml(t)
-        f = X.general_features(rows)
+        rows = staged(_general_xml(t), "general")
+        f = staged(X.general_features(rows), "features")
         return f, X.general_messages(rows, f)
 
     for feeds in ({"nowcasting": _fails, "general": general}, {"nowcasting": nowcasting, "general": _fails}, {"nowcasting": _fails, "general": _fails}):

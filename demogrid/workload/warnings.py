@@ -50,9 +50,14 @@ _WKT = ("'POLYGON ((' || CAST(cx - 1500 AS STRING) || ' ' || CAST(cy - 1500 AS S
         " || ', ' || CAST(cx - 1500 AS STRING) || ' ' || CAST(cy - 1500 AS STRING) || '))'")
 
 
+def _spread(messages):
+    """An element costs much more than the row it is made of, so few files must not make few tasks."""
+    return messages.repartition("id")
+
+
 def _nowcast_xml(t):
     """Feed elements built from the messages: one in four repeats an id, unknown codes occur."""
-    m = t.messages.filter("source = 'nowcasting'")
+    m = _spread(t.messages.filter("source = 'nowcasting'"))
     code = F.when(F.col("level_rank") == 3, "XX").otherwise(F.element_at(F.array(F.lit("ve"), F.lit("GA"), F.lit("PO")), (F.col("level_rank") + 1).cast("int")))
     el = F.format_string('<avertizare avertizareId="%d" avertizareNivelCod="%s" coordsGis="%s" useCoordsGis="%s" dataInceput="%s">'
                          '<zona_afectata text="zone %d"/><zona_afectata text="row %d"/></avertizare>',
@@ -73,7 +78,7 @@ def _(t):
 
 def _general_xml(t):
     """A county, a zone of a higher colour, and a context zone of colour 0 per message."""
-    m = t.messages.filter("source = 'general'")
+    m = _spread(t.messages.filter("source = 'general'"))
     el = F.format_string('<avertizare numeTipMesaj="Cod" dataAparitiei="%s"><judet cod="J%d" culoare="%d" coordGis="%s"/>'
                          '<zona cod="Z%d" culoare="%d" coordGis="%s"/><zona cod="C" culoare="0" coordGis="%s"/><zona cod="U" culoare="3" useCoordGis="false" coordGis="%s"/></avertizare>',
                          F.date_format("start_ts", "yyyy-MM-dd"), F.col("id") % 41, F.col("level_rank"), F.expr(_WKT), F.col("id") % 7,

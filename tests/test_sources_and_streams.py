@@ -129,3 +129,21 @@ def test_corrections_replace_only_their_days(spark):
     spark.createDataFrame([(2026, day, 0, 0, -9.0, 2.0, 0.0)], schema).write.parquet(late)
     J.correct_days(J.file_stream(spark, late, schema), out, state)
     assert sorted((r.year, r.ix, r.tmin) for r in C.read_cube(spark, out).collect()) == [(2025, 0, 1.0), (2026, 0, -9.0), (2026, 1, 5.0)]
+
+
+def test_an_element_is_parsed_once(spark):
+    xml = '<avertizare avertizareId="7" avertizareNivelCod="po" coordsGis="POLYGON ((0 0, 1 0, 1 1, 0 0))"/>'
+    texts = spark.createDataFrame([(1, xml), (2, xml), (3, None)], "pos long, xml string")
+    m = X.nowcasting_messages(X.parse_elements(texts, "xml", X.NOWCASTING_SCHEMA))
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1  # not again for the filter on what was parsed
+    assert [(r.id, r.pos, r.level_code) for r in m.collect()] == [("7", 1, "PO")]
+
+
+def test_feeds_are_read_once(spark):
+    from demogrid.session import staged
+
+    runs = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda v: (runs.add(1), v)[1], "long")
+    rows = staged(spark.range(5).withColumn("v", count("id")), "rows")
+    assert rows.agg(F.sum("v")).first()[0] == rows.filter("v > 0").agg(F.sum("v")).first()[0] == 10
+    assert runs.value == 5 and rows.columns == ["id", "v"]
